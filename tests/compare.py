@@ -1,0 +1,93 @@
+"""Run registered queries against their SQL in DuckDB.
+
+``python -m tests.compare [sf_dir] [query ...]`` prints one line per query.
+"""
+
+from __future__ import annotations
+
+import glob
+import math
+import os
+import sys
+import time
+from collections import Counter
+
+import duckdb
+
+TESTDATA = "/root/testdata"
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.splitext(os.path.basename(path))[0]
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, bool):
+        return int(value)
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else (int(value) if value.is_integer() else repr(value))
+    return value
+
+
+def _rows(table) -> Counter:
+    names = sorted(table.schema.names)
+    columns = [[_plain(v) for v in table.column(n).to_pylist()] for n in names]
+    return Counter(zip(*columns))
+
+
+def compare(spark, con, sf_dir: str, name: str, query, sql: str | None):
+    """``(rows, problem or None, Spark seconds, DuckDB seconds)``."""
+    begun = time.time()
+    df = query(spark, sf_dir)
+    got = df.toArrow()
+    spark_seconds = time.time() - begun
+    if sql is None:
+        return got.num_rows, None, spark_seconds, 0.0
+    begun = time.time()
+    want = con.execute(sql).to_arrow_table()
+    duck_seconds = time.time() - begun
+    problem = None
+    if sorted(got.schema.names) != sorted(want.schema.names):
+        problem = f"columns {got.schema.names} / {want.schema.names}"
+    else:
+        g, w = _rows(got), _rows(want)
+        if g != w:
+            problem = (
+                f"{sum(g.values())} / {sum(w.values())} rows; only Spark "
+                f"{list((g - w).items())[:2]}; only SQL {list((w - g).items())[:2]}"
+            )
+    return got.num_rows, problem, spark_seconds, duck_seconds
+
+
+def main() -> None:
+    import __spark_entry__ as entry
+    from passagemill.session import build_session
+
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else f"{TESTDATA}/sf0.01"
+    spark = build_session(
+        "compare", "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "8g",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        },
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
+    queries, sql = entry.queries(), entry.oracle_sql()
+    for name in sys.argv[2:] or queries:
+        try:
+            rows, problem, s, d = compare(spark, con, sf_dir, name, queries[name], sql.get(name))
+            state = "ok" if sql.get(name) and not problem else problem or "rows only"
+            print(f"{name:22} {rows:8} rows  spark {s:6.2f}s  duckdb {d:6.2f}s  {state[:600]}", flush=True)
+        except Exception as failure:
+            print(f"{name:22} FAILED {type(failure).__name__}: {str(failure)[:1500]}", flush=True)
+
+
+if __name__ == "__main__":
+    main()
