@@ -38,7 +38,7 @@ from passagemill.operators.prompts import admit, context_sections, prompts
 from passagemill.operators.search import CHAT_K, top_k, top_k_one
 from passagemill.plans.answer import answer, search_text
 from passagemill.plans.ingest import embed_chunks, ingest, read_ledger, run_metrics
-from passagemill.session import shared_folder
+from passagemill.session import shared_folder, spread
 from passagemill.sources.instructions import COLUMNS, raw_text, read_instruction_csv
 from passagemill.sources.raw import append_raw, as_raw, read_raw
 from passagemill.sources.store import (
@@ -66,6 +66,11 @@ def _raw(spark, sf) -> DataFrame:
     return as_raw(_table(spark, sf, "documents"), "doc_id", "text", "source")
 
 
+def _texts(spark, sf) -> DataFrame:
+    """The raw table, ready for work on its texts."""
+    return spread(_raw(spark, sf))
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
@@ -166,32 +171,32 @@ def blanks_dropped(spark, sf):
 
 
 def sentences(spark, sf):
-    return _raw(spark, sf).select(
+    return _texts(spark, sf).select(
         "raw_data_id", F.posexplode(split_sentences("raw_text")).alias("pos", "sentence")
     )
 
 
 def chunks_batch(spark, sf):
-    return chunk_table(_raw(spark, sf), "batch")
+    return chunk_table(_texts(spark, sf), "batch")
 
 
 def chunks_actor(spark, sf):
-    return chunk_table(_raw(spark, sf), "actor")
+    return chunk_table(_texts(spark, sf), "actor")
 
 
 def chunks_small(spark, sf):
     """A target below the minimum, where an over-long first sentence stands alone."""
-    return chunk_table(_raw(spark, sf), "actor", target=40, minimum=60)
+    return chunk_table(_texts(spark, sf), "actor", target=40, minimum=60)
 
 
 def chunk_fallback(spark, sf):
     """The documents' marks alone: text without a sentence."""
     marks = F.regexp_replace("raw_text", r"[^.!?]", "").alias("raw_text")
-    return chunk_table(_raw(spark, sf).select("raw_data_id", marks), "actor")
+    return chunk_table(_texts(spark, sf).select("raw_data_id", marks), "actor")
 
 
 def chunks_fixed(spark, sf):
-    return fixed_chunk_table(_raw(spark, sf), WINDOW, OVERLAP)
+    return fixed_chunk_table(_texts(spark, sf), WINDOW, OVERLAP)
 
 
 def chunks_flattened(spark, sf):
@@ -201,12 +206,12 @@ def chunks_flattened(spark, sf):
 
 def chunks_of_parents(spark, sf):
     parents = _table(spark, sf, "labels").select(F.col("doc_id").alias("raw_data_id"))
-    return chunks_of_many(chunk_table(_raw(spark, sf)), parents)
+    return chunks_of_many(chunk_table(_texts(spark, sf)), parents)
 
 
 def by_source(spark, sf):
     path = shared_folder(spark, "by-source")
-    write_by_source(chunk_table(_raw(spark, sf), keep=["raw_data_id", "source"]), path)
+    write_by_source(chunk_table(_texts(spark, sf), keep=["raw_data_id", "source"]), path)
     return spark.read.parquet(path).select(
         "raw_data_id", "chunk_index", F.col("source").cast("string").alias("source")
     )
@@ -345,7 +350,7 @@ def embedded_texts(spark, sf):
 
 
 def hashed_embedding(spark, sf):
-    made = embed_column(chunk_table(_raw(spark, sf)), HashedEmbedder(DIM), dim=DIM)
+    made = embed_column(chunk_table(_texts(spark, sf)), HashedEmbedder(DIM), dim=DIM)
     weights = made.select(*CHUNK_KEY, F.posexplode("embedding").alias("slot", "weight"))
     return weights.filter("weight != 0").withColumn(
         "weight", F.round(F.col("weight").cast("double"), 6)
@@ -353,7 +358,7 @@ def hashed_embedding(spark, sf):
 
 
 def _store(spark, sf) -> DataFrame:
-    return embed_chunks(_raw(spark, sf), HashedEmbedder(DIM), dim=DIM).filter("outcome = 'stored'")
+    return embed_chunks(_texts(spark, sf), HashedEmbedder(DIM), dim=DIM).filter("outcome = 'stored'")
 
 
 def query_admission(spark, sf):
@@ -407,7 +412,7 @@ def answers(spark, sf):
 
 
 def stage_counts(spark, sf):
-    raw = _raw(spark, sf)
+    raw = _texts(spark, sf)
     return stage_counters(raw, embed_chunks(raw, HashedEmbedder(DIM), dim=DIM), n=RANGES)
 
 
@@ -420,7 +425,7 @@ def ingested(spark, sf):
     """The job's store, read back."""
     root = shared_folder(spark, "store")
     create_store(spark, root)
-    ingest(_raw(spark, sf), root, HashedEmbedder(DIM), dim=DIM)
+    ingest(_texts(spark, sf), root, HashedEmbedder(DIM), dim=DIM)
     return _summary(read_store(spark, root))
 
 
@@ -445,7 +450,7 @@ def rejects(spark, sf):
     """What a failing model leaves behind."""
     root = shared_folder(spark, "store")
     create_store(spark, root)
-    ingest(_raw(spark, sf), root, _no_long_texts, dim=DIM)
+    ingest(_texts(spark, sf), root, _no_long_texts, dim=DIM)
     return read_rejects(spark, root).select(*CHUNK_KEY, "source", "reason")
 
 
@@ -469,7 +474,7 @@ def null_vector_sink(spark, sf):
 def run_ledger(spark, sf):
     root, ledger = shared_folder(spark, "store"), shared_folder(spark, "ledger")
     create_store(spark, root)
-    ingest(_raw(spark, sf), root, _no_long_texts, dim=DIM, ledger=ledger)
+    ingest(_texts(spark, sf), root, _no_long_texts, dim=DIM, ledger=ledger)
     done = read_ledger(spark, ledger).filter("status = 'COMPLETED'")
     return run_metrics(done).select("stage", "metric", "value")
 

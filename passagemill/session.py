@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs were measured with. All are plain Spark settings, and a
 # session built elsewhere works too.
@@ -41,3 +41,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="passagemill-")
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of fewer file splits than cores one partition per core.
+
+    For plain scans ahead of costly per-row work. A table of many splits is
+    returned as it is, so only small inputs are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
