@@ -14,22 +14,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.functions.vectors import has_null_element, is_zero_vector
-from passagemill.operators.search import QUERY_K, top_k, unit_rows
+from passagemill.functions.vectors import has_null_element, is_zero_vector, unit_rows
+from passagemill.operators.search import QUERY_K, top_k
 
 # Fixed value: default number of inverted lists.
 LISTS = 100
 # Rows per list that the centroids are trained on; every row is assigned.
 _TRAIN_ROWS = 256
-
-
-def _unit_vector(e):
-    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
-    return F.transform(e, lambda x: x.cast("double") / norm)
+_TRAIN_PARTITION = 4096
 
 
 @dataclass
@@ -42,19 +39,22 @@ class InvertedLists:
     def fit(cls, store: DataFrame, lists: int = LISTS, *, seed: int = 1, max_iter: int = 20):
         """Train the centroids. They are as many as ``lists``, whatever the store's size."""
         e = F.col("embedding")
-        usable = store.select("embedding").filter(
-            e.isNotNull() & ~has_null_element(e) & ~is_zero_vector(e)
-        )
-        rows = usable.count()
+        rows, vectors = store.count(), store.select("embedding")
         if rows > lists * _TRAIN_ROWS:
-            usable = usable.sample(fraction=lists * _TRAIN_ROWS / rows, seed=seed)
-        model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="v").fit(
-            usable.select(array_to_vector(_unit_vector(e)).alias("v"))
+            vectors = vectors.sample(fraction=lists * _TRAIN_ROWS / rows, seed=seed)
+        usable = vectors.filter(e.isNotNull() & ~has_null_element(e) & ~is_zero_vector(e))
+        # Few rows from many files: iterate over as many partitions as they need.
+        gathered = usable.repartition(1 + lists * _TRAIN_ROWS // _TRAIN_PARTITION)
+        unit = Normalizer(inputCol="vector", outputCol="unit").transform(
+            gathered.select(array_to_vector(e).alias("vector"))
         )
+        model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="unit").fit(unit)
         return cls(np.array(model.clusterCenters()))
 
     def nearest_cells(self, unit: np.ndarray, n: int) -> np.ndarray:
         closeness = unit @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1)
+        if n == 1:
+            return closeness.argmax(axis=1)[:, None]
         return np.argsort(-closeness, axis=1, kind="stable")[:, :n]
 
     def assign(self, store: DataFrame) -> DataFrame:

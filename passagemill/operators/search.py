@@ -26,12 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagemill.functions.vectors import (
-    cosine_distance,
-    has_null_element,
-    is_zero_vector,
-    nearest_first,
-)
+from passagemill.functions.vectors import ZERO, has_null_element, is_zero_vector, unit_rows
 from passagemill.session import shared_folder
 
 KEY = ("raw_data_id", "chunk_index")
@@ -52,8 +47,6 @@ MAX_BROADCAST_HITS = 500_000
 # not reorder equal vectors; the key breaks ties.
 DIGITS = 9
 _SLACK = 10.0 ** -DIGITS
-# Places of a zero vector and of a missing vector behind every real distance (at most 2).
-_ZERO, _MISSING = 3.0, 4.0
 # Distances computed at a time in one task.
 _TILE = 2_000_000
 
@@ -61,32 +54,6 @@ _TILE = 2_000_000
 CellFn = Callable[[np.ndarray], np.ndarray]
 
 
-def unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and 0 or the place of rows that have no direction."""
-    place = np.zeros(len(vectors))
-    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
-    fits = lengths == dim
-    whole = vectors if fits.all() else vectors.filter(pa.array(fits))
-    flat = whole.flatten()
-    matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    holes = None
-    if flat.null_count:
-        holes = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
-    if not fits.all():
-        placed = np.zeros((len(vectors), dim))
-        placed[fits] = matrix
-        matrix = placed
-        place[~fits] = _MISSING
-    if holes is not None:
-        place[np.flatnonzero(fits)[holes]] = _MISSING
-    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    lost = ~np.isfinite(norms) | (norms == 0)
-    place[lost & (place == 0)] = _ZERO
-    matrix[lost] = 0.0
-    norms[lost] = 1.0
-    return matrix / norms[:, None], place
-
-
 @dataclass
 class QueryBlock:
     """A bounded block of query vectors, ready to meet stored vectors."""
@@ -296,11 +263,7 @@ def top_k(
     if hits and head.num_rows:
         # A literal limit lets Spark cut each group before the shuffle.
         ranked = ranked.filter(F.col("rank") <= int(pc.max(head.column("k")).as_py()))
-    ranked = ranked.filter(F.col("rank") <= F.col("k")).withColumn(
-        "distance",
-        F.when(F.col("distance") == _ZERO, F.lit(float("nan")))
-        .when(F.col("distance") < _ZERO, F.col("distance")),
-    )
+    ranked = ranked.filter(F.col("rank") <= F.col("k")).withColumn("distance", _distance())
     if columns:
         if hits is not None and hits <= MAX_BROADCAST_HITS:
             ranked = F.broadcast(ranked)
@@ -308,6 +271,12 @@ def top_k(
     return ranked.select(query_key, "rank", *key, *columns, "distance")
 
 
+def _distance():
+    """Distances with NaN and NULL where a stored vector has no direction."""
+    d = F.col("distance")
+    return F.when(d == ZERO, F.lit(float("nan"))).when(d < ZERO, d)
+
+
 def _scan_broadcast(scanned, block, query_key, key, schema, cell_col) -> DataFrame:
     shared = scanned.sparkSession.sparkContext.broadcast(
         (block.ids, block.unit, block.k, block.probes)
@@ -409,14 +378,24 @@ def top_k_one(
     key: tuple[str, ...] = KEY,
     columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The nearest stored rows to one vector, nearest first.
+    """The nearest stored rows to one vector, nearest first: ``(key..., columns..., distance)``.
 
-    Spark keeps the k best rows per partition and never sorts the store.
+    Each task hands on its k best rows; Spark merges those and never sorts the
+    store. A vector without a direction finds nothing.
     """
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    distance = F.round(cosine_distance("embedding", query), DIGITS)
-    return (
-        store.select(*key, *columns, distance.alias("distance"))
-        .orderBy(nearest_first("distance"), *key)
-        .limit(k)
+    unit, place = unit_rows(pa.array([vector], pa.list_(pa.float64())), len(vector))
+    block = QueryBlock(pa.array([0]), unit, np.array([k if place[0] == 0 else 0]))
+    fields = [T.StructField("_query", T.LongType()), T.StructField("k", T.LongType())]
+    fields += [T.StructField(c, store.schema[c].dataType) for c in key]
+    schema = T.StructType(fields + [T.StructField("distance", T.DoubleType())])
+    scanned = store.select(*key, "embedding").filter(F.lit(bool(place[0] == 0)))
+    order = ["distance", *key]
+    hits = (
+        _scan_broadcast(scanned, block, "_query", key, schema, None)
+        .orderBy(*order).limit(k).select(*order)
     )
+    if columns:
+        if k <= MAX_BROADCAST_HITS:
+            hits = F.broadcast(hits)
+        hits = store.select(*key, *columns).join(hits, list(key)).orderBy(*order).limit(k)
+    return hits.select(*key, *columns, _distance().alias("distance"))

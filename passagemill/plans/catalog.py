@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from passagemill.functions.embedding import HashedEmbedder, embed_column
 from passagemill.functions.text import combine_text, split_sentences
 from passagemill.functions.vectors import (
+    batch_cosine_distance,
     cosine_distance,
     fit_dimension,
     has_null_element,
@@ -262,17 +263,27 @@ def narrowed_vectors(spark, sf):
     ).select("vec_id", "pos", (F.round(F.col("x").cast("double"), 6) + F.lit(0.0)).alias("x"))
 
 
-def cosine_distances(spark, sf):
+def _neighbour_distances(spark, sf, measure) -> DataFrame:
     """Each vector and the one with the next id, flawed vectors among them."""
     left = _flawed(spark, sf)
-    right = _vectors(spark, sf).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    d = cosine_distance("embedding", "other")
-    return left.join(right, "vec_id").select(
-        "vec_id", F.when(~F.isnan(d), F.round(d, 6) + F.lit(0.0)).alias("distance"),
-        F.coalesce(F.isnan(d), F.lit(False)).alias("no_direction"),
+    right = _vectors(spark, sf).select(
+        (F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")
+    )
+    measured = left.join(right, "vec_id").select("vec_id", measure("embedding", "other").alias("d"))
+    return measured.select(
+        "vec_id", F.when(~F.isnan("d"), F.round("d", 6) + F.lit(0.0)).alias("distance"),
+        F.coalesce(F.isnan("d"), F.lit(False)).alias("no_direction"),
     )
 
 
+def cosine_distances(spark, sf):
+    return _neighbour_distances(spark, sf, batch_cosine_distance)
+
+
+def cosine_expression(spark, sf):
+    return _neighbour_distances(spark, sf, cosine_distance)
+
+
 def _as_queries(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").alias("query_id"), "embedding")
 
@@ -487,7 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         combined_text, csv_source, raw_sink, blanks_dropped, sentences, chunks_batch, chunks_actor,
         chunks_small, chunk_fallback, chunks_fixed, chunks_flattened, chunks_of_parents, by_source,
         zero_vectors_dropped, dimension_check, null_element_check, reject_reasons,
-        narrowed_vectors, cosine_distances, topk_one, topk_cosine, topk_sliced, topk_flawed,
+        narrowed_vectors, cosine_distances, cosine_expression, topk_one, topk_cosine, topk_sliced, topk_flawed,
         ann_ivf, ann_ivf_all_lists, ann_lsh,
         embedded_texts, hashed_embedding, query_admission, topk_text, context_section,
         built_prompts, answers,

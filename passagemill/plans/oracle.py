@@ -179,6 +179,14 @@ MARKS = "SELECT doc_id AS raw_data_id, regexp_replace(text, '[^.!?]', '', 'g') A
 
 BLANK_TURN = "' ' || chr(9) || chr(10) || chr(1) || ' '"
 
+NEIGHBOURS = f"""
+    SELECT a.vec_id, coalesce({ZERO.replace('embedding', 'a.embedding')}, false) AS no_direction,
+           CASE WHEN len(a.embedding) = 64 AND NOT ({HOLED.replace('embedding', 'a.embedding')})
+                     AND NOT ({ZERO.replace('embedding', 'a.embedding')})
+                THEN round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0
+           END AS distance
+    FROM ({FLAWED}) a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
 ORACLE: dict[str, str] = {
     "dense_ids": """
         SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, conv_id, turn FROM conversations""",
@@ -242,13 +250,8 @@ ORACLE: dict[str, str] = {
         SELECT vec_id, unnest(range(64))::INT AS pos,
                round(unnest(list_transform(embedding, lambda x: (x::DOUBLE / 3)::FLOAT))::DOUBLE, 6) + 0.0 AS x
         FROM embeddings""",
-    "cosine_distances": f"""
-        SELECT a.vec_id, coalesce({ZERO.replace('embedding', 'a.embedding')}, false) AS no_direction,
-               CASE WHEN len(a.embedding) = 64 AND NOT ({HOLED.replace('embedding', 'a.embedding')})
-                         AND NOT ({ZERO.replace('embedding', 'a.embedding')})
-                    THEN round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0
-               END AS distance
-        FROM ({FLAWED}) a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+    "cosine_distances": NEIGHBOURS,
+    "cosine_expression": NEIGHBOURS,
     "topk_one": f"""
         SELECT vec_id, round(d, 6) + 0.0 AS distance FROM (
             SELECT vec_id, {distance('embedding', '(SELECT arg_min(embedding, vec_id) FROM embeddings)')} AS d

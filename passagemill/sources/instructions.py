@@ -31,8 +31,10 @@ def read_instruction_csv(
     missing = [c for c in COLUMNS if c not in place]
     if missing:
         raise ValueError(f"columns {missing} not found in the header {list(head)}")
-    # Spark renames repeated columns, so they are taken by position.
-    data = spark.read.csv(path, header=True, **options)
+    # Spark renames repeated columns, so columns are taken by position. Where no
+    # name is repeated or empty, it also checks that all files have this header.
+    alike = len(place) < len(head) or "" in place
+    data = spark.read.csv(path, header=True, enforceSchema=alike, **options)
     return data.toDF(*(f"_{i}" for i in range(len(data.columns)))).select(
         *(F.coalesce(f"_{place[c]}", F.lit("")).alias(c) for c in COLUMNS)
     )
