@@ -36,13 +36,26 @@ class InvertedLists:
     centroids: np.ndarray
 
     @classmethod
-    def fit(cls, store: DataFrame, lists: int = LISTS, *, seed: int = 1, max_iter: int = 20):
-        """Train the centroids. They are as many as ``lists``, whatever the store's size."""
+    def fit(
+        cls,
+        store: DataFrame,
+        lists: int = LISTS,
+        *,
+        dim: int | None = None,
+        seed: int = 1,
+        max_iter: int = 20,
+    ) -> InvertedLists:
+        """Train the centroids. They are as many as ``lists``, whatever the store's size.
+
+        ``dim`` is the length of the vectors, by default that of the first one.
+        """
         e = F.col("embedding")
+        if dim is None:
+            dim = len(store.filter(F.size(e) > 0).select(e).first()[0])
         rows, vectors = store.count(), store.select("embedding")
         if rows > lists * _TRAIN_ROWS:
             vectors = vectors.sample(fraction=lists * _TRAIN_ROWS / rows, seed=seed)
-        usable = vectors.filter(e.isNotNull() & ~has_null_element(e) & ~is_zero_vector(e))
+        usable = vectors.filter((F.size(e) == dim) & ~has_null_element(e) & ~is_zero_vector(e))
         # Few rows from many files: iterate over as many partitions as they need.
         gathered = usable.repartition(1 + lists * _TRAIN_ROWS // _TRAIN_PARTITION)
         unit = Normalizer(inputCol="vector", outputCol="unit").transform(

@@ -112,9 +112,11 @@ def prefix_sample(df: DataFrame, fraction: float = SAMPLE_FRACTION, id_col: str
 
     The limit is a scalar subquery that reaches the file scan as a filter.
     """
-    lo, span = _scalars(df, id_col)
+    bounds = id_bounds(df, id_col)
+    span = F.col("id_span")
     kept = F.greatest(F.lit(1).cast("long"), F.floor(span * F.lit(float(fraction))).cast("long"))
-    return df.filter(F.col(id_col).between(lo, lo + F.least(kept, span) - 1))
+    last = bounds.select(F.col("min_id") + F.least(kept, span) - 1)
+    return df.filter(F.col(id_col) <= last.scalar())
 
 
 def keyset_page(

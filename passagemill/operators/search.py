@@ -255,7 +255,7 @@ def top_k(
         hits = None
         found = _scan_slices(
             scanned, asked, query_key, key, schema, cell_fn, probe_fn, cell_col,
-            many_cells, max_broadcast_queries, slice_rows,
+            many_cells, max_broadcast_queries, slice_rows, len(head.column("embedding")[0]),
         )
 
     order = Window.partitionBy(query_key).orderBy("distance", *key)
@@ -295,7 +295,7 @@ def _scan_broadcast(scanned, block, query_key, key, schema, cell_col) -> DataFra
 
 def _scan_slices(
     scanned, asked, query_key, key, schema, cell_fn, probe_fn, cell_col,
-    many_cells, query_rows, slice_rows,
+    many_cells, query_rows, slice_rows, dim,
 ) -> DataFrame:
     """Cut both sides into slices and meet them slice by slice.
 
@@ -311,9 +311,9 @@ def _scan_slices(
         rows = scanned.withColumn("_cell", F.lit(0).cast("long"))
         seekers = asked.withColumn("_cell", F.lit(0).cast("long"))
     else:
-        cells = F.array(F.col(cell_col).cast("long")) if cell_col else _cells_udf(cell_fn)("embedding")
+        cells = F.array(F.col(cell_col).cast("long")) if cell_col else _cells_udf(cell_fn, dim)("embedding")
         rows = scanned.select("*", F.explode(cells).alias("_cell"))
-        seekers = asked.select("*", F.explode(_cells_udf(probe_fn)("embedding")).alias("_cell"))
+        seekers = asked.select("*", F.explode(_cells_udf(probe_fn, dim)("embedding")).alias("_cell"))
         seekers = seekers.dropDuplicates([query_key, "_cell"])
 
     def slices(df: DataFrame, size: int, name: str) -> DataFrame:
@@ -349,13 +349,10 @@ def _scan_slices(
     return found.dropDuplicates([query_key, *key]) if many_cells else found
 
 
-def _cells_udf(fn: CellFn):
+def _cells_udf(fn: CellFn, dim: int):
     @F.arrow_udf("array<long>")
     def cells(vectors: pa.Array) -> pa.Array:
-        dims = [d for d in pc.unique(pc.list_value_length(vectors)).to_pylist() if d]
-        if not dims:
-            return pa.array([None] * len(vectors), pa.list_(pa.int64()))
-        unit, place = unit_rows(vectors, max(dims))
+        unit, place = unit_rows(vectors, dim)
         found = fn(unit).reshape(len(unit), -1).astype(np.int64)
         offsets = np.arange(len(unit) + 1, dtype=np.int32) * found.shape[1]
         lists = pa.ListArray.from_arrays(offsets, found.ravel())
