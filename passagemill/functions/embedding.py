@@ -28,9 +28,10 @@ def embed_batch(
 ) -> tuple[np.ndarray, list[str | None]]:
     """Vectors and failure reasons for one model call, in the order of ``texts``.
 
-    Blank texts are left out of the call. Whatever fails is a zero vector. When
-    the reply has another length than the request, ``"strict"`` zeroes the
-    whole call and ``"positional"`` keeps what came and zeroes the rest.
+    Blank texts are left out of the call. Whatever fails is a zero vector, and a
+    zero vector from the model counts as failed. When the reply has another
+    length than the request, ``"strict"`` zeroes the whole call and
+    ``"positional"`` keeps what came and zeroes the rest.
     """
     vectors = np.zeros((len(texts), dim), dtype=np.float32)
     reasons: list[str | None] = ["blank text"] * len(texts)
@@ -40,29 +41,28 @@ def embed_batch(
     try:
         reply = fn([texts[i] for i in asked])
         reply = [] if reply is None else reply
-        short = len(reply) != len(asked)
+        complete = len(reply) == len(asked)
     except Exception as failure:  # a bad call becomes rejected rows, not a dead job
         for i in asked:
             reasons[i] = f"model error: {failure}"[:500]
         return vectors, reasons
-    if short:
-        for i in asked:
-            reasons[i] = "reply count differs"
-        if policy == "strict":
-            return vectors, reasons
-    elif isinstance(reply, np.ndarray) and reply.ndim == 2 and reply.shape[1] == dim:
-        vectors[asked] = reply
-        for i in asked:
-            reasons[i] = None
+    for i in asked:
+        reasons[i] = None if complete else "reply count differs"
+    if not complete and policy == "strict":
         return vectors, reasons
-    for i, vector in zip(asked, reply):
-        if vector is None or len(vector) != dim:
-            reasons[i] = "wrong dimension"
-        elif any(x is None for x in vector):
-            reasons[i] = "null element"
-        else:
-            vectors[i] = vector
-            reasons[i] = None
+    if complete and isinstance(reply, np.ndarray) and reply.ndim == 2 and reply.shape[1] == dim:
+        vectors[asked] = reply
+    else:
+        for i, vector in zip(asked, reply):
+            if vector is None or len(vector) != dim:
+                reasons[i] = "wrong dimension"
+            elif any(x is None for x in vector):
+                reasons[i] = "null element"
+            else:
+                vectors[i] = vector
+                reasons[i] = None
+    for i in np.flatnonzero(~vectors.any(axis=1)):
+        reasons[i] = reasons[i] or "zero vector"
     return vectors, reasons
 
 

@@ -81,27 +81,14 @@ class InvertedLists:
 
         return store.withColumn("cell", cell("embedding"))
 
-    def write(
-        self,
-        store: DataFrame,
-        path: str,
-        *,
-        key: tuple[str, ...] = ("raw_data_id", "chunk_index"),
-        rows_per_file: int = 500_000,
-    ) -> None:
-        """Write the store in one folder per cell. A large cell is spread over several tasks."""
+    def write(self, store: DataFrame, path: str) -> None:
+        """Write the store in one folder per cell.
+
+        Rows are gathered by cell, and the rebalance splits a large cell over
+        several tasks and files.
+        """
         placed = self.assign(store).filter("cell IS NOT NULL")
-        # One row per list.
-        files = placed.groupBy("cell").agg(
-            F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files")
-        )
-        (
-            placed.join(F.broadcast(files), "cell")
-            .withColumn("_file", F.pmod(F.xxhash64(*key), F.col("_files")))
-            .repartition("cell", "_file")
-            .drop("_files", "_file")
-            .write.mode("overwrite").partitionBy("cell").parquet(path)
-        )
+        placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
 
     def top_k(
         self, store: DataFrame, queries: DataFrame, k: int = QUERY_K, *, nprobe: int = 10, **options

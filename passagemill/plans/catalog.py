@@ -336,7 +336,7 @@ def ann_ivf_all_lists(spark, sf):
     """Probing every list, from a store written by cell, is the exact search."""
     store, path = _vectors(spark, sf), shared_folder(spark, "cells")
     lists = InvertedLists.fit(store, LISTS)
-    lists.write(store, path, key=ONE)
+    lists.write(store, path)
     written = spark.read.parquet(path)
     return _rounded(lists.top_k(written, _as_queries(store), 5, nprobe=LISTS, key=ONE))
 
@@ -369,7 +369,11 @@ def hashed_embedding(spark, sf):
 
 
 def _store(spark, sf) -> DataFrame:
-    return embed_chunks(_texts(spark, sf), HashedEmbedder(DIM), dim=DIM).filter("outcome = 'stored'")
+    """The documents ingested, as a search finds them: a written store."""
+    root = shared_folder(spark, "store")
+    create_store(spark, root)
+    ingest(_texts(spark, sf), root, HashedEmbedder(DIM), dim=DIM)
+    return read_store(spark, root)
 
 
 def query_admission(spark, sf):
@@ -434,10 +438,7 @@ def _summary(store: DataFrame) -> DataFrame:
 
 def ingested(spark, sf):
     """The job's store, read back."""
-    root = shared_folder(spark, "store")
-    create_store(spark, root)
-    ingest(_texts(spark, sf), root, HashedEmbedder(DIM), dim=DIM)
-    return _summary(read_store(spark, root))
+    return _summary(_store(spark, sf))
 
 
 def ingested_stream(spark, sf):

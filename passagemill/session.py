@@ -20,6 +20,9 @@ RECOMMENDED = {
 }
 
 
+_local_root: tempfile.TemporaryDirectory | None = None
+
+
 def build_session(app: str = "passagemill", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -33,13 +36,17 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
     Intermediate tables must outlive any executor, so on a cluster the setting
-    is required. Only a ``local`` session without it gets a temporary folder.
+    is required. Only a ``local`` session without it gets a temporary folder,
+    which goes when the program ends.
     """
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="passagemill-")
+        if _local_root is None:
+            _local_root = tempfile.TemporaryDirectory(prefix="passagemill-", ignore_cleanup_errors=True)
+        root = _local_root.name
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 

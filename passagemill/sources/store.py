@@ -99,5 +99,10 @@ def write_by_parent(store: DataFrame, path: str) -> None:
 
 
 def write_by_source(store: DataFrame, path: str) -> None:
-    """A copy with one folder per source; every task writes its own share of a large source."""
-    store.write.mode("overwrite").partitionBy("source").parquet(path)
+    """A copy with one folder per source.
+
+    Rows are gathered by source, so that not every task writes to every folder,
+    and the rebalance splits a large source over several tasks and files.
+    """
+    gathered = store.hint("rebalance", "source")
+    gathered.write.mode("overwrite").partitionBy("source").parquet(path)

@@ -44,6 +44,11 @@ def test_failures_are_zero_vectors():
     assert reasons(["a", "b"], lambda t: np.ones((2, 4))) == ["wrong dimension"] * 2
 
 
+def test_a_zero_vector_counts_as_failed():
+    assert reasons(["a", "b"], lambda t: np.array([[0, 0, 0], [0, 1, 0]])) == ["zero vector", None]
+    assert reasons(["a", "b"], lambda t: [[0, 0, 0], [0, 1, 0]]) == ["zero vector", None]
+
+
 def test_short_reply():
     short = lambda texts: ONES(texts)[:-1]
     assert reasons(["a", "", "b"], short) == ["reply count differs", "blank text", "reply count differs"]

@@ -158,7 +158,7 @@ def test_inverted_lists(spark, tmp_path):
     sliced = lists.top_k(store, queries, 5, nprobe=2, key=KEY, max_broadcast_queries=50, slice_rows=30)
     assert hits(sliced) == hits(near)
 
-    lists.write(store, str(tmp_path / "cells"), key=KEY, rows_per_file=40)
+    lists.write(store, str(tmp_path / "cells"))
     written = spark.read.parquet(str(tmp_path / "cells"))
     assert written.count() == 400
     assert hits(lists.top_k(written, queries, 5, nprobe=2, key=KEY)) == hits(near)
