@@ -47,8 +47,10 @@ MAX_BROADCAST_HITS = 500_000
 # not reorder equal vectors; the key breaks ties.
 DIGITS = 9
 _SLACK = 10.0 ** -DIGITS
-# Distances computed at a time in one task.
+# Distances computed at a time in one task, and candidates gathered before the best are kept.
 _TILE = 2_000_000
+_PENDING = 2_000_000
+_BATCH_ROWS = 10_000
 
 # Cells of each row of a matrix of unit vectors, as an integer matrix (rows, cells per row).
 CellFn = Callable[[np.ndarray], np.ndarray]
@@ -69,14 +71,12 @@ class QueryBlock:
     def __post_init__(self):
         self.everyone = np.arange(len(self.ids))
 
-    def meetings(self, unit: np.ndarray, cells: np.ndarray | None):
-        """Which rows of a batch meet which queries."""
+    def meetings(self, cells: np.ndarray | None, n: int):
+        """Which of a batch's n rows meet which queries."""
         if self.probes is None:
-            yield np.arange(len(unit)), self.everyone
+            yield np.arange(n), self.everyone
             return
-        if cells is None:
-            cells = self.cell_fn(unit)
-        for column in cells.reshape(len(unit), -1).T:
+        for column in cells.T:
             order = np.argsort(column, kind="stable")
             codes, starts = np.unique(column[order], return_index=True)
             for code, rows in zip(codes, np.split(order, starts[1:])):
@@ -84,6 +84,16 @@ class QueryBlock:
                 if queries is not None:
                     yield rows, queries
 
+    def cells_of(self, unit: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Cells of each row, -1 for a row without a direction: an index leaves it out."""
+        usable = place == 0
+        if not usable.any():
+            return np.full((len(unit), 1), -1)
+        found = self.cell_fn(unit[usable]).reshape(usable.sum(), -1)
+        cells = np.full((len(unit), found.shape[1]), -1)
+        cells[usable] = found
+        return cells
+
 
 def scan_batches(
     block: QueryBlock,
@@ -93,56 +103,77 @@ def scan_batches(
 ) -> pa.Table | None:
     """The k nearest rows of a stream of batches per query: ``q``, ``distance``, key columns."""
     n, dim = block.unit.shape
-    best: pa.Table | None = None
     bound = np.full(n, np.inf)
+    best: pa.Table | None = None
+
+    def keep(batch: pa.RecordBatch, found: list) -> pa.Table:
+        q, r, d = (np.concatenate(part) for part in zip(*found))
+        rows = pa.array(r)
+        fresh = pa.table(
+            {"q": q, "distance": d, **{name: batch.column(name).take(rows) for name in key}}
+        )
+        rows = fresh if best is None else pa.concat_tables([best, fresh])
+        return _keep_nearest(rows, block, key, bound) if rows.num_rows else rows
+
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
+        # In key order, of equally distant rows the first ones are those to keep.
+        batch = batch.take(pc.sort_indices(batch, [(name, "ascending") for name in key]))
         unit, place = unit_rows(batch.column("embedding"), dim)
         cells = None
         if cell_col is not None:
-            cells = batch.column(cell_col).to_numpy(zero_copy_only=False)
+            cells = batch.column(cell_col).to_numpy(zero_copy_only=False)[:, None]
         elif block.probes is not None:
-            usable = place == 0  # an index leaves out rows without a direction
-            cells = np.full((len(unit), 1), -1)
-            if usable.any():
-                found = block.cell_fn(unit[usable]).reshape(usable.sum(), -1)
-                cells = np.full((len(unit), found.shape[1]), -1)
-                cells[usable] = found
-        found_q, found_r, found_d = [], [], []
-        for rows, queries in block.meetings(unit, cells):
+            cells = block.cells_of(unit, place)
+        found, pending = [], 0
+        for rows, queries in block.meetings(cells, batch.num_rows):
             step = max(_TILE // len(queries), 1)
             for at in range(0, len(rows), step):
                 tile = rows[at : at + step]
-                d = 1.0 - block.unit[queries] @ unit[tile].T
-                outside = place[tile] > 0
-                if outside.any():
-                    d[:, outside] = place[tile][outside]
-                limit = bound[queries]
-                most = int(block.k[queries].max())
-                fresh = np.isinf(limit)
-                if len(tile) > most and fresh.any():
-                    limit[fresh] = np.partition(d[fresh], most - 1, axis=1)[:, most - 1]
-                q, r = np.nonzero(d <= (limit + _SLACK)[:, None])
-                found_q.append(queries[q])
-                found_r.append(tile[r])
-                found_d.append(np.round(d[q, r], DIGITS) + 0.0)  # no -0.0
-        if not found_q:
-            continue
-        rows = pa.array(np.concatenate(found_r))
-        fresh_rows = pa.table(
-            {
-                "q": np.concatenate(found_q),
-                "distance": np.concatenate(found_d),
-                **{name: batch.column(name).take(rows) for name in key},
-            }
-        )
-        if fresh_rows.num_rows:
-            best = fresh_rows if best is None else pa.concat_tables([best, fresh_rows])
-            best = _keep_nearest(best, block, key, bound)
+                q, r, d = _nearest_of_tile(block, queries, unit[tile], place[tile], bound)
+                found.append((q, tile[r], d))
+                pending += len(q)
+                if pending > _PENDING:
+                    best, found, pending = keep(batch, found), [], 0
+        if pending:
+            best = keep(batch, found)
     return best
 
 
+def _nearest_of_tile(block, queries, unit, place, bound):
+    """Queries, rows and distances that can still be among the k nearest.
+
+    Of the rows at the k-th distance itself only the first k are kept, so that
+    any number of copies of one vector costs no more than k of them.
+    """
+    d = 1.0 - block.unit[queries] @ unit.T
+    outside = place > 0
+    if outside.any():
+        d[:, outside] = place[outside]
+    most = int(block.k[queries].max())
+    limit = bound[queries]
+    near = d <= (limit + _SLACK)[:, None]
+    crowded = np.count_nonzero(near, axis=1) > most
+    if crowded.any():
+        kth = np.partition(d[crowded], most - 1, axis=1)[:, most - 1]
+        limit[crowded] = np.minimum(limit[crowded], np.round(kth, DIGITS))
+        near[crowded] = d[crowded] <= (limit[crowded] + _SLACK)[:, None]
+    q, r = np.nonzero(near)
+    distance = np.round(d[q, r], DIGITS) + 0.0  # no -0.0
+    kept = distance < limit[q]
+    at = np.flatnonzero(distance == limit[q])
+    kept[at[_rank_in_group(q[at]) < most]] = True
+    return queries[q[kept]], r[kept], distance[kept]
+
+
+def _rank_in_group(sorted_groups: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of equal values."""
+    if not len(sorted_groups):
+        return sorted_groups
+    starts = np.flatnonzero(np.concatenate([[True], sorted_groups[1:] != sorted_groups[:-1]]))
+    sizes = np.diff(np.append(starts, len(sorted_groups)))
+    return np.arange(len(sorted_groups)) - np.repeat(starts, sizes)
+
+
 def _keep_nearest(
     rows: pa.Table, block: QueryBlock, key: tuple[str, ...], bound: np.ndarray
 ) -> pa.Table:
@@ -158,8 +189,7 @@ def _keep_nearest(
         pc.sort_indices(rows, [(c, "ascending") for c in ("q", "distance", *key)])
     ).combine_chunks()
     q = rows.column("q").to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    rank = _rank_in_group(q)
     last = rank == block.k[q] - 1
     bound[q[last]] = rows.column("distance").to_numpy()[last]
     return rows.filter(pa.array(rank < block.k[q]))
@@ -222,10 +252,13 @@ def top_k(
 
     ``store`` has ``key`` and ``embedding``; ``queries`` has ``query_key``,
     ``embedding`` and optionally its own number of hits ``k``. Both keys must
-    be unique. Rows of the store without a direction come after all distances:
+    be unique, and k modest: the last step ranks k rows per task for each query
+    together. Rows of the store without a direction come after all distances:
     zero vectors (NaN) first, then missing ones (NULL). ``columns`` names
     further store columns to fetch for the hits.
     """
+    if query_key in key:
+        raise ValueError(f"{query_key} names both a query and a stored row")
     spark = store.sparkSession
     own_k = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
     # Fresh columns, so that queries taken from the store itself stay apart from it.
@@ -339,7 +372,7 @@ def _scan_slices(
         best = None
         if left.num_rows and right.num_rows:
             block = _build_block(left, query_key, None, None)
-            best = scan_batches(block, right.to_batches(), key)
+            best = scan_batches(block, right.to_batches(max_chunksize=_BATCH_ROWS), key)
         if best is None:
             return arrow_schema.empty_table()
         return _emit(best, block, query_key, key, arrow_schema)

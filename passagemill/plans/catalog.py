@@ -309,16 +309,22 @@ def topk_sliced(spark, sf):
 
 
 def topk_flawed(spark, sf):
-    """A store with vectors that have no direction: they come last, missing ones at the end."""
-    store = _flawed(spark, sf)
+    """A store of mostly unusable vectors: zero ones come after all distances, missing ones last."""
+    e, kind = F.col("embedding"), F.col("vec_id") % 100
+    flawed = (
+        F.when(kind < 3, e)
+        .when(kind < 5, F.transform(e, lambda x: F.lit(0.0).cast("float")))
+        .when(kind == 5, F.slice(e, 1, DIM - 1))
+        .when(kind == 6, F.transform(e, lambda x, i: F.when(i != 5, x)))
+    )
     firsts = _table(spark, sf, "embeddings").groupBy("label").agg(
         F.min_by("embedding", "vec_id").alias("embedding")
     )
-    usable = firsts.select(
+    asked = firsts.select(
         F.col("label").alias("query_id"), "embedding",
-        F.when(F.col("label") % 2 == 0, 1_000_000).otherwise(3).alias("k"),
+        F.when(F.col("label") % 2 == 0, 120).otherwise(3).alias("k"),
     )
-    found = top_k(store, usable, key=ONE)
+    found = top_k(_vectors(spark, sf).select("vec_id", flawed.alias("embedding")), asked, key=ONE)
     return found.select(
         "query_id", "rank", "vec_id",
         F.when(~F.isnan("distance"), F.round("distance", 6) + F.lit(0.0)).alias("distance"),

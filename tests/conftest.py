@@ -8,8 +8,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    from pyspark import cloudpickle
+
+    import tests
     from passagemill.session import build_session
 
+    # The tests' own functions travel with the tasks too, wherever the tests are started.
+    cloudpickle.register_pickle_by_value(tests)
+
     session = build_session(
         "tests", "local[4]",
         **{
