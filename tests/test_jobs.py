@@ -15,6 +15,7 @@ from passagemill.sources.store import (
     read_store,
     reset_store,
     write_by_parent,
+    write_by_source,
 )
 from passagemill.streaming.ingest import ingest_stream, only_new
 
@@ -293,3 +294,22 @@ def test_a_failing_model_finds_nothing(spark):
     store = embed_chunks(raw_of(spark, RAW), EMBED, dim=DIM)
     asked = spark.createDataFrame([(1, "fish")], "query_id int, query string")
     assert search_text(store, asked, broken, dim=DIM).collect() == []
+
+
+def test_a_large_source_is_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "by-source")
+    rows = spark.range(0, 30_000, 1, 6).selectExpr(
+        "id AS raw_data_id", "sha2(string(id), 256) AS chunk_text",
+        "if(id % 3 = 0, 'hot', concat('s', id % 10)) AS source",
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100kb")
+    try:
+        write_by_source(rows, path)
+    finally:
+        spark.conf.set(size, before)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "by-source").iterdir() if p.is_dir()}
+    # Without gathering, each of the 6 tasks would write to each of the 11 folders.
+    assert files["source=hot"] > 2 and sum(files.values()) < 6 * 11
+    assert spark.read.parquet(path).count() == 30_000

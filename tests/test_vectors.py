@@ -200,3 +200,17 @@ def test_slices_equal_broadcast(spark, seed, k, many, size):
     queries = queries_of(store)
     want = hits(top_k(store, queries, k, key=KEY))
     assert hits(top_k(store, queries, k, key=KEY, max_broadcast_queries=many, slice_rows=size)) == want
+
+
+def test_one_hot_cell(spark):
+    """A third of the rows are copies and share every cell; the cell is sliced."""
+    good = random_store(spark, 200)
+    copies = spark.range(1000, 1100).select("id", F.array(*[F.lit(float(i)).cast("float") for i in range(8)]).alias("embedding"))
+    store = good.union(copies)
+    queries = queries_of(store).filter("query_id % 20 = 0")
+    small = {"max_broadcast_queries": 3, "slice_rows": 15}
+    for search in (InvertedLists.fit(store, 4).top_k, Hyperplanes(8, tables=3, bits=4).top_k):
+        want = hits(search(store, queries, 6, key=KEY))
+        assert hits(search(store, queries, 6, key=KEY, **small)) == want
+        first = sorted(i for q, rank, i, _ in want if q == 1040)
+        assert first == list(range(1000, 1006))
