@@ -12,9 +12,6 @@ PAGE_SIZE = 100
 READERS = 4
 SAMPLE_FRACTION = 0.3
 
-# Ids per block when rows are numbered; ids are unique, so no block has more rows.
-_BLOCK = 100_000
-
 
 def _div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, F.lit(b))
@@ -131,23 +128,14 @@ def page_numbers(
 ) -> DataFrame:
     """Add ``range_id`` and ``page``: the keyset page each row would be read on.
 
-    Ids must be unique. Rows are numbered in blocks of ids, never a range at a
-    time: the block totals give each block its first number.
+    Ids must be unique; how they are spread does not matter. All rows are
+    numbered once in id order, and a range's first number gives its pages.
     """
-    lo, _ = _scalars(df, id_col)
-    key = ["range_id", "_block"]
-    rows = with_range_id(df, n, id_col).withColumn(
-        "_block", _div(F.col(id_col) - lo, _BLOCK)
-    )
-    before = Window.partitionBy("range_id").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).select(
-        *key, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
-    )
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(*key).orderBy(id_col)) - 1
-    return rows.join(offsets, key).select(
-        *df.columns, "range_id", _div(place, size).alias("page")
+    numbered = dense_ids(df, [id_col], id_col="_number")
+    rows = numbered.withColumn("range_id", range_id(F.col(id_col), *_scalars(df, id_col), n))
+    firsts = rows.groupBy("range_id").agg(F.min("_number").alias("_first"))
+    return rows.join(F.broadcast(firsts), "range_id").select(  # one row per range
+        *df.columns, "range_id", _div(F.col("_number") - F.col("_first"), size).alias("page")
     )
 
 

@@ -48,7 +48,7 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str | None):
     if sql is None:
         return got.num_rows, None, spark_seconds, 0.0
     begun = time.time()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     duck_seconds = time.time() - begun
     problem = None
     if sorted(got.schema.names) != sorted(want.schema.names):

@@ -57,7 +57,7 @@ def test_empty_range_costs_one_page(spark):
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
-@given(values=st.sets(st.integers(-300, 300_000), min_size=1, max_size=60), n=st.integers(1, 9), size=st.integers(1, 7))
+@given(values=st.sets(st.integers(-300, 2**60), min_size=1, max_size=60), n=st.integers(1, 9), size=st.integers(1, 7))
 def test_ranges_cover_and_pages_count(spark, values, n, size):
     df = ids(spark, values)
     table = [tuple(r) for r in ranges.id_ranges(df, n).orderBy("range_id").collect()]
