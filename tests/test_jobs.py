@@ -313,3 +313,13 @@ def test_a_large_source_is_written_by_several_tasks(spark, tmp_path):
     # Without gathering, each of the 6 tasks would write to each of the 11 folders.
     assert files["source=hot"] > 2 and sum(files.values()) < 6 * 11
     assert spark.read.parquet(path).count() == 30_000
+
+
+def test_csv_with_backslash_escapes(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", 'instruction,input,output\n"a \\"b\\"",c,d\n')
+    assert read_instruction_csv(spark, path, escape="\\").first().instruction == 'a "b"'
+
+
+def test_csv_without_line_breaks_can_be_split(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", "instruction,input,output\n" + "a,b,c\n" * 50)
+    assert raw_text(read_instruction_csv(spark, path, multi_line=False)).count() == 50
