@@ -1,0 +1,57 @@
+import hashlib
+import random
+import struct
+
+import pytest
+from tokenizers import Tokenizer
+
+from passagemill.llm import bpe, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(queries.BYTE_BPE)
+
+
+def test_query_equals_the_library(spark, library):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op6_bpe(spark, SF).collect()}
+    for doc in docs:
+        ids = library.encode(doc.text, add_special_tokens=False).ids
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        text = library.decode(ids, skip_special_tokens=False)
+        assert got[doc.doc_id] == (
+            len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        )
+
+
+def test_odd_texts_equal_the_library(spark, library):
+    rng = random.Random(4)
+    letters = list("abcdeéß漢字ابΩ🙂👍🏽'’ \t\n\r ‍\u0001ſ0123459.,!?<|>") + ["<|endoftext|>", " the", "ing", "'ll"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 80))) for _ in range(400)]
+    texts += ["", " ", "   ", "a" * 3_000, "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "\n\n \n", None]
+    rows = list(enumerate(texts)) + [(None, "a"), (0, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as ids", "text as decoded")
+    for r in bpe.encode_decode(docs.drop("ids", "decoded"), queries.BYTE_BPE, keep=("doc_id", "text")).collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == ids
+        assert r.decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_clashing_columns_and_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, ids string, decoded string, row string")
+    assert bpe.encode_decode(docs, queries.BYTE_BPE).collect() == []
+    docs = spark.createDataFrame([(1, "a b", "i", "d", "r")], docs.schema)
+    assert bpe.encode_decode(docs, queries.BYTE_BPE).first().decoded == "a b"
+
+
+def test_shared_prefixes_are_walked_once(library):
+    """The states of a prefix come from the word before, and give the same ids."""
+    encoder = bpe.TrieEncoder(bpe.Vocabulary.read(queries.BYTE_BPE))
+    words = [" internation" + end for end in ("", "al", "ally", "alise", "s")] + ["inter", "i", " "]
+    coded = encoder.encode_words(w.encode() for w in words)
+    for w in words:
+        ids = library.encode(w, add_special_tokens=False).ids
+        assert coded[w.encode()] == struct.pack(f"<{len(ids)}I", *ids)
