@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, leaks, neardup
+from passagemill.llm import bpe, kneser, langid, leaks, maintext, neardup, secrets, shards
+from passagemill.llm.common import Scratch
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+SHARDS, SEED = 24, 20
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
@@ -18,10 +20,26 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_shards(spark, sf):
+    """Law ``rows``. The shards are written, and the digests come from the written shards."""
+    docs = _table(spark, sf, "documents")
+    written = shards.write_shards(docs, f"{Scratch(spark, 'shards').root}/shuffled", SHARDS, SEED)
+    return written.select(
+        "doc_id", shards.record_bytes().alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_neardup(spark, sf):
     return neardup.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op3_maintext(spark, sf):
+    found = maintext.extract(_table(spark, sf, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_decontaminate(spark, sf):
     found = leaks.find_leaks(
         _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark")
@@ -41,6 +59,34 @@ def op6_bpe(spark, sf):
     )
 
 
+def op7_quality(spark, sf):
+    judged = kneser.quality(_table(spark, sf, "documents"))
+    return judged.select("doc_id", *kneser.COUNTS, "base_failed", "kept", "surprise", "lower", "upper")
+
+
+def op8_langid(spark, sf):
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", held_out)
+    # A row without id is not known to be held out, and not learned from.
+    learned = langid.fit(docs.filter("held_out = false").select("text", "lang"))
+    guessed = langid.predict(docs.select("doc_id", "text", "held_out"), learned, keep=("doc_id", "held_out"))
+    return guessed.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op10_secrets(spark, sf):
+    found = secrets.find_secrets(_table(spark, sf, "documents").select("doc_id", "text"))
+    number = lambda kind: F.size(F.filter("secrets", lambda m: m["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda m: m["kind"] < secrets.KINDS.index("random"))
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_neardup, op5_decontaminate, op6_bpe)
+    f.__name__: f for f in (
+        op1_shards, op2_neardup, op3_maintext, op5_decontaminate, op6_bpe, op7_quality, op8_langid,
+        op10_secrets,
+    )
 }

@@ -61,3 +61,20 @@ def leaks(docs, items):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def secrets(text):
+    """The base spans ``(start, kind, end)``."""
+    text = text or ""
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+KINDS = ("assign", "access", "hex", "random")
+
+
+def listed(spans):
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
