@@ -58,4 +58,21 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_neardup": NEARDUP, "op5_decontaminate": DECONTAMINATE}
+WARC = r"""
+WITH records AS (
+  SELECT page_id, url,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+    || coalesce('WARC-Target-URI: ' || url || chr(13) || chr(10), '')
+    || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') AS record
+  FROM pages
+)
+SELECT page_id, url, strlen(record) AS n_bytes, sha256(record) AS sha256,
+  CASE WHEN page_id % 211 = 5 THEN 'missing'
+    WHEN page_id % 101 = 7 AND contains(record, '<title>') THEN 'corrupt' ELSE 'intact' END AS status
+FROM records
+"""
+
+ORACLE: dict[str, str] = {"op2_neardup": NEARDUP, "op4_warc": WARC, "op5_decontaminate": DECONTAMINATE}

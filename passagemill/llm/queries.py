@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, kneser, langid, leaks, maintext, neardup, secrets, shards
+from passagemill.llm import bpe, kneser, langid, lattice, leaks, maintext, neardup, secrets, shards, warc
 from passagemill.llm.common import Scratch
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 SHARDS, SEED = 24, 20
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,6 +41,29 @@ def op3_maintext(spark, sf):
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_warc(spark, sf):
+    """Pages as an archive and a replica of it with faults, audited; every record with its state.
+
+    The replica loses a few records, has bytes changed in others and gains some.
+    """
+    scratch = Scratch(spark, "warc")
+    first, second = f"{scratch.root}/first", f"{scratch.root}/second"
+    warc.write_archive(_table(spark, sf, "pages"), first)
+    leaves = scratch.keep(warc.read_archive(spark, first, payload=False), "leaves")
+
+    copy = warc.read_archive(spark, first).withColumn("id", F.col("page").cast("long"))
+    changed = F.when(F.col("id") % 101 == 7, F.regexp_replace("record", "<title>", "<tit1e>")).otherwise(F.col("record"))
+    copy = copy.filter("id is null or id % 211 != 5").withColumn("record", changed)
+    warc.write_records(copy.select("file", "number", "record"), second)
+
+    states = warc.audit(leaves, scratch.keep(warc.read_archive(spark, second, payload=False), "replica"))
+    place = ["file", "offset"]
+    return leaves.join(states.select(*place, "status"), place, "left").select(
+        F.col("page").cast("long").alias("page_id"), "url", F.col("length").alias("n_bytes"),
+        F.lower(F.hex("hash")).alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"),
+    )
+
+
 def op5_decontaminate(spark, sf):
     found = leaks.find_leaks(
         _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark")
@@ -73,6 +97,11 @@ def op8_langid(spark, sf):
     return guessed.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op9_lattice(spark, sf):
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out")
+    return lattice.score(_table(spark, sf, "documents").select("doc_id", "text", held_out), PIECES)
+
+
 def op10_secrets(spark, sf):
     found = secrets.find_secrets(_table(spark, sf, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("secrets", lambda m: m["kind"] == kind)).cast("long")
@@ -86,7 +115,7 @@ def op10_secrets(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_shards, op2_neardup, op3_maintext, op5_decontaminate, op6_bpe, op7_quality, op8_langid,
-        op10_secrets,
+        op1_shards, op2_neardup, op3_maintext, op4_warc, op5_decontaminate, op6_bpe, op7_quality,
+        op8_langid, op9_lattice, op10_secrets,
     )
 }
