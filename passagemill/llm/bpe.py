@@ -23,13 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+#: Text that is split into words at once.
+RUN_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,36 +77,67 @@ class Vocabulary:
 
 class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
-        self.tokens, self.merges = vocabulary.tokens, vocabulary.merges
+        self.tokens = vocabulary.tokens
         self.longest = max(map(len, self.tokens), default=0)
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.spelled = vocabulary.spelled()
+        self.rank_of = {pair: rank for pair, (rank, _) in vocabulary.merges.items()}
+        # How each token came about: the two it was merged from, and when. Single bytes: never.
+        self.made = {made: (rank, *pair) for pair, (rank, made) in reversed(vocabulary.merges.items())}
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.alone: dict[int, bool] = {}
+
+    def may_follow(self, left: int, right: int) -> bool:
+        """Does the border between two tokens outlast all merges of their joined bytes?
+
+        Goes back in time. At each moment one token touches the border from either side; the border
+        falls if these two merge before either is merged on its own side. Of merges of equal rank
+        the left one comes first.
+        """
+        pair = left, right
+        known = self.fits.get(pair)
+        if known is not None:
+            return known
+        if len(self.fits) >= CACHED_WORDS:
+            self.fits.clear()
+        never = (-1, 0, 0)
+        until, fits = float("inf"), True
+        while True:
+            if self.rank_of.get((left, right), until) < until:
+                fits = False
+                break
+            (born_l, _, inner_l), (born_r, inner_r, _) = self.made.get(left, never), self.made.get(right, never)
+            if born_l < 0 and born_r < 0:
+                break
+            if born_l > born_r:
+                left, until = inner_l, born_l
+            else:
+                right, until = inner_r, born_r + 0.5
+        self.fits[pair] = fits
+        return fits
+
+    def stands(self, token: int) -> bool:
+        """Is the token what its own bytes are encoded to?"""
+        known = self.alone.get(token)
+        if known is None:
+            known = self.alone[token] = self._merged(self.spelled[token]) == [token]
+        return known
 
-    def merged(self, word: bytes) -> list[int]:
+    def _merged(self, word: bytes) -> list[int]:
         """Plain BPE: merge the pair of least rank until none is left."""
         ids = [self.tokens[word[i : i + 1]] for i in range(len(word))]
         while len(ids) > 1:
-            ranks = [(self.merges.get(p, (None,))[0], i) for i, p in enumerate(zip(ids, ids[1:]))]
-            ranks = [r for r in ranks if r[0] is not None]
+            ranks = [(self.rank_of[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank_of]
             if not ranks:
                 break
-            at = min(ranks)[1]
-            ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
+            _, at = min(ranks)
+            ids[at : at + 2] = [self.tokens[self.spelled[ids[at]] + self.spelled[ids[at + 1]]]]
         return ids
 
-    def may_follow(self, before: bytes, token: bytes) -> bool:
-        pair = before, token
-        known = self.fits.get(pair)
-        if known is None:
-            if len(self.fits) >= CACHED_WORDS:
-                self.fits.clear()
-            alone = [self.tokens[before], self.tokens[token]]
-            known = self.fits[pair] = self.merged(before + token) == alone
-        return known
-
     def encode_words(self, words: Iterator[bytes]) -> dict[bytes, bytes]:
         """Ids of each distinct word, as little-endian unsigned 32-bit integers."""
         out: dict[bytes, bytes] = {}
-        path, last = b"", [b""]  # last[d]: the last token of the open path's first d bytes
+        lengths = [len(t) for t in self.spelled]
+        path, last = b"", [-1]  # last[d]: the last token of the open path's first d bytes
         for word in sorted(words):
             shared = 0
             for x, y in zip(path, word):
@@ -115,26 +149,37 @@ class TrieEncoder:
                 last.append(self._last_token(word, depth, last))
             path, at, ids = word, len(word), []
             while at:
-                ids.append(self.tokens[last[at]])
-                at -= len(last[at])
+                ids.append(last[at])
+                at -= lengths[last[at]]
             out[word] = np.array(ids[::-1], "<u4").tobytes()
         return out
 
-    def _last_token(self, word: bytes, depth: int, last: list[bytes]) -> bytes:
-        for start in range(max(0, depth - self.longest), depth):
-            token = word[start:depth]
-            if token in self.tokens and (
-                self.may_follow(last[start], token) if start else self._stands(token)
-            ):
+    def _last_token(self, word: bytes, depth: int, last: list[int]) -> int:
+        # Exactly one token is right, so the order of trying does not matter.
+        find, known = self.tokens.get, self.fits.get
+        for start in range(depth - 1, max(0, depth - self.longest) - 1, -1):
+            token = find(word[start:depth])
+            if token is None:
+                continue
+            if not start:
+                if self.stands(token):
+                    return token
+                continue
+            fits = known((last[start], token))
+            if fits or fits is None and self.may_follow(last[start], token):
                 return token
         raise ValueError(f"no token ends {word[:depth]!r}; the vocabulary lacks single bytes")
 
-    def _stands(self, token: bytes) -> bool:
-        """Is the token what its own bytes are encoded to?"""
-        pair = b"", token
-        if pair not in self.fits:
-            self.fits[pair] = self.merged(token) == [self.tokens[token]]
-        return self.fits[pair]
+
+def runs(batch: pa.RecordBatch, size: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in runs of about ``size`` bytes of the first column; a long text is one run."""
+    ends = np.cumsum(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def codec_batches(vocabulary: Vocabulary):
@@ -147,8 +192,7 @@ def codec_batches(vocabulary: Vocabulary):
         split = regex.compile(f"({marks})") if marks else None
         special = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.special.items()}
         known: dict[str, bytes] = {}
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+        def coded(texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
             parts: list[list[str]] = []
             for text in texts:
                 words: list[str] = []
@@ -157,20 +201,25 @@ def codec_batches(vocabulary: Vocabulary):
                 parts.append(words)
             if len(known) >= CACHED_WORDS:
                 known.clear()
-            fresh = {w for words in parts for w in words if w not in known and w not in special}
-            coded = encoder.encode_words(w.encode() for w in fresh)
-            known.update((w, coded[w.encode()]) for w in fresh)
             known.update(special)
-            ids, decoded = [], []
+            fresh = {w for words in parts for w in words if w not in known}
+            codes = encoder.encode_words(w.encode() for w in fresh)
+            known.update((w, codes[w.encode()]) for w in fresh)
             for words in parts:
-                coded_text = b"".join(map(known.__getitem__, words))
-                ids.append(coded_text)
-                numbers = np.frombuffer(coded_text, "<u4").tolist()
-                decoded.append(b"".join(map(spelled.__getitem__, numbers)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                [*batch.schema.names, "ids", "decoded"],
-            )
+                ids = b"".join(map(known.__getitem__, words))
+                numbers = np.frombuffer(ids, "<u4").tolist()
+                yield ids, b"".join(map(spelled.__getitem__, numbers)).decode("utf-8", "replace")
+
+        for batch in batches:
+            for rows in runs(batch):
+                made = list(coded(rows.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *rows.columns, pa.array([ids for ids, _ in made], pa.binary()),
+                        pa.array([text for _, text in made], pa.string()),
+                    ],
+                    [*rows.schema.names, "ids", "decoded"],
+                )
 
     return run
 
