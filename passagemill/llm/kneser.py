@@ -336,7 +336,7 @@ def quality(
 
     quarter, three = (F.percentile_approx("surprise", q, 10_000) for q in (0.25, 0.75))
     bands = scored.groupBy("model").agg(quarter.alias("q1"), three.alias("q3"))
-    more = F.lit(slack) / F.sqrt("n_points")
+    more = F.lit(slack) / F.sqrt(F.greatest("n_points", F.lit(1)))
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )

@@ -1,0 +1,71 @@
+import zlib
+
+import pytest
+
+from passagemill.llm import langid, queries
+
+
+def test_held_out_accuracy(spark):
+    """Learned on two thirds, right on the rest; only garbled or mixed texts are missed."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op8_langid(spark, sf).collect()
+    assert len(rows) == len(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.97
+    assert sum(r.accepted for r in rows) / len(rows) > 0.99
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def learned(spark, rows):
+    return langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+
+
+EN = "the quick brown fox jumps over the lazy dog and then it walks home with the others "
+DE = "der schnelle braune Fuchs springt über den faulen Hund und geht dann mit den anderen heim "
+
+
+@pytest.fixture(scope="module")
+def tools(spark):
+    return langid.Compressors(learned(spark, [(EN * 3, "en"), (DE * 3, "de"), (EN, None), (None, "fr"), ("", "fr")]))
+
+
+def test_labels_without_text_are_not_learned(tools):
+    assert set(tools.names) == {"en", "de"}
+
+
+@pytest.mark.parametrize("text", [None, "", "  \n", "123 !? 4", "🙂"])
+def test_no_letter_is_unknown(tools, text):
+    assert tools.predict(text)[:3] == ("und", 0.0, False)
+
+
+def test_case_length_and_margin(tools):
+    assert tools.predict("THE LAZY DOG WALKS HOME")[0] == "en"
+    assert tools.predict("den faulen Hund")[0] == "de"
+    assert tools.predict(DE * 3_000)[:3:2] == ("de", True)
+    assert not tools.predict("漢字 かな")[2]
+
+
+def test_windows_cover_the_whole_text():
+    for n in (0, 1, 1_999, 2_001, 9_999):
+        text = bytes(i % 251 for i in range(n))
+        parts = langid.cut(text)
+        assert b"".join(parts) == text and max(map(len, parts)) <= 3_000
+
+
+def test_fit_does_not_depend_on_the_partitions(spark):
+    rows = [(f"{EN} {i}", "en") for i in range(200)] + [(f"{DE} {i}", "de") for i in range(90)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    one, other = langid.fit(df.repartition(1)), langid.fit(df.repartition(7))
+    assert one == other and list(one) == ["en", "de"]
+    assert max(map(len, one.values())) <= 8_192
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    rows = [(1, EN, "x"), (1, EN, "x"), (None, DE, None), (3, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").selectExpr("*", "row as score", "row as accepted")
+    got = langid.predict(docs, learned(spark, [(EN, "en"), (DE, "de")])).collect()
+    assert sorted((str(r.doc_id), r.lang_pred) for r in got) == [("1", "en"), ("1", "en"), ("3", "und"), ("None", "de")]
+    assert langid.predict(docs.limit(0), {}).collect() == []
+    assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
