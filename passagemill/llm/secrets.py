@@ -24,6 +24,8 @@ Nulls: a null text is empty and has no spans. Repeated rows and an empty table a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-RATE = 0.01
+RATE = 0.05
 #: p-values are counted in steps of a tenth of a power of ten, down to 10 ** -30.
 STEPS_A_POWER, LEAST_POWER = 10, 30
 MARK, STAND_IN = "\u0001", "\u0003"
@@ -50,6 +52,11 @@ BLOCK = 128
 MASK = "[SECRET]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where ``use`` has functions over elements."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _folded(values: Column, whole: str) -> Column:
     """Running ``sum`` or ``max`` of the values before each place, in blocks."""
     if whole == "sum":
@@ -58,24 +65,22 @@ def _folded(values: Column, whole: str) -> Column:
     else:
         total = lambda a: F.coalesce(F.array_max(a), F.lit(0))
         both = F.greatest
-    count = F.ceil(F.size(values) / BLOCK).cast("int")
-    blocks = F.when(
-        F.size(values) > 0,
-        F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))),
-    ).otherwise(F.array().cast("array<array<int>>"))
-    wholes = F.transform(blocks, total)
-    return F.flatten(
-        F.transform(
-            F.zip_with(
-                blocks,
-                F.transform(wholes, lambda _, b: total(F.slice(wholes, 1, b))),
-                lambda block, start: F.struct(block.alias("block"), start.alias("start")),
-            ),
-            lambda x: F.transform(
-                x["block"], lambda _, i: both(x["start"], total(F.slice(x["block"], 1, i)))
-            ),
+
+    def blocks(v: Column) -> Column:
+        count = F.ceil(F.size(v) / BLOCK).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(v) > 0, cut).otherwise(F.array().cast("array<array<int>>"))
+
+    def running(cut: Column) -> Column:
+        starts = let(
+            F.transform(cut, total),
+            lambda wholes: F.transform(wholes, lambda _, b: total(F.slice(wholes, 1, b))),
         )
-    )
+        placed = F.zip_with(cut, starts, lambda block, start: F.struct(block.alias("block"), start.alias("start")))
+        inner = lambda x: F.transform(x["block"], lambda _, i: both(x["start"], total(F.slice(x["block"], 1, i))))
+        return F.flatten(F.transform(placed, inner))
+
+    return let(let(values, blocks), running)
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -123,7 +128,7 @@ def encoding(value: Column) -> Column:
 
 
 def symbol_values(value: Column, code: Column) -> Column:
-    """The place of each symbol in its alphabet."""
+    """The place of each symbol in its alphabet. ``code`` is looked at for every symbol."""
     plain = F.when(code == "hex", F.lower(value)).otherwise(F.translate(value, "-_", "+/"))
     letters = F.filter(F.split(plain, ""), lambda c: c != "")
     alphabet = F.when(code == "hex", ALPHABETS["hex"]).when(code == "base32", ALPHABETS["base32"])
@@ -142,10 +147,8 @@ def upper_tail(z: Column) -> Column:
 
 def battery(value: Column) -> Column:
     """``(p_chi, p_runs, p_serial)`` of a string of 20 or more symbols, two-sided."""
-    code = encoding(value)
-    k = alphabet_size(code)
 
-    def tests(v: Column) -> Column:
+    def tests(v: Column, k: Column) -> Column:
         n = F.size(v).cast("double")
         often = F.transform(F.sequence(F.lit(0), k - 1), lambda s: F.size(F.filter(v, lambda x: x == s)))
         squares = F.aggregate(often, F.lit(0.0), lambda t, o: t + o.cast("double") * o)
@@ -163,12 +166,16 @@ def battery(value: Column) -> Column:
         two = lambda z: F.least(F.lit(1.0), 2 * upper_tail(F.abs(z)))
         return F.struct(two(z_chi).alias("p_chi"), two(z_runs).alias("p_runs"), two(z_serial).alias("p_serial"))
 
-    # A one-element transform: the symbols are worked out once for all tests.
-    return F.transform(F.array(symbol_values(value, code)), tests)[0]
+    return let(
+        encoding(value),
+        lambda code: let(
+            alphabet_size(code), lambda k: let(symbol_values(value, code), lambda v: tests(v, k))
+        ),
+    )
 
 
 def combined(p: Column) -> Column:
-    return F.least(F.lit(1.0), 3 * F.least(p["p_chi"], p["p_runs"], p["p_serial"]))
+    return let(p, lambda t: F.least(F.lit(1.0), 3 * F.least(t["p_chi"], t["p_runs"], t["p_serial"])))
 
 
 def length_class(value: Column) -> Column:
