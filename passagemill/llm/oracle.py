@@ -6,27 +6,27 @@ _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 NEARDUP = rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents
-), sets AS (
-  SELECT doc_id, coalesce(CASE
-    WHEN len(w) >= 5 THEN list_distinct([w[i:i + 4] FOR i IN range(1, len(w) - 3)])
-    WHEN len(w) > 0 THEN [w] END, []) AS s
-  FROM words
-), sizes AS (SELECT doc_id, len(s) AS n FROM sets
-), one AS (SELECT doc_id, unnest(s) AS g FROM sets
-), links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b
-  FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id
-  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
-  GROUP BY a.doc_id, b.doc_id, x.n, y.n
-  HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
-), sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+  SELECT doc_id, coalesce(regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), one AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+    ELSE [array_to_string(w, ' ')] END) AS g
+  FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN one USING (doc_id) GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+    FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+  ) JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (
-  SELECT doc_id AS a, doc_id AS b FROM documents
-  UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a
+  SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a
+), firsts AS (SELECT a AS doc_id, min(b) AS first FROM reach GROUP BY a
 )
-SELECT doc_id, n AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
-FROM sizes JOIN reach ON doc_id = a GROUP BY doc_id, n
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(first, doc_id)) AS component_id,
+  doc_id <= coalesce(first, doc_id) AS kept
+FROM sizes LEFT JOIN firsts USING (doc_id)
 """
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
