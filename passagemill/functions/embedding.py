@@ -44,28 +44,40 @@ def embed_batch(
         complete = len(reply) == len(asked)
     except Exception as failure:  # a bad call becomes rejected rows, not a dead job
         for i in asked:
-            reasons[i] = f"model error: {failure}"[:500]
+            reasons[i] = f"model error: {failure}"
         return vectors, reasons
     for i in asked:
         reasons[i] = None if complete else "reply count differs"
     if not complete and policy == "strict":
         return vectors, reasons
-    if complete and isinstance(reply, np.ndarray) and reply.ndim == 2 and reply.shape[1] == dim:
-        vectors[asked] = reply
-    else:
-        for i, vector in zip(asked, reply):
-            if vector is None or len(vector) != dim:
-                reasons[i] = "wrong dimension"
-            elif any(x is None for x in vector):
-                reasons[i] = "null element"
-            else:
-                vectors[i] = vector
-                reasons[i] = None
+    numbers = isinstance(reply, np.ndarray) and reply.dtype.kind in "fiu"
+    with np.errstate(over="ignore"):  # too large for the stored type: infinite, so rejected below
+        if complete and numbers and reply.ndim == 2 and reply.shape[1] == dim:
+            vectors[asked] = reply
+        else:
+            for i, vector in zip(asked, reply):
+                reasons[i] = _place(vectors, i, vector, dim)
+    for i in np.flatnonzero(~np.isfinite(vectors).all(axis=1)):
+        vectors[i], reasons[i] = 0, "not finite"
     for i in np.flatnonzero(~vectors.any(axis=1)):
         reasons[i] = reasons[i] or "zero vector"
     return vectors, reasons
 
 
+def _place(vectors: np.ndarray, i: int, vector, dim: int) -> str | None:
+    """Put one vector of a reply in its row, or tell why it cannot be there."""
+    try:
+        if vector is None or isinstance(vector, (str, bytes)) or len(vector) != dim:
+            return "wrong dimension"
+        if any(x is None for x in vector):
+            return "null element"
+        vectors[i] = vector
+        return None
+    except (TypeError, ValueError):
+        vectors[i] = 0
+        return "not a vector"
+
+
 def embed_column(
     df: DataFrame,
     fn: EmbedFn,

@@ -97,6 +97,11 @@ def has_null_element(c: Column | str) -> Column:
     return F.exists(_col(c), lambda x: x.isNull())
 
 
+def is_not_finite(c: Column | str) -> Column:
+    """True when an element is NaN or infinite, also once narrowed to the stored type."""
+    return F.exists(to_float(c), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+
+
 def fit_dimension(c: Column | str, dim: int) -> Column:
     """The vector itself, or a zero vector when it is NULL, empty or of another length."""
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
@@ -110,5 +115,6 @@ def reject_reason(c: Column | str, dim: int) -> Column:
         F.when(c.isNull(), "missing vector")
         .when(F.size(c) != dim, "wrong dimension")
         .when(has_null_element(c), "null element")
+        .when(is_not_finite(c), "not finite")
         .when(is_zero_vector(c), "zero vector")
     )

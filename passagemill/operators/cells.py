@@ -24,9 +24,6 @@ from passagemill.operators.search import QUERY_K, top_k
 
 # Fixed value: default number of inverted lists.
 LISTS = 100
-# Rows per list that the centroids are trained on; every row is assigned.
-_TRAIN_ROWS = 256
-_TRAIN_PARTITION = 4096
 
 
 @dataclass
@@ -45,19 +42,17 @@ class InvertedLists:
         seed: int = 1,
         max_iter: int = 20,
     ) -> InvertedLists:
-        """Train the centroids. They are as many as ``lists``, whatever the store's size.
+        """Train the centroids on every usable vector. They are as many as ``lists``.
 
-        ``dim`` is the length of the vectors, by default that of the first one.
+        Zero, holed and missing vectors are left out. All others must have one
+        length, unless ``dim`` names the one that counts.
         """
         e = F.col("embedding")
         if dim is None:
-            dim = len(store.filter(F.size(e) > 0).select(e).first()[0])
-        rows, vectors = store.count(), store.select("embedding")
-        if rows > lists * _TRAIN_ROWS:
-            vectors = vectors.sample(fraction=lists * _TRAIN_ROWS / rows, seed=seed)
-        usable = vectors.filter((F.size(e) == dim) & ~has_null_element(e) & ~is_zero_vector(e))
-        # Few rows from many files: iterate over as many partitions as they need.
-        gathered = usable.repartition(1 + lists * _TRAIN_ROWS // _TRAIN_PARTITION)
+            lo, dim = store.filter(F.size(e) > 0).agg(F.min(F.size(e)), F.max(F.size(e))).first()
+            if lo != dim:
+                raise ValueError(f"vectors of {lo} to {dim} numbers: name the length that counts")
+        gathered = store.select(e).filter((F.size(e) == dim) & ~has_null_element(e) & ~is_zero_vector(e))
         unit = Normalizer(inputCol="vector", outputCol="unit").transform(
             gathered.select(array_to_vector(e).alias("vector"))
         )

@@ -267,6 +267,12 @@ def top_k(
         own_k.alias("k"),
         F.col("embedding").alias("embedding"),
     )
+    # Read several times, and its vectors may come from a model: written once, first of all.
+    staged = shared_folder(spark, "queries")
+    asked.write.parquet(staged)
+    asked = spark.read.schema(asked.schema).parquet(staged)
+    if asked.select(F.size("embedding")).distinct().limit(2).count() > 1:
+        raise ValueError("queries must have vectors of one length")
     # The limit proves the bound: one row more than may be broadcast is enough to tell.
     head = asked.limit(max_broadcast_queries + 1).toArrow()
     fields = [asked.schema[query_key], T.StructField("k", T.LongType())]
@@ -336,10 +342,6 @@ def _scan_slices(
     needs, so one hot cell is spread over many tasks.
     """
     arrow_schema = _arrow_schema(schema)
-    # Used several times below, and its vectors may come from a model: keep them.
-    staged = shared_folder(scanned.sparkSession, "queries")
-    asked.write.parquet(staged)
-    asked = scanned.sparkSession.read.parquet(staged)
     if probe_fn is None:
         rows = scanned.withColumn("_cell", F.lit(0).cast("long"))
         seekers = asked.withColumn("_cell", F.lit(0).cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,13 +37,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
     Intermediate tables must outlive any executor, so on a cluster the setting
-    is required. Only a ``local`` session without it gets a temporary folder,
-    which goes when the program ends.
+    is required. Only a session in one process, ``local[...]``, gets a temporary
+    folder without it, which goes when the program ends.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         if _local_root is None:
             _local_root = tempfile.TemporaryDirectory(prefix="passagemill-", ignore_cleanup_errors=True)

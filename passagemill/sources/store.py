@@ -6,7 +6,8 @@ One root folder holds both, by run and outcome::
     root/run=<run id>/outcome=rejected/...
 
 so a job writes its rows once, whatever became of them, and a repeated run
-replaces its own folder only.
+replaces its own folder only, once its rows are complete. ``root/_superseded``
+lists the documents whose rows in a run a later run has replaced.
 """
 
 from __future__ import annotations
@@ -26,19 +27,38 @@ STORE_SCHEMA = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("reason", T.StringType()),
         T.StructField("created_at", T.TimestampType()),
+        T.StructField("text_hash", T.LongType()),
+        T.StructField("chunk_id", T.StringType()),
     ]
 )
 _FOLDERS = [T.StructField("run", T.StringType()), T.StructField("outcome", T.StringType())]
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def read_outcomes(spark: SparkSession, root: str) -> DataFrame:
-    """All rows of all runs, with ``run`` and ``outcome``."""
-    return spark.read.schema(T.StructType(STORE_SCHEMA.fields + _FOLDERS)).parquet(root)
+    """The rows of all runs, with ``run`` and ``outcome``, less those that were superseded."""
+    rows = spark.read.schema(T.StructType(STORE_SCHEMA.fields + _FOLDERS)).parquet(root)
+    files, place = _folder(spark, f"{root}/_superseded")
+    if not files.exists(place):
+        return rows
+    gone = spark.read.schema("run string, raw_data_id long").parquet(str(place))
+    return rows.join(gone.distinct(), ["run", "raw_data_id"], "left_anti")
+
+
+def supersede(documents: DataFrame, root: str) -> None:
+    """Take the rows of documents ``(run, raw_data_id)`` out of what is read; repeats do no harm."""
+    documents.select("run", "raw_data_id").write.mode("append").parquet(f"{root}/_superseded")
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
     """The stored chunks with their vectors."""
-    return read_outcomes(spark, root).filter("outcome = 'stored'").drop("run", "outcome", "reason")
+    return read_outcomes(spark, root).filter("outcome = 'stored'").drop(
+        "run", "outcome", "reason", "text_hash"
+    )
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
@@ -51,11 +71,20 @@ def read_rejects(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_outcomes(df: DataFrame, root: str, run_id: str) -> None:
-    """Write one run's rows; ``created_at`` is the time of the write."""
-    ready = df.withColumn("created_at", F.current_timestamp()).select(
-        *STORE_SCHEMA.fieldNames(), "outcome"
-    )
-    ready.write.mode("overwrite").partitionBy("outcome").parquet(f"{root}/run={run_id}")
+    """Write one run's rows; ``created_at`` is the time of the write, ``chunk_id`` names a row for good.
+
+    They are written beside the store and take the place of the run's former rows at the end.
+    """
+    spark = df.sparkSession
+    known = df if "text_hash" in df.columns else df.withColumn("text_hash", F.lit(None).cast("long"))
+    ready = known.withColumn("created_at", F.current_timestamp()).withColumn("chunk_id", F.expr("uuid()"))
+    attempt = f"{root}/_attempts/{uuid.uuid4().hex}"
+    ready.select(*STORE_SCHEMA.fieldNames(), "outcome").write.partitionBy("outcome").parquet(attempt)
+    files, written = _folder(spark, attempt)
+    _, place = _folder(spark, f"{root}/run={run_id}")
+    files.delete(place, True)
+    if not files.rename(written, place):
+        raise OSError(f"the rows of run {run_id} stay in {attempt}")
 
 
 def append_embeddings(df: DataFrame, root: str) -> str:

@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passagemill.functions.embedding import EmbedFn
 from passagemill.plans.ingest import ingest
-from passagemill.sources.store import create_store, read_outcomes
+from passagemill.sources.store import create_store, read_outcomes, supersede
+
 
-# Largest number of new ids that is broadcast to look them up in the store.
-MAX_BROADCAST_IDS = 1_000_000
+def versions(batch: DataFrame) -> DataFrame:
+    """One row per id. Rows of one batch have no order: of several texts the smallest is taken."""
+    rest = [c for c in batch.columns if c != "raw_data_id"]
+    first = batch.groupBy("raw_data_id").agg(F.min(F.struct(*rest)).alias("_row"))
+    return first.select("raw_data_id", *(F.col("_row")[c].alias(c) for c in rest))
 
 
 def only_new(batch: DataFrame, seen: DataFrame) -> DataFrame:
-    """One row per id of ``batch`` that ``seen`` does not hold.
+    """The documents of ``batch`` that ``seen`` does not hold complete and with the same text.
 
-    An id that comes again, in this batch or later, keeps its first version;
-    within one batch that is the smallest text. Only the part of ``seen``
-    between the smallest and largest new id is read, and of it only the ids.
+    ``seen`` has the rows of former runs with ``raw_data_id``, ``text_hash`` and ``outcome``. A
+    document with a rejected chunk is tried again, and one with another text is new.
     """
-    spread = batch.agg(
-        F.min("raw_data_id").alias("lo"), F.max("raw_data_id").alias("hi"), F.count("*").alias("n")
-    ).first()
-    rest = [c for c in batch.columns if c != "raw_data_id"]
-    first = batch.groupBy("raw_data_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    first = first.select("raw_data_id", *(F.col("_row")[c].alias(c) for c in rest))
-    if not spread.n:
-        return first
-    known = seen.filter(F.col("raw_data_id").between(spread.lo, spread.hi)).select("raw_data_id")
-    if spread.n <= MAX_BROADCAST_IDS:
-        ids = batch.select(F.col("raw_data_id").alias("_id")).distinct()
-        known = known.join(F.broadcast(ids), F.col("raw_data_id") == F.col("_id"), "left_semi")
-    return first.join(known.distinct(), "raw_data_id", "left_anti")
+    done = (
+        seen.groupBy("raw_data_id", "text_hash")
+        .agg(F.max(F.col("outcome") == "rejected").alias("_failed"))
+        .filter("not _failed").select("raw_data_id", "text_hash")
+    )
+    marked = versions(batch).withColumn("text_hash", F.xxhash64("raw_text"))
+    return marked.join(done, ["raw_data_id", "text_hash"], "left_anti").drop("text_hash")
 
 
 def ingest_stream(
@@ -42,25 +41,34 @@ def ingest_stream(
     checkpoint: str,
     fn: EmbedFn,
     *,
+    name: str | None = None,
     ledger: str | None = None,
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    """Start a query that ingests every new row of the streaming table ``raw``.
+    """Start a query that ingests the new and changed rows of the streaming table ``raw``.
 
     The work is stateless, so there is no watermark. Each micro-batch is a run
-    named after the query and the batch, and a repeated batch replaces its own
-    folder; rows whose id another run already holds are left out. One query at
-    a time may write to a store.
+    named after the stream and the batch, and a repeated batch replaces its own
+    folder. ``name`` must be the stream's own; by default it is its checkpoint.
+    Documents that another run holds with the same text and without a reject are
+    left out; the others' rows in former runs are superseded once the new ones
+    are written. One query at a time may write to a store.
     """
     create_store(raw.sparkSession, root)
+    stream = name or hashlib.md5(checkpoint.encode()).hexdigest()
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        run_id = f"{stream}-{batch_id}"
         session = batch.sparkSession
-        query_id = session.read.json(f"{checkpoint}/metadata").first()["id"]
-        run_id = f"{query_id}-{batch_id}"
         others = read_outcomes(session, root).filter(F.col("run") != run_id)
-        ingest(only_new(batch, others), root, fn, run_id=run_id, ledger=ledger, **options)
+        fresh = only_new(batch, others)
+        ingest(fresh, root, fn, run_id=run_id, ledger=ledger, **options)
+        # A document without chunks left no row in the run, so the batch says what it replaced.
+        replaced = others.select("run", "raw_data_id").distinct().join(
+            fresh.select("raw_data_id"), "raw_data_id", "left_semi"
+        )
+        supersede(replaced, root)
 
     return (
         raw.writeStream.foreachBatch(write)

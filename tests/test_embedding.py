@@ -115,3 +115,16 @@ def test_generation(spark):
         "none": (EMPTY_REPLY, "no text in reply"),
         None: (None, None),
     }
+
+
+@pytest.mark.parametrize(
+    "vector, reason",
+    [
+        ([1.0, float("nan")], "not finite"), ([1e300, 0.0], "not finite"), ([float("-inf"), 1.0], "not finite"),
+        (["a", "b"], "not a vector"), ("ab", "wrong dimension"), (7, "not a vector"), ([[1], [2, 3]], "not a vector"),
+    ],
+)
+def test_odd_replies_reject_their_row_only(vector, reason):
+    vectors, reasons = embed_batch(["x", "y"], lambda texts: [vector, [3.0, 4.0]], 2)
+    assert reasons == [reason, None]
+    assert vectors.tolist() == [[0, 0], [3, 4]]

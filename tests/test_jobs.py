@@ -235,13 +235,82 @@ def test_stream_repeats_a_batch_that_was_lost(spark, tmp_path):
 
 
 def test_only_new(spark):
-    batch = raw_of(spark, [(1, "b", "s"), (1, "a", "s"), (2, "c", "s"), (3, "d", "s")])
-    seen = spark.createDataFrame([(2,), (2,), (9,)], "raw_data_id long")
+    batch = raw_of(spark, [(1, "b", "s"), (1, "a", "s"), (2, "c", "s"), (3, "d", "s"), (4, "e", "s")])
+    seen = spark.createDataFrame(
+        [(2, "c", "stored"), (2, "c", "stored"), (3, "old", "stored"), (4, "e", "stored"), (4, "e", "rejected")],
+        "raw_data_id long, raw_text string, outcome string",
+    ).withColumn("text_hash", F.xxhash64("raw_text"))
     got = sorted((r.raw_data_id, r.raw_text) for r in only_new(batch, seen).collect())
-    assert got == [(1, "a"), (3, "d")]
+    assert got == [(1, "a"), (3, "d"), (4, "e")]
     assert only_new(batch.limit(0), seen).count() == 0
 
 
+def stream_once(spark, tmp_path, root, rows, model, name):
+    folder = str(tmp_path / f"in-{name}")
+    raw_of(spark, rows).write.parquet(folder)
+    schema = "raw_data_id long, raw_text string, source string"
+    stream = spark.readStream.schema(schema).parquet(folder)
+    ingest_stream(stream, root, str(tmp_path / f"check-{name}"), model, name=name, dim=DIM).awaitTermination()
+
+
+def down(texts):
+    raise RuntimeError("down")
+
+
+def test_stream_after_an_outage_and_with_changed_texts(spark, tmp_path):
+    """Rejected documents are tried again, changed ones replace their former version."""
+    root, plain = str(tmp_path / "store"), str(tmp_path / "plain")
+    stream_once(spark, tmp_path, root, RAW, down, "first")
+    assert read_store(spark, root).count() == 0 and read_rejects(spark, root).count() > 0
+    stream_once(spark, tmp_path, root, RAW, EMBED, "second")
+    create_store(spark, plain)
+    ingest(raw_of(spark, RAW), plain, EMBED, dim=DIM)
+    assert chunks_of(read_store(spark, root)) == chunks_of(read_store(spark, plain))
+    assert read_rejects(spark, root).count() == 0
+
+    changed = [(5, "Green fish. " * 80, "b") if r[0] == 5 else r for r in RAW]
+    stream_once(spark, tmp_path, root, changed, EMBED, "third")
+    reset_store(spark, plain)
+    ingest(raw_of(spark, changed), plain, EMBED, dim=DIM)
+    assert chunks_of(read_store(spark, root)) == chunks_of(read_store(spark, plain))
+
+
+def test_failed_repeat_leaves_the_former_rows(spark, tmp_path):
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    ingest(raw_of(spark, RAW), root, EMBED, run_id="r", dim=DIM)
+    before = chunks_of(read_store(spark, root))
+    broken = raw_of(spark, RAW).withColumn("raw_text", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        ingest(broken, root, EMBED, run_id="r", dim=DIM)
+    assert chunks_of(read_store(spark, root)) == before != []
+
+
+def test_documents_ingested_twice_are_hits_of_their_own(spark, tmp_path):
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    for _ in range(2):
+        ingest(raw_of(spark, RAW), root, EMBED, dim=DIM)
+    asked = spark.createDataFrame([(1, "red fish blue")], "query_id long, query string")
+    for k in (1, 2, 3):
+        hits = search_text(read_store(spark, root), asked, EMBED, k, dim=DIM).collect()
+        assert sorted(r["rank"] for r in hits) == list(range(1, k + 1))
+
+
+def test_each_query_text_is_sent_once(spark, tmp_path):
+    root, calls = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+    create_store(spark, root)
+    ingest(raw_of(spark, RAW), root, EMBED, dim=DIM)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return EMBED(texts)
+
+    asked = spark.createDataFrame([(i, f"fish {i}") for i in range(30)], "query_id long, query string")
+    search_text(read_store(spark, root), asked, counted, 2, dim=DIM, max_broadcast_queries=10, slice_rows=3).collect()
+    assert calls.value == 30
+
+
 # --- questions
 
 

@@ -171,7 +171,7 @@ def test_index_leaves_out_rows_without_a_direction(spark):
     good = random_store(spark, 60)
     bad = store_of(spark, [(1000, None), (1001, [0.0] * 8), (1002, [1.0])])
     store, queries = good.union(bad), queries_of(good).filter("query_id < 5")
-    lists = InvertedLists.fit(store, 3)
+    lists = InvertedLists.fit(store, 3, dim=8)
     assert lists.assign(store).filter("cell IS NULL").count() == 3
     for sizes in ({}, {"max_broadcast_queries": 2, "slice_rows": 20}):
         assert max(i for _, i in pairs(lists.top_k(store, queries, 100, nprobe=3, key=KEY, **sizes))) < 60
@@ -214,3 +214,19 @@ def test_one_hot_cell(spark):
         assert hits(search(store, queries, 6, key=KEY, **small)) == want
         first = sorted(i for q, rank, i, _ in want if q == 1040)
         assert first == list(range(1000, 1006))
+
+
+def test_reject_reason_of_values_that_are_not_finite(spark):
+    rows = [([1.0, 2.0],), ([float("nan"), 1.0],), ([1e300, 1.0],), ([1.0, float("-inf")],)]
+    got = spark.createDataFrame(rows, "e array<double>").select(V.reject_reason("e", 2).alias("r")).collect()
+    assert [r.r for r in got] == [None] + ["not finite"] * 3
+
+
+def test_mixed_lengths_are_refused_alike(spark):
+    store = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="2 to 3"):
+        InvertedLists.fit(store, 1)
+    asked = store.withColumnRenamed("vec_id", "query_id")
+    for most in (10, 1):
+        with pytest.raises(ValueError, match="one length"):
+            top_k(store.limit(1), asked, 1, key=("vec_id",), max_broadcast_queries=most)
