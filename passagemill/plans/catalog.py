@@ -47,6 +47,7 @@ from passagemill.sources.store import (
     create_store,
     read_rejects,
     read_store,
+    reset_store,
     write_by_source,
 )
 from passagemill.streaming.ingest import ingest_stream
@@ -201,8 +202,9 @@ def chunks_fixed(spark, sf):
 
 
 def chunks_flattened(spark, sf):
-    lists = F.when(F.col("lang") != "de", F.split("text", "\n")).alias("chunks")
-    return flatten_chunks(_table(spark, sf, "documents").select("doc_id", lists))
+    """Every text's lines, and as many documents without a list."""
+    lists = _table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("chunks"))
+    return flatten_chunks(lists.union(lists.select("doc_id", F.lit(None).cast("array<string>"))))
 
 
 def chunks_of_parents(spark, sf):
@@ -399,6 +401,29 @@ def topk_text(spark, sf):
     return _rounded(search_text(_store(spark, sf), asked, HashedEmbedder(DIM), dim=DIM))
 
 
+def topk_text_twice(spark, sf):
+    """Documents ingested twice: equal chunks are hits of their own, k in all."""
+    root = shared_folder(spark, "store")
+    create_store(spark, root)
+    for _ in range(2):
+        ingest(_texts(spark, sf), root, HashedEmbedder(DIM), dim=DIM)
+    asked = _table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+    )
+    return _rounded(search_text(read_store(spark, root), asked, HashedEmbedder(DIM), dim=DIM))
+
+
+def limited_search(spark, sf):
+    """Queries admitted with a limit of their own, then searched."""
+    item = F.col("item_id")
+    asked = _table(spark, sf, "benchmark").select(
+        item.alias("query_id"), F.col("text").alias("query"),
+        F.when(item % 4 == 1, 0).when(item % 4 == 2, -3).when(item % 4 == 3, 7).alias("limit"),
+    )
+    admitted = admit(asked).filter("error IS NULL")
+    return _rounded(search_text(_store(spark, sf), admitted, HashedEmbedder(DIM), dim=DIM))
+
+
 def _messages(spark, sf) -> DataFrame:
     """Every user turn; the first of each conversation is made blank when it opens with system."""
     talk = _table(spark, sf, "conversations").filter("role = 'user'")
@@ -458,6 +483,45 @@ def ingested_stream(spark, sf):
     return _summary(read_store(spark, root))
 
 
+def _down(texts: list[str]):
+    raise ConnectionError("the model is down")
+
+
+def _streams(spark, sf, *runs) -> DataFrame:
+    """The store after one stream run per ``(documents, model)``."""
+    root = shared_folder(spark, "store")
+    for number, (docs, model) in enumerate(runs):
+        folder = shared_folder(spark, "arrived")
+        as_raw(docs, "doc_id", "text", "source").write.parquet(folder)
+        raw = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        checkpoint = shared_folder(spark, "stream")
+        ingest_stream(raw, root, checkpoint, model, name=f"run-{number}", dim=DIM).awaitTermination()
+    return _summary(read_store(spark, root))
+
+
+def stream_after_outage(spark, sf):
+    """All chunks rejected by a failing model, then the same documents again."""
+    docs = _table(spark, sf, "documents")
+    return _streams(spark, sf, (docs, _down), (docs, HashedEmbedder(DIM)))
+
+
+def stream_updated(spark, sf):
+    """Every document arrives with another text first: the later version replaces it."""
+    docs = _table(spark, sf, "documents")
+    older = docs.withColumn("text", F.concat(F.lit("Old news. "), F.reverse("text")))
+    return _streams(spark, sf, (older, HashedEmbedder(DIM)), (docs, HashedEmbedder(DIM)))
+
+
+def store_reset(spark, sf):
+    """A filled store is emptied and filled again."""
+    root = shared_folder(spark, "store")
+    create_store(spark, root)
+    for _ in range(2):
+        reset_store(spark, root)
+        ingest(_texts(spark, sf), root, HashedEmbedder(DIM), dim=DIM)
+    return _summary(read_store(spark, root))
+
+
 def _no_long_texts(texts: list[str]):
     """An embedder that gives no vector for a text of more than 500 characters."""
     vectors = HashedEmbedder(DIM)(texts)
@@ -507,8 +571,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         zero_vectors_dropped, dimension_check, null_element_check, reject_reasons,
         narrowed_vectors, cosine_distances, cosine_expression, topk_one, topk_cosine, topk_sliced, topk_flawed,
         ann_ivf, ann_ivf_all_lists, ann_lsh,
-        embedded_texts, hashed_embedding, query_admission, topk_text, context_section,
+        embedded_texts, hashed_embedding, query_admission, topk_text, topk_text_twice, limited_search,
+        context_section,
         built_prompts, answers,
-        stage_counts, ingested, ingested_stream, rejects, null_vector_sink, run_ledger,
+        stage_counts, ingested, ingested_stream, stream_after_outage, stream_updated,
+        store_reset, rejects, null_vector_sink, run_ledger,
     )
 }

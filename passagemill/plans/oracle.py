@@ -130,12 +130,12 @@ MESSAGES = r"""
     FROM conversations WHERE role = 'user'"""
 
 
-def found(asked: str, text: str, k: int) -> str:
+def found(asked: str, text: str, k: int, store: str = STORE) -> str:
     """Nearest chunks of ``asked(query_id, text)``."""
     pairs = f"""
         SELECT q.query_id, s.raw_data_id, s.chunk_index, s.chunk_text,
                {distance('s.embedding', 'q.embedding')} AS d
-        FROM ({embedded(f"SELECT * FROM ({asked}) WHERE {jtrim(text)} <> ''", text)}) q, ({STORE}) s"""
+        FROM ({embedded(f"SELECT * FROM ({asked}) WHERE {jtrim(text)} <> ''", text)}) q, ({store}) s"""
     return ranked(pairs, str(k), "raw_data_id, chunk_index")
 
 
@@ -231,7 +231,7 @@ ORACLE: dict[str, str] = {
                 range(0, length(t), 450), lambda p: substring(t, p + 1, 500)) END AS c
             FROM (SELECT raw_data_id, {jtrim('raw_text')} AS t FROM ({RAW})) WHERE t <> ''))""",
     "chunks_flattened": """
-        SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk_text FROM documents WHERE lang <> 'de'""",
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk_text FROM documents""",
     "chunks_of_parents": f"""
         SELECT * EXCLUDE source FROM ({chunks()}) WHERE raw_data_id IN (SELECT doc_id FROM labels)""",
     "by_source": f"SELECT raw_data_id, chunk_index, source FROM ({chunks()})",
@@ -287,6 +287,14 @@ ORACLE: dict[str, str] = {
     "topk_text": f"""
         SELECT query_id, rank, raw_data_id, chunk_index, chunk_text, round(d, 6) + 0.0 AS distance
         FROM ({found('SELECT item_id AS query_id, text AS query FROM benchmark', 'query', 5)})""",
+    "topk_text_twice": f"""
+        SELECT query_id, rank, raw_data_id, chunk_index, chunk_text, round(d, 6) + 0.0 AS distance
+        FROM ({found('SELECT item_id AS query_id, text AS query FROM benchmark', 'query', 5,
+                     f"SELECT * FROM ({STORE}), range(2)")})""",
+    "limited_search": f"""
+        SELECT query_id, rank, raw_data_id, chunk_index, chunk_text, round(d, 6) + 0.0 AS distance
+        FROM ({found('SELECT item_id AS query_id, text AS query FROM benchmark', 'query', 7)})
+        WHERE rank <= CASE WHEN query_id % 4 = 3 THEN 7 ELSE 5 END""",
     "context_section": CONTEXT,
     "built_prompts": f"SELECT query_id, prompt FROM ({PROMPTS})",
     "answers": f"""
@@ -311,6 +319,9 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'write', 'records', made FROM counts""",
     "ingested": SUMMARY,
     "ingested_stream": SUMMARY,
+    "stream_after_outage": SUMMARY,
+    "stream_updated": SUMMARY,
+    "store_reset": SUMMARY,
     "rejects": f"""
         SELECT raw_data_id, chunk_index, source, 'wrong dimension' AS reason
         FROM ({chunks()}) WHERE length(chunk_text) > 500""",
