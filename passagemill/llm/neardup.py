@@ -8,8 +8,9 @@ when ``100 * intersection >= 75 * union``; groups are the connected components o
   *odd sketch*: a bitmap of 512 bits in which each (place, sample) flips one bit. The population
   count of the XOR of two bitmaps tells how many samples differ.
 * Equal word sequences are grouped first and go on as one node, so copies never meet as pairs.
-* Round one compares the members of a bucket with its smallest member only. Pairs that pass
-  the odd sketch are confirmed on the full sets.
+* Round one compares the members of a bucket with one leader only: the member whose buckets are
+  largest in sum, as the common origin of many copies is nearer to them than they to each other.
+  Pairs that pass the odd sketch are confirmed on the full sets.
 * Round two takes the buckets whose members are still in several components. Members are dealt
   into blocks of about 256, large components into blocks of their own, and only pairs of blocks
   of different components meet. So a large group of near copies costs as many pairs as members.
@@ -281,11 +282,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "odd"))),
         "nodes",
     )
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
-    members = scratch.keep(
-        bands.join(leaders.filter("n > 1").select("band", "leader"), "band").distinct(), "members"
-    )
+    bands = nodes.select("node", F.explode("bands").alias("band")).distinct()
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.keep(bands.join(sizes, "band"), "shared")
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    most = F.max(F.struct("weight", (-F.col("node")).alias("least")))
+    leaders = shared.join(weights, "node").groupBy("band").agg((-most["least"]).alias("leader"))
+    members = scratch.keep(shared.select("band", "node").join(leaders, "band"), "members")
+    scratch.drop("shared")
 
     edges = members.filter("node != leader").select("leader", "node").distinct()
     side = lambda name: nodes.select(
