@@ -148,7 +148,8 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough. Only texts of candidates are moved."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
+    # Candidates are a share of the documents, so the plan is the same for every size.
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().hint("merge")
     texts = docs.join(wanted, F.col("doc_id") == F.col("a"), "left_semi")
     texts = scratch.keep(texts, f"{name}-texts")
     joined = (
