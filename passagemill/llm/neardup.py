@@ -14,6 +14,9 @@ when ``100 * intersection >= 75 * union``; groups are the connected components o
 * Round two takes the buckets whose members are still in several components. Members are dealt
   into blocks of about 256, large components into blocks of their own, and only pairs of blocks
   of different components meet. So a large group of near copies costs as many pairs as members.
+  Many texts that are nearly, but not quite, near copies of each other would all pass the samples'
+  sketch; a second odd sketch, of the full set, counts how many windows differ and lets only those
+  close to the threshold through to the confirmation.
 
 Nulls: a text that is null, empty or blank has an empty set and no links. A row without ``doc_id``
 has no component and is kept. Rows that repeat a ``doc_id`` count as one document.
@@ -64,6 +67,31 @@ def sifting_limit(threshold: int = THRESHOLD, deviations: float = 5.0) -> int:
 LIMIT = sifting_limit()
 
 
+def set_bits(n: int) -> int:
+    """Bits of the full set's odd sketch: a power of two, half a bit for a window at least."""
+    return max(BITS, 1 << max(n // 2 - 1, 0).bit_length())
+
+
+def set_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the windows by the lowest bits of their hashes: folding halves gives fewer bits."""
+    bits = set_bits(len(shingles))
+    places = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, bits: int) -> np.ndarray:
+    words = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
+
+
+def set_limit(windows: np.ndarray, bits: int, deviations: float = 6.0) -> np.ndarray:
+    """The largest population count of two sets at the threshold, with so many windows together."""
+    differ = windows * (100 - THRESHOLD) / (100 + THRESHOLD)
+    fade = np.exp(-4 * differ / bits)
+    variance = np.maximum(bits / 4 * (1 - fade) - differ * fade, 0)
+    return bits / 2 * (1 - np.sqrt(fade)) + deviations * np.sqrt(variance) + 1
+
+
 def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct window hashes of a text."""
     return np.unique(windows(hashes.of((text or b"").translate(LOWER).split())))
@@ -91,32 +119,34 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        contents, sizes, bands, odds = [], [], [], []
+        contents, sizes, bands, odds, sets = [], [], [], [], []
         for text in text_bytes(batch.column(1)):
             words = (text or b"").translate(LOWER).split()
             shingles = np.unique(windows(hashes.of(words)))
             sizes.append(len(shingles))
             if not words:
-                contents.append(None), bands.append(None), odds.append(None)
+                contents.append(None), bands.append(None), odds.append(None), sets.append(None)
                 continue
             contents.append(xxhash.xxh3_128_digest(b" ".join(words)))
             least = minhash(shingles)
             bands.append(band_keys(least))
             odds.append(odd_sketch(least))
+            sets.append(set_sketch(shingles))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()),
                 pa.array(bands, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64())),
+                pa.array(sets, pa.binary()),
             ],
-            ["doc_id", "content", "n_shingles", "bands", "odd"],
+            ["doc_id", "content", "n_shingles", "bands", "odd", "parities"],
         )
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``(doc_id, content, n_shingles, bands, odd)`` of each ``(doc_id, text)``."""
+    """``(doc_id, content, n_shingles, bands, odd, parities)`` of each ``(doc_id, text)``."""
     return docs.mapInArrow(
         _sketch_batches,
-        "doc_id long, content binary, n_shingles long, bands array<long>, odd array<long>",
+        "doc_id long, content binary, n_shingles long, bands array<long>, odd array<long>, parities binary",
     )
 
 
@@ -212,22 +242,33 @@ def _sift_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = flat.field("odd").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         # Unsigned, as the population count of a negative number is that of its absolute value.
         bits = odd.view(np.uint64).reshape(-1, WORDS_64)
-        return column("node"), column("component"), column("n_shingles"), bits
+        sets = flat.field("parities").to_pylist()
+        small = np.array([folded(x, BITS) for x in sets])
+        return column("node"), column("component"), column("n_shingles"), bits, sets, small
+
+    def close(n: int, one: bytes, m: int, other: bytes) -> bool:
+        bits = 8 * min(len(one), len(other))
+        if bits == BITS:
+            return True  # was compared already
+        odd = folded(one, bits) ^ folded(other, bits)
+        return np.bitwise_count(odd).sum() <= set_limit(np.float64(n + m), bits)
 
     for batch in batches:
         a, b = [], []
         for i in range(batch.num_rows):
             leader, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            n1, c1, s1, o1 = unpacked(batch.column(2).slice(i, 1))
-            n2, c2, s2, o2 = unpacked(batch.column(3).slice(i, 1))
+            n1, c1, s1, o1, p1, f1 = unpacked(batch.column(2).slice(i, 1))
+            n2, c2, s2, o2, p2, f2 = unpacked(batch.column(3).slice(i, 1))
             for row in range(len(n1)):
                 near = np.bitwise_count(o1[row] ^ o2).sum(axis=1) <= LIMIT
                 near &= 100 * np.minimum(s1[row], s2) >= THRESHOLD * np.maximum(s1[row], s2)
                 near &= (c1[row] != c2) & (n2 != leader)
                 if same:
                     near &= n2 > n1[row]
-                if n1[row] != leader and near.any():
-                    other = n2[near]
+                near &= np.bitwise_count(f1[row] ^ f2).sum(axis=1) <= set_limit(s1[row] + s2, BITS)
+                found = [k for k in np.flatnonzero(near) if close(s1[row], p1[row], s2[k], p2[k])]
+                if n1[row] != leader and found:
+                    other = n2[found]
                     a.append(np.minimum(n1[row], other))
                     b.append(np.maximum(n1[row], other))
         join = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))
@@ -253,10 +294,10 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataF
             F.when(F.col("n").isNotNull(), F.col("component")).alias("own"),
             F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", "rest") / BLOCK)).alias("block"),
         )
-        .join(nodes.select("node", "n_shingles", "odd"), "node")
+        .join(nodes.select("node", "n_shingles", "odd", "parities"), "node")
     )
     blocks = dealt.groupBy("band", "leader", "own", "block").agg(
-        F.collect_list(F.struct("node", "component", "n_shingles", "odd")).alias("items")
+        F.collect_list(F.struct("node", "component", "n_shingles", "odd", "parities")).alias("items")
     )
     side = lambda s: blocks.select(
         "band", "leader", F.struct(F.col("own").isNull().alias("mixed"), "own", "block").alias(f"at_{s}"),
@@ -280,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch.keep(
         rows.filter("content is not null and doc_id is not null")
         .groupBy("content")
-        .agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "odd"))),
+        .agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "odd", "parities"))),
         "nodes",
     )
     bands = nodes.select("node", F.explode("bands").alias("band")).distinct()

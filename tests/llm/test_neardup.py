@@ -91,3 +91,22 @@ def test_odd_sketch_estimates_similarity():
         a, b = np.unique(union[:700]), np.unique(union[100:])  # 600 of 800
         x, y = (neardup.odd_sketch(neardup.minhash(s)).view(np.uint64) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= neardup.LIMIT
+
+
+def test_set_sketches_fold_and_keep_pairs_at_the_threshold():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, m in ((140, 140), (1_400, 1_400), (14_000, 14_000), (9_100, 7_000)):
+        for _ in range(40):
+            shared = round(3 * (n + m) / 7)  # three quarters of the union
+            union = rng.integers(0, 2**63, n + m - shared).astype(np.uint64)
+            a, b = np.unique(union[:n]), np.unique(union[n - shared :])
+            x, y = neardup.set_sketch(a), neardup.set_sketch(b)
+            for bits in {8 * min(len(x), len(y)), neardup.BITS}:
+                odd = neardup.folded(x, bits) ^ neardup.folded(y, bits)
+                assert np.bitwise_count(odd).sum() <= neardup.set_limit(np.float64(n + m), bits)
+            far = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            bits = 8 * min(len(x), len(y))
+            odd = neardup.folded(x, bits) ^ neardup.folded(neardup.set_sketch(far), bits)
+            assert np.bitwise_count(odd).sum() > neardup.set_limit(np.float64(2 * n), bits)
