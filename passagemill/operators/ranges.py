@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,30 +24,45 @@ def dense_ids(
     """Number the rows ``start, start + 1, ...`` without a gap.
 
     Rows are numbered in the order of ``order_by`` (range partitioned and
-    sorted), or as they lie in the source when it is None, which needs no
-    shuffle. Each row's place within its partition is written once to the
-    shared folder, so that counting and numbering see the same places even when
-    executors are lost in between; only partition totals meet in one task.
+    sorted; rows with equal keys in any order), or as they lie in the source
+    when it is None. Rows of files are then numbered file by file in the order
+    of their paths, without a shuffle and without a copy: only counts per file
+    split are gathered. Other sources keep the order of their partitions; for
+    these, and for sorted rows, places are written once to the shared folder,
+    so that counting and numbering see the same ones even when executors are
+    lost in between.
     """
+    if not order_by:
+        try:
+            located = df.select(
+                "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_place"),
+            )
+            located.schema  # noqa: B018  (asks the analyser whether the rows come from files)
+        except AnalysisException:
+            pass
+        else:
+            return _numbered(located, ["_file", "_block"], df.columns, id_col, start)
     spark = df.sparkSession
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     staged = shared_folder(spark, "dense-ids")
     df.withColumn("_place", F.monotonically_increasing_id()).write.parquet(staged)
+    placed = spark.read.parquet(staged).withColumn("_part", F.shiftright("_place", 33))
+    return _numbered(placed, ["_part"], df.columns, id_col, start)
 
-    placed = spark.read.parquet(staged)
-    part = F.shiftright("_place", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+def _numbered(placed: DataFrame, part: list[str], columns: list[str], id_col: str, start: int) -> DataFrame:
+    """Number rows by part, and in a part by ``_place``, which goes up by one from row to row."""
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(part.alias("_part"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+        placed.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+        .select(*part, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     )
-    within = F.col("_place").bitwiseAND((1 << 33) - 1)
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")  # one small row per partition
-        .select((F.col("_before") + within + start).alias(id_col), *df.columns)
+    # One small row per part: a file split or a partition.
+    return placed.join(F.broadcast(offsets), part).select(
+        (F.col("_before") + F.col("_place") - F.col("_first") + start).alias(id_col), *columns
     )
 
 

@@ -90,3 +90,17 @@ def test_dense_ids_with_one_hot_key(spark):
     df = spark.createDataFrame(rows, "a int, b int")
     got = ranges.dense_ids(df, ["a", "b"]).orderBy("id").collect()
     assert [(r.a, r.b) for r in got] == sorted(rows)
+
+
+def test_dense_ids_follow_the_files(spark, tmp_path):
+    """Spark packs files by size; the ids follow their names and lines all the same."""
+    sizes = {"a": 3, "b": 3_000, "c": 700, "d": 1}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.csv").write_text("x\n" + "".join(f"{name}{i}\n" for i in range(n)))
+    rows = spark.read.csv(str(tmp_path), header=True)
+    for df in (rows, rows.filter("x != 'b7'").selectExpr("x", "upper(x) as y")):
+        numbered = ranges.dense_ids(df)
+        assert numbered.columns == ["id", *df.columns]
+        expected = [f"{n}{i}" for n, size in sizes.items() for i in range(size) if len(df.columns) == 1 or (n, i) != ("b", 7)]
+        assert [r.x for r in sorted(numbered.collect())] == expected
+        assert sorted(r.id for r in numbered.collect()) == list(range(1, len(expected) + 1))
