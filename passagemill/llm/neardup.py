@@ -98,10 +98,10 @@ def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    folded = (shingles >> np.uint64(32)).astype(np.uint32)
+    upper = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(folded), _STEP):
-        np.minimum(least, (_MUL * folded[None, i : i + _STEP] + _ADD).min(axis=1), out=least)
+    for i in range(0, len(upper), _STEP):
+        np.minimum(least, (_MUL * upper[None, i : i + _STEP] + _ADD).min(axis=1), out=least)
     return least
 
 

@@ -2,8 +2,6 @@ import gzip
 import hashlib
 import os
 
-import pytest
-
 from passagemill.llm import warc
 from passagemill.llm.common import Scratch
 
