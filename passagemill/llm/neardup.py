@@ -84,7 +84,7 @@ def folded(sketch: bytes, bits: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
 
 
-def set_limit(windows: np.ndarray, bits: int, deviations: float = 6.0) -> np.ndarray:
+def set_limit(windows: np.ndarray, bits: int, deviations: float = 4.0) -> np.ndarray:
     """The largest population count of two sets at the threshold, with so many windows together."""
     differ = windows * (100 - THRESHOLD) / (100 + THRESHOLD)
     fade = np.exp(-4 * differ / bits)
