@@ -82,7 +82,7 @@ def write_shards(
         counts[row["bucket"]] = row["count"]
     offsets = spark.sparkContext.broadcast(np.concatenate(([0], np.cumsum(counts)))[:-1])
 
-    scattered = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", mark, *key)
+    scattered = placed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", mark, *key)
     schema = placed.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
     shuffled = scattered.mapInArrow(_permuted(offsets, rows, shards, seed), schema).drop("bucket")
     # In the order in which it is written, so that a task keeps one file open.
