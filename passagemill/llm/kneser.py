@@ -2,16 +2,16 @@
 
 Characters are folded to 40 symbols (letters without case and accents, classes of other
 characters), so a language has at most 40**4 = 2.56 million 4-grams whatever the corpus holds.
-Spark counts the 4-grams of all documents by language. From the counts an interpolated modified
+Spark counts the 4-grams of all distinct texts by language. From the counts an interpolated modified
 Kneser-Ney model is made and kept in two sorted arrays of 64-bit hashes: (language, n-gram) with
 its probability, and (language, history) with its weight for lower orders.
 
 A document's score is its mean negative log probability per character. The bands of a language lie
-``REACH`` interquartile ranges below the first and above the third quartile of its documents'
-scores; short documents get ``SLACK / sqrt(characters)`` more on both sides.
+``REACH`` interquartile ranges below the first and above the third quartile of the scores of its
+distinct texts that pass the base rules, so copies weigh as one; every row is judged. Short documents get ``SLACK / sqrt(characters)`` more on both sides.
 
 The ``MOST_LANGUAGES`` most frequent languages have models of their own, the others share one. The
-bound is there for memory only; every document is counted and scored.
+bound is there for memory only; every text is counted and every document scored.
 
 Nulls: a null text is empty: no words, so the base rule rejects it. A null language is a language.
 """
@@ -292,16 +292,21 @@ def _score_batches(shared):
                 scores.append(surprise(lang, text.decode()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(2),
+                    batch.column(0), batch.column(2), batch.column(3),
                     *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS))),
                     pa.array(scores, pa.float64()), pa.array(text_lengths(batch.column(1)), pa.int64()),
                 ],
-                ["model", "row", *COUNTS, "surprise", "n_points"],
+                ["model", "row", "digest", *COUNTS, "surprise", "n_points"],
             )
 
     return run
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``(model, text)`` once for each language and ``digest`` (128 bits); copies meet map-side first."""
+    return docs.groupBy("model", "digest").agg(F.first("text").alias("text")).select("model", "text")
+
+
 def text_lengths(column: pa.Array) -> list[int]:
     return [len(t or "") for t in column.to_pylist()]
 
@@ -314,7 +319,8 @@ def quality(
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     named = docs.select(
-        F.coalesce(F.col(lang), F.lit("")).alias("model"), F.col("text"), F.struct(*keep).alias("row")
+        F.coalesce(F.col(lang), F.lit("")).alias("model"), F.col("text"), F.struct(*keep).alias("row"),
+        F.md5("text").alias("digest"),
     )
     frequent = [
         r["model"] for r in named.groupBy("model").count()
@@ -322,26 +328,28 @@ def quality(
     ]
     named = named.withColumn("model", F.when(F.col("model").isin(frequent), F.col("model")).otherwise(REST))
 
-    counts = scratch.keep(count_grams(named), "counts")
+    counts = scratch.keep(count_grams(distinct_texts(named)), "counts")
     model = Model.fit(read_counts(counts))
     shared = spark.sparkContext.broadcast((model.grams, model.probability, model.histories, model.weight))
     schema = named.select(
-        "model", "row", *(F.lit(0).cast("long").alias(c) for c in COUNTS),
+        "model", "row", "digest", *(F.lit(0).cast("long").alias(c) for c in COUNTS),
         F.lit(0.0).alias("surprise"), F.lit(0).cast("long").alias("n_points"),
     ).schema
     for field in schema.fields:
         field.nullable = True
-    scored = scratch.keep(named.select("model", "text", "row").mapInArrow(_score_batches(shared), schema), "scored")
+    scored = scratch.keep(named.select("model", "text", "row", "digest").mapInArrow(_score_batches(shared), schema), "scored")
     scratch.drop("counts")
 
-    quarter, three = (F.percentile_approx("surprise", q, 10_000) for q in (0.25, 0.75))
-    bands = scored.groupBy("model").agg(quarter.alias("q1"), three.alias("q3"))
-    more = F.lit(slack) / F.sqrt(F.greatest("n_points", F.lit(1)))
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )
+    # Copies have equal scores: each distinct text that passes the base rules counts once.
+    once = scored.filter(~failed).groupBy("model", "digest").agg(F.max("surprise").alias("surprise"))
+    quarter, three = (F.percentile_approx("surprise", q, 10_000) for q in (0.25, 0.75))
+    bands = once.groupBy("model").agg(quarter.alias("q1"), three.alias("q3"))
+    more = F.lit(slack) / F.sqrt(F.greatest("n_points", F.lit(1)))
     judged = (
-        scored.join(F.broadcast(bands), "model")  # one row per language, MOST_LANGUAGES + 1 at most
+        scored.join(F.broadcast(bands), "model", "left")  # one row per language, MOST_LANGUAGES + 1 at most
         .withColumn("lower", F.col("q1") - reach * (F.col("q3") - F.col("q1")) - more)
         .withColumn("upper", F.col("q3") + reach * (F.col("q3") - F.col("q1")) + more)
     )

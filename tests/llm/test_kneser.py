@@ -95,3 +95,27 @@ def test_rare_languages_share_a_model(spark, monkeypatch, most):
     rows = [(i, "some words of a text here and there again now", "ab"[i % 2] + "c" * (i % 3)) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert len(kneser.quality(docs).collect()) == 30
+
+
+def prose(n, letters="abcdefghijklmnopqrstuvwxyz", seed=1, rotated=0):
+    """Texts of one vocabulary, written in ``letters``; ``rotated`` exchanges each for a later one."""
+    import random
+
+    rng = random.Random(seed)
+    words = ["river", "stone", "walks", "under", "the", "bright", "morning", "over", "hills", "and", "sings"]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(n)]
+    return [t.translate({97 + i: letters[(i + rotated) % 26] for i in range(26)}) for t in texts]
+
+
+@pytest.mark.parametrize("copies", [65, 500])  # 33 % and 80 % of a language's rows
+def test_copies_do_not_move_the_bands(spark, copies):
+    junk = prose(2, seed=5, letters="qxzjkv#%|qxzjkv#%|qxzjkv#%")
+    rows = [(i, t) for i, t in enumerate(prose(120))] + [(900 + i, t) for i, t in enumerate(junk)]
+    rows += [(2_000 + i, "word word word") for i in range(150)]  # fail the base rules
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang")
+    more = docs.filter("doc_id = 0").selectExpr(f"explode(sequence(5000, {4999 + copies})) as doc_id", "text", "lang")
+    plain = {r.doc_id: (r.kept, r.surprise, r.lower, r.upper) for r in kneser.quality(docs).collect()}
+    got = {r.doc_id: (r.kept, r.surprise, r.lower, r.upper) for r in kneser.quality(docs.union(more)).collect()}
+    assert {i: v for i, v in got.items() if i < 5000} == plain
+    assert {v for i, v in got.items() if i >= 5000} == {plain[0]} and plain[0][0]
+    assert [i for i in range(120) if not plain[i][0]] == [] and not any(plain[900 + i][0] for i in range(2))
