@@ -1,17 +1,15 @@
-"""Quality rules with an n-gram perplexity: modified Kneser-Ney over folded characters.
+"""Quality rules with an n-gram perplexity: modified Kneser-Ney over unfolded characters.
 
-Characters are folded to 40 symbols (letters without case and accents, classes of other
-characters), so a language has at most 40**4 = 2.56 million 4-grams whatever the corpus holds.
-Spark counts the 4-grams of all distinct texts by language. From the counts an interpolated modified
-Kneser-Ney model is made and kept in two sorted arrays of 64-bit hashes: (language, n-gram) with
-its probability, and (language, history) with its weight for lower orders.
+Spark counts the character 4-grams of all distinct texts by language and works out an interpolated
+modified Kneser-Ney model of each language (``passagemill.llm.grams``).
 
 A document's score is its mean negative log probability per character. The bands of a language lie
 ``REACH`` interquartile ranges below the first and above the third quartile of the scores of its
-distinct texts that pass the base rules, so copies weigh as one; every row is judged. Short documents get ``SLACK / sqrt(characters)`` more on both sides.
+distinct texts that pass the base rules, so copies weigh as one; every row is judged. Short
+documents get ``SLACK / sqrt(characters)`` more on both sides.
 
-The ``MOST_LANGUAGES`` most frequent languages have models of their own, the others share one. The
-bound is there for memory only; every text is counted and every document scored.
+The model of folded 4-grams with ``MOST_LANGUAGES`` that ``quality`` used before is no longer part of
+it; its functions (``count_grams``, ``Model``) are what tests hold the formulas to.
 
 Nulls: a null text is empty: no words, so the base rule rejects it. A null language is a language.
 """
@@ -29,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.llm import grams
 from passagemill.llm.common import Scratch, WordHashes, mix, text_bytes, windows
 
 ORDER = 4
@@ -265,52 +264,42 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def _score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table, hashes = Model(*shared.value), symbol_table(), WordHashes()
-        dense: OrderedDict[str, np.ndarray] = OrderedDict()  # log probabilities looked up so far
-
-        def surprise(lang: str, text: str) -> float | None:
-            if not text:
-                return None
-            if lang not in dense:
-                if len(dense) >= OPEN_LANGUAGES:
-                    dense.popitem(last=False)
-                dense[lang] = np.full(GRAMS, np.nan, np.float32)
-            dense.move_to_end(lang)
-            code, known = codes(text, table), dense[lang]
-            values = known[code]
-            if (missing := np.isnan(values)).any():
-                fresh = np.unique(code[missing])
-                known[fresh] = model.log_probability(lang, fresh)
-                values = known[code]
-            return float(-values.mean(dtype=np.float64))
-
+        known, hashes = grams.Known(*shared.value), WordHashes()
         for batch in batches:
-            counts, scores = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                text = text or b""
-                counts.append(base_counts(text, hashes))
-                scores.append(surprise(lang, text.decode()))
+            raw = [t or b"" for t in text_bytes(batch.column(1))]
+            counts = [base_counts(t, hashes) for t in raw]
+            texts = [t.decode() for t in raw]
+            sums, left = grams.surprises(known, batch.column(0).to_pylist(), texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), batch.column(3),
                     *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS))),
-                    pa.array(scores, pa.float64()), pa.array(text_lengths(batch.column(1)), pa.int64()),
+                    pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([list(x.items()) for x in left], pa.map_(pa.int64(), pa.int64())),
                 ],
-                ["model", "row", "digest", *COUNTS, "surprise", "n_points"],
+                ["model", "row", "digest", *COUNTS, "total", "n_points", "left"],
             )
 
     return run
 
 
+def with_joined(scored: DataFrame, rare: DataFrame) -> DataFrame:
+    """``total`` with the n-grams in ``left``, joined once for each distinct text."""
+    text = ["model", "digest"]
+    left = scored.select(*text, F.explode("left").alias("key", "times"))
+    sums = (
+        left.groupBy(*text, "key").agg(F.first("times").alias("times")).join(rare, "key")
+        .groupBy(*text).agg(F.sum(-F.col("times") * F.col("logp").cast("double")).alias("more"))
+    )
+    added = scored.join(sums, text, "left")
+    return added.withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0))).drop("more")
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """``(model, text)`` once for each language and ``digest`` (128 bits); copies meet map-side first."""
     return docs.groupBy("model", "digest").agg(F.first("text").alias("text")).select("model", "text")
 
 
-def text_lengths(column: pa.Array) -> list[int]:
-    return [len(t or "") for t in column.to_pylist()]
-
-
 def quality(
     docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), lang: str = "lang",
     max_repeat_percent: int = 20, min_words: int = 10, reach: float = REACH, slack: float = SLACK,
@@ -322,23 +311,23 @@ def quality(
         F.coalesce(F.col(lang), F.lit("")).alias("model"), F.col("text"), F.struct(*keep).alias("row"),
         F.md5("text").alias("digest"),
     )
-    frequent = [
-        r["model"] for r in named.groupBy("model").count()
-        .orderBy(F.desc("count"), "model").limit(MOST_LANGUAGES).collect()
-    ]
-    named = named.withColumn("model", F.when(F.col("model").isin(frequent), F.col("model")).otherwise(REST))
-
-    counts = scratch.keep(count_grams(distinct_texts(named)), "counts")
-    model = Model.fit(read_counts(counts))
-    shared = spark.sparkContext.broadcast((model.grams, model.probability, model.histories, model.weight))
+    counts = scratch.keep(grams.count(distinct_texts(named)), "counts")
+    model = scratch.keep(grams.probabilities(counts, scratch), "model")
+    least = grams.travelling(model, grams.TRAVEL)
+    shared = spark.sparkContext.broadcast(grams.collected(model, least))
     schema = named.select(
         "model", "row", "digest", *(F.lit(0).cast("long").alias(c) for c in COUNTS),
-        F.lit(0.0).alias("surprise"), F.lit(0).cast("long").alias("n_points"),
+        F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n_points"),
+        F.lit(None).cast("map<bigint,bigint>").alias("left"),
     ).schema
     for field in schema.fields:
         field.nullable = True
-    scored = scratch.keep(named.select("model", "text", "row", "digest").mapInArrow(_score_batches(shared), schema), "scored")
-    scratch.drop("counts")
+    scored = named.select("model", "text", "row", "digest").mapInArrow(_score_batches(shared), schema)
+    scored = scratch.keep(scored, "scored")
+    if least > 0:
+        scored = scratch.keep(with_joined(scored, model.filter(F.col("step") < least)), "joined")
+    scratch.drop("counts", "grams-1", "grams-2", "grams-3", "model")
+    scored = scored.withColumn("surprise", F.when(F.col("n_points") > 0, F.col("total") / F.col("n_points")))
 
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
@@ -346,10 +335,12 @@ def quality(
     # Copies have equal scores: each distinct text that passes the base rules counts once.
     once = scored.filter(~failed).groupBy("model", "digest").agg(F.max("surprise").alias("surprise"))
     quarter, three = (F.percentile_approx("surprise", q, 10_000) for q in (0.25, 0.75))
-    bands = once.groupBy("model").agg(quarter.alias("q1"), three.alias("q3"))
+    bands = scratch.keep(once.groupBy("model").agg(quarter.alias("q1"), three.alias("q3")), "bands")
+    if bands.limit(grams.FEW_LANGUAGES + 1).count() <= grams.FEW_LANGUAGES:  # one row per language
+        bands = F.broadcast(bands)
     more = F.lit(slack) / F.sqrt(F.greatest("n_points", F.lit(1)))
     judged = (
-        scored.join(F.broadcast(bands), "model", "left")  # one row per language, MOST_LANGUAGES + 1 at most
+        scored.join(bands, "model", "left")
         .withColumn("lower", F.col("q1") - reach * (F.col("q3") - F.col("q1")) - more)
         .withColumn("upper", F.col("q3") + reach * (F.col("q3") - F.col("q1")) + more)
     )

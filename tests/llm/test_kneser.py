@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from passagemill.llm import kneser, queries
+from passagemill.llm import grams, kneser, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,3 +119,58 @@ def test_copies_do_not_move_the_bands(spark, copies):
     assert {i: v for i, v in got.items() if i < 5000} == plain
     assert {v for i, v in got.items() if i >= 5000} == {plain[0]} and plain[0][0]
     assert [i for i in range(120) if not plain[i][0]] == [] and not any(plain[900 + i][0] for i in range(2))
+
+
+CYRILLIC = "абвгдежзийклмнопрстуфхцчшщ"
+
+
+def judged(spark, texts, lang="x"):
+    docs = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    return {r.doc_id: r for r in kneser.quality(docs).collect()}
+
+
+def test_exchanged_letters_of_any_alphabet_are_told_apart(spark):
+    """All letters of an alphabet are rotated by seven, which the folded classes did not see."""
+    texts = lambda letters: prose(120, letters) + prose(1, letters, seed=9, rotated=7)
+    got = judged(spark, texts(CYRILLIC))
+    assert not got[120].kept and all(got[i].kept for i in range(120))
+    latin = judged(spark, texts("abcdefghijklmnopqrstuvwxyz"))
+    assert all(np.isclose(got[i].surprise, latin[i].surprise) for i in range(121))
+
+
+def test_a_language_has_its_model_among_any_number_of_others(spark):
+    alone = {i: (r.surprise, r.lower, r.upper) for i, r in judged(spark, prose(20), "zz").items()}
+    rows = [(i, t, "zz") for i, t in enumerate(prose(20))]
+    rows += [(1000 + i, t, f"l{i % 70}") for i, t in enumerate(prose(140 * 11, seed=3)[:1540])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.surprise, r.lower, r.upper) for r in kneser.quality(docs).collect()}
+    assert {i: got[i] for i in range(20)} == alone
+
+
+def test_equals_the_model_by_plain_counting_and_joins_what_does_not_travel(spark, monkeypatch):
+    texts = ["the cat sat on the mat and saw the hat", "a cat and a hat, a rat", "mmm\U0001f642 été", "кот сидит"] * 2
+    symbols = [[grams.PAD] * 3 + list(map(ord, t)) for t in set(texts)]
+    level = Counter(tuple(s[i : i + 4]) for s in symbols for i in range(len(s) - 3))
+    p = lambda gram: 1 / len({g[-1] for g in level})
+    levels = [level]
+    for _ in range(3):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    for counts in reversed(levels):
+        d = kneser.discounts(np.array(list(counts.values())))
+        total, mass = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            mass[g[:-1]] += d[min(n, 3)]
+        p = {g: (n - d[min(n, 3)] + mass[g[:-1]] * (p(g) if callable(p) else p[g[1:]])) / total[g[:-1]] for g, n in counts.items()}
+    expected = [-np.mean([np.log(p[tuple(([grams.PAD] * 3 + list(map(ord, t)))[i : i + 4])]) for i in range(len(t))]) for t in texts]
+    for travel in (grams.TRAVEL, 20, 0):
+        monkeypatch.setattr(grams, "TRAVEL", travel)
+        got = judged(spark, texts)
+        assert np.allclose([got[i].surprise for i in range(8)], expected, rtol=1e-5)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = "".join(chr(97 + i * i % 23) for i in range(500))
+    whole = [np.concatenate(c) for c in zip(*grams.gram_parts(["a", "b"], [text, text[:9]]))]
+    monkeypatch.setattr(grams, "CHUNK", 7)
+    assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*grams.gram_parts(["a", "b"], [text, text[:9]]))))
