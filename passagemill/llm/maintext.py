@@ -3,12 +3,15 @@
 The standard library's parser streams events; a line is the text of one block. The ratio of a line
 is its characters over its tags. Ratios are smoothed with a Gaussian in page order, and a threshold
 found by two-means clustering of the smoothed values splits lines into content and the rest. The
-region is the smallest element that holds most of the content lines' characters, and its lines are
-the main text, short ones included.
+region is the union of the articles and main elements that hold all content lines, or else the
+smallest element that holds them all, with the headings before it; its lines are the main text,
+short ones included.
 
 What is never content is left out while parsing: scripts, styles and other unseen elements, menus,
-forms, asides, page headers and footers, and elements whose class, id or role names a menu,
-sidebar, notice, advert or comment list. Character references are decoded, white space inside a
+asides, page headers and footers, and elements whose role names one. Forms and elements whose class
+or id names a menu, sidebar, notice, advert or comment list go after parsing, unless they are
+headings or hold most of the page's text. A class or id names one if all its words do or only place
+it, so ``has-sidebar`` does not. Character references are decoded, white space inside a
 block becomes one space, and blocks are joined by one line feed.
 
 Nulls: a null or empty page has the empty text. A page without markup is one block. Unclosed and
@@ -33,7 +36,9 @@ UNSEEN = frozenset(
     "script style noscript template head title iframe object svg math canvas audio video map "
     "select option optgroup datalist textarea button dialog".split()
 )
-BESIDE = frozenset("nav aside form menu fieldset".split())
+BESIDE = frozenset("nav aside menu".split())
+FORMS = frozenset(("form", "fieldset"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE_ENDS = frozenset(("header", "footer"))
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset "
@@ -55,12 +60,15 @@ NAMES = frozenset(
     "sharing social related recommended comment comments respond replies disqus footer header "
     "masthead topbar toolbar pagination pager skip copyright legal disclaimer form search".split()
 )
+#: Words that only say where or how such an element stands.
+PLACES = frozenset(
+    "main site page global top bottom left right primary secondary section container wrapper box block "
+    "list item items inner outer bar area link links menu post article".split()
+)
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 SIGMA = 2.0
-#: Share of the content characters that the region must hold.
-SHARE = 0.75
 
 
 @dataclass
@@ -68,29 +76,57 @@ class Element:
     tag: str
     beside: bool
     parent: int
-    chars: int = 0
+    named: bool = False
+
+
+def names_beside(value: str) -> bool:
+    """Whether one of the names in a class or id is made of words for what stands beside."""
+    for token in value.split():
+        words = {w.lower() for w in _NAME_WORDS.findall(token)}
+        if words & NAMES and words <= NAMES | PLACES:
+            return True
+    return False
 
 
 @dataclass
 class Lines(HTMLParser):
-    """Collects ``lines``: text, tags and innermost element of each block with text."""
+    """Collects ``blocks``: parts with their elements, tags and innermost element of each block."""
 
-    lines: list[tuple[str, int, int]] = field(default_factory=list)
+    blocks: list[tuple[list[tuple[int, str]], int, int]] = field(default_factory=list)
 
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
         self.elements = [Element("", False, -1)]
         self.stack = [0]
         self.beside = 0
-        self.parts: list[str] = []
+        self.parts: list[tuple[int, str]] = []
         self.tags = 0
 
     def end_line(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.stack[-1]))
+        if any(text.strip() for _, text in self.parts):
+            self.blocks.append((self.parts, self.tags, self.stack[-1]))
             self.tags = 0
-        self.parts.clear()
+        self.parts = []
+
+    def lines(self) -> list[tuple[str, int, int]]:
+        """Text, tags and innermost element of each block, without what is beside by name."""
+        chars = [0] * len(self.elements)
+        for parts, _, _ in self.blocks:
+            for at, text in parts:
+                chars[at] += len(text.strip())
+        for i in range(len(chars) - 1, 0, -1):  # children come after their parents
+            chars[self.elements[i].parent] += chars[i]
+        gone = [False] * len(chars)
+        for i, element in enumerate(self.elements[1:], 1):
+            gone[i] = gone[element.parent] or element.named and 2 * chars[i] <= chars[0]
+        out, before = [], 0
+        for parts, tags, at in self.blocks:
+            text = _SPACE.sub(" ", "".join(t for i, t in parts if not gone[i])).strip()
+            before += tags
+            if text:
+                out.append((text, before, at))
+                before = 0
+        return out
 
     def _beside(self, tag: str, attrs) -> bool:
         if tag in UNSEEN or tag in BESIDE:
@@ -106,15 +142,18 @@ class Lines(HTMLParser):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                if any(w.lower() in NAMES for w in _NAME_WORDS.findall(value)):
-                    return True
         return False
 
+    @staticmethod
+    def _named(tag: str, attrs) -> bool:
+        if tag in HEADINGS or tag in ("html", "body", "article", "main"):
+            return False
+        return tag in FORMS or any(n in ("class", "id") and v and names_beside(v) for n, v in attrs)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((self.stack[-1], " "))
         if tag in VOID:
             if tag == "hr":
                 self.end_line()
@@ -134,7 +173,7 @@ class Lines(HTMLParser):
                     if inner in BLOCKS:
                         break
         beside = self._beside(tag, attrs)
-        self.elements.append(Element(tag, beside, self.stack[-1]))
+        self.elements.append(Element(tag, beside, self.stack[-1], self._named(tag, attrs)))
         self.stack.append(len(self.elements) - 1)
         self.beside += beside
 
@@ -162,7 +201,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.beside:
-            self.parts.append(data)
+            self.parts.append((self.stack[-1], data))
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -187,34 +226,34 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content_region(parser: Lines) -> int:
-    """The innermost element with ``SHARE`` of the characters of the lines chosen by their ratios."""
-    lines = parser.lines
-    smoothed = smooth(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
-    chosen = smoothed >= threshold(smoothed)
-    weights = [0] * len(parser.elements)
-    for (text, _, at), taken in zip(lines, chosen):
-        if taken:
-            weights[at] += len(text)
-    total = sum(weights)
-    for i in range(len(weights) - 1, 0, -1):  # children come after their parents
-        weights[parser.elements[i].parent] += weights[i]
-    region = max((i for i, w in enumerate(weights) if w >= SHARE * total), default=0)
-    # A single block is no region: take the element that holds the blocks.
-    sectioning = ("article", "main", "section", "div", "body", "html", "", "td", "table")
-    while parser.elements[region].tag not in sectioning:
-        region = parser.elements[region].parent
-    return widened(parser, region)
+SECTIONING = frozenset(("article", "main", "section", "div", "body", "html", "", "td", "table"))
 
 
-def widened(parser: Lines, region: int) -> int:
-    """An article or main element around the region is the region."""
-    at = region
-    while at >= 0:
-        if parser.elements[at].tag in ("article", "main"):
-            return at
-        at = parser.elements[at].parent
-    return region
+def content_regions(elements: list[Element], lines: list[tuple[str, int, int]]) -> set[int]:
+    """Elements that hold all lines chosen by their ratios."""
+    smoothed = smooth(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
+    taken, lengths = smoothed >= threshold(smoothed), np.array([len(text) for text, _, _ in lines])
+    chosen = {at for (_, _, at), own in zip(lines, taken) if own}
+    nearest = [-1] * len(elements)  # article or main element around each
+    for i, element in enumerate(elements):
+        nearest[i] = i if element.tag in ("article", "main") else nearest[element.parent] if i else -1
+    if all(nearest[at] >= 0 for at in chosen):
+        regions = {nearest[at] for at in chosen}
+        beside = {elements[i].parent for i in regions if elements[i].tag == "article"}
+        return regions | {i for i, e in enumerate(elements) if e.tag == "article" and e.parent in beside}
+    # Without such markup, lines as long as content are content, whatever tags stand before them.
+    long = lengths >= np.median(lengths[taken])
+    chosen |= {at for (_, _, at), own in zip(lines, long) if own}
+    # Parents have smaller numbers: the largest of several elements goes up until one is left.
+    while len(chosen) > 1:
+        last = max(chosen)
+        chosen.remove(last)
+        chosen.add(elements[last].parent)
+    region = chosen.pop()
+    # A single block is no region: take the element that holds the blocks.
+    while elements[region].tag not in SECTIONING:
+        region = elements[region].parent
+    return {region}
 
 
 def main_text(html: str | None) -> str:
@@ -222,13 +261,21 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.end_line()
-    if not parser.lines:
+    lines, elements = parser.lines(), parser.elements
+    if not lines:
         return ""
-    region = content_region(parser)
-    inside = [False] * len(parser.elements)
-    for i, element in enumerate(parser.elements):
-        inside[i] = i == region or element.parent >= 0 and inside[element.parent]
-    return "\n".join(text for text, _, at in parser.lines if inside[at])
+    regions = content_regions(elements, lines)
+    inside, heading = [False] * len(elements), [""] * len(elements)
+    for i, element in enumerate(elements):
+        inside[i] = i in regions or element.parent >= 0 and inside[element.parent]
+        heading[i] = element.tag if element.tag in HEADINGS else heading[element.parent] if i else ""
+    taken = [inside[at] for _, _, at in lines]
+    first = taken.index(True)
+    # The page's title, and headings right before a region.
+    for i in range(len(lines) - 2, -1, -1):
+        tag = heading[lines[i][2]]
+        taken[i] = taken[i] or bool(tag) and (taken[i + 1] or tag == "h1" and i < first)
+    return "\n".join(text for (text, _, _), own in zip(lines, taken) if own)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

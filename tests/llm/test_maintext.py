@@ -70,3 +70,33 @@ def test_smoothing_and_threshold():
     assert np.allclose(maintext.smooth(flat), flat)
     assert 2 < maintext.threshold(np.array([1.0, 1, 2, 9, 10, 11])) < 9
     assert maintext.threshold(np.array([5.0])) <= 5
+
+
+WORDS = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        # a title beside the body
+        (f"<div><h1>Title</h1><div class=body><p>{LONG}<p>{LONG}</div></div>", ["Title", WORDS, WORDS]),
+        # sibling sections, of which one has most of the text
+        (
+            f"<div><section><p>{LONG * 9}</section><section><h2>End</h2><p>{LONG}<ul><li>one<li>two</ul></section></div>",
+            [(LONG * 9).strip(), "End", WORDS, "one", "two"],
+        ),
+        # two articles
+        (f"<article><p>{LONG * 9}</article><nav>Menu</nav><article><p>{LONG}</article>", [(LONG * 9).strip(), WORDS]),
+        # layout classes of a wrapper, and a form around everything
+        (f"<div class='page has-sidebar'><p>{LONG}<div class=sidebar>Links</div><p>{LONG}</div>", [WORDS, WORDS]),
+        (f"<div class='sidebar'><p>{LONG}<p>{LONG}</div>", [WORDS, WORDS]),
+        (f"<form><div><p>{LONG}<p>{LONG}</div></form>", [WORDS, WORDS]),
+        # generated ids of headings and sections
+        (f"<div><p>{LONG}<h2 id='related'>Related</h2><div id='related-works'><p>{LONG}</div></div>", [WORDS, "Related", WORDS]),
+        # what is named is still left out, inside a line too
+        (f"<div><p>{LONG}<span class='share-bar'>Share</span></p><p>{LONG}</p><div id=siteFooter>All rights</div></div>", [WORDS, WORDS]),
+    ],
+)
+def test_the_whole_content_stays(body, text):
+    page = f"<html><body><nav><a>A</a></nav>{body}<footer>Contact</footer></body></html>"
+    assert maintext.main_text(page) == "\n".join(text)
