@@ -75,4 +75,27 @@ SELECT page_id, url, strlen(record) AS n_bytes, sha256(record) AS sha256,
 FROM records
 """
 
-ORACLE: dict[str, str] = {"op2_neardup": NEARDUP, "op4_warc": WARC, "op5_decontaminate": DECONTAMINATE}
+_MARKED = (
+    r"([<\[])(\\*)(s>|/s>|ROLE\]|/ROLE\]|IMAGE\]|AUDIO\]|DOCUMENT\]|FILE\]|INST\]|/INST\]"
+    r"|\|im_start\|>|\|im_end\|>|\|endoftext\|>)"
+)
+
+CHAT = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), told AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+    sum(length('[ROLE]' || regexp_replace(role, '{_MARKED}', '\1\2\\\3', 'g') || '[/ROLE]'
+      || regexp_replace(text, '{_MARKED}', '\1\2\\\3', 'g') || '</s>'))::BIGINT AS chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars,
+  sha256(learned) AS loss_sha256, length('<s>') + chars AS formatted_chars
+FROM told
+"""
+
+ORACLE: dict[str, str] = {"op11_chat": CHAT, "op2_neardup": NEARDUP, "op4_warc": WARC, "op5_decontaminate": DECONTAMINATE}

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, kneser, langid, lattice, leaks, maintext, neardup, secrets, shards, warc
+from passagemill.llm import (
+    bpe, chat, kneser, langid, lattice, leaks, maintext, neardup, secrets, shards, warc,
+)
 from passagemill.llm.common import Scratch
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -113,9 +115,32 @@ def op10_secrets(spark, sf):
     )
 
 
+def op11_chat(spark, sf):
+    """All conversations and one whose texts hold marks; the digests are read back from the formatted text."""
+    talk = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = talk.union(marked).withColumn("content", chat.text_part(F.col("text")))
+    done = chat.format_chats(turns)
+    said = lambda turn: F.concat(turn["role"], F.lit("\n"), F.array_join(turn["texts"], ""), F.lit("\n"))
+    read = done.select(
+        "conv_id", "n_turns", F.length("formatted").cast("long").alias("formatted_chars"),
+        F.array_join(F.transform(chat.read_back(F.col("formatted")), said), "").alias("turns"),
+        F.array_join(chat.under_mask(F.col("formatted"), F.col("loss")), "").alias("learned"),
+    )
+    return read.select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_shards, op2_neardup, op3_maintext, op4_warc, op5_decontaminate, op6_bpe, op7_quality,
-        op8_langid, op9_lattice, op10_secrets,
+        op8_langid, op9_lattice, op10_secrets, op11_chat,
     )
 }

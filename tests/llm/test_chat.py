@@ -1,0 +1,109 @@
+"""Chat formatting against plain Python, round trips of any text, and typed parts."""
+
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from passagemill.llm import chat, queries
+
+ROWS = "conv_id long, turn long, role string, text string"
+
+
+def formatted(spark, rows):
+    turns = spark.createDataFrame(rows, ROWS).withColumn("content", chat.text_part(F.col("text")))
+    done = chat.format_chats(turns)
+    back = done.withColumn("back", chat.read_back(F.col("formatted"))).withColumn(
+        "learned", chat.under_mask(F.col("formatted"), F.col("loss"))
+    )
+    return {r.conv_id: r for r in back.collect()}
+
+
+def test_any_text_and_role_comes_back(spark):
+    rng = random.Random(3)
+    bits = ["<", "s>", "/s>", "</s>", "\\", "[", "ROLE]", "/ROLE]", "[IMAGE]", "INST]", "|im_end|>", "é", "😀",
+            "\n", "a ", "[\\ROLE]", "<\\\\s>", "$1", ""]
+    text = lambda: "".join(rng.choices(bits, k=rng.randint(0, 9)))
+    rows = []
+    for conv in range(120):
+        for turn in range(rng.randint(1, 5)):
+            rows.append((conv, turn, rng.choice(["user", "assistant", text()]), text()))
+    got = formatted(spark, rng.sample(rows, len(rows)))
+    for conv in range(120):
+        own = [r for r in rows if r[0] == conv]
+        row = got[conv]
+        assert [(t.role, "".join(t.texts)) for t in row.back] == [(r[2], r[3]) for r in own]
+        assert row.learned == [r[3] for r in own if r[2] == "assistant"]
+        assert row.n_turns == len(own) and row.attachments == []
+        assert row.formatted.count("[ROLE]") == row.formatted.count("</s>") == len(own)
+        assert row.formatted.count("[INST]") == row.formatted.count("[IMAGE]") == 0
+
+
+def test_nulls_ties_repeated_rows_and_an_empty_table(spark):
+    rows = [(None, None, None, None), (None, 1, "user", "a"), (1, 1, "b", "y"), (1, 1, "a", "z"), (1, 0, "a", None),
+            (1, 1, "a", "z")]
+    got = formatted(spark, rows)
+    assert got[1].formatted == "<s>[ROLE]a[/ROLE]</s>" + "[ROLE]a[/ROLE]z</s>" * 2 + "[ROLE]b[/ROLE]y</s>"
+    assert got[None].formatted == "<s>[ROLE][/ROLE]</s>[ROLE]user[/ROLE]a</s>"
+    assert formatted(spark, []) == {}
+
+
+def test_parts_become_placeholders_with_their_attachments(spark):
+    part = T._parse_datatype_string(chat.PARTS)
+    blank = dict.fromkeys(part.elementType.fieldNames())
+    make = lambda **x: {**blank, **x}
+    first = [
+        make(type="text", text="see [IMAGE] "), make(type="image", ref="a.png", width=28, height=15),
+        make(type="audio", ref="b.ogg", seconds=1.5), None, make(type="text", text="!"),
+    ]
+    second = [
+        make(type="document", ref="c.pdf", pages=2), make(type="text", text="one"),
+        make(type="video", ref="d"), make(type="text", text="two"), make(type="image", ref="e.png"),
+    ]
+    schema = T.StructType([
+        T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+        T.StructField("role", T.StringType()), T.StructField("content", part), T.StructField("loss", T.StringType()),
+    ])
+    rows = [(5, 0, "user", first, "x"), (5, 1, "assistant", second, "y"), (6, 0, "assistant", None, "z")]
+    done = chat.format_chats(spark.createDataFrame(rows, schema)).withColumn(
+        "back", chat.read_back(F.col("formatted"))
+    ).withColumn("learned", chat.under_mask(F.col("formatted"), F.col("loss")))
+    five, six = done.orderBy("conv_id").collect()
+    assert five.formatted == (
+        "<s>[ROLE]user[/ROLE]see [\\IMAGE] [IMAGE][AUDIO]!</s>"
+        "[ROLE]assistant[/ROLE][DOCUMENT]one[FILE]two[IMAGE]</s>"
+    )
+    assert [(a.turn, a.kind, a.ref, a.n_tokens) for a in five.attachments] == [
+        (0, "image", "a.png", 4), (0, "audio", "b.ogg", 38), (1, "document", "c.pdf", 1152),
+        (1, "file", "d", None), (1, "image", "e.png", None),
+    ]
+    marks = ["[IMAGE]", "[AUDIO]", "[DOCUMENT]", "[FILE]", "[IMAGE]"]
+    assert all(five.formatted[a.start:].startswith(m) for a, m in zip(five.attachments, marks))
+    assert five.learned == ["one", "two"]
+    assert five.back[0].texts == ["see [IMAGE] ", "", "!"] and five.back[1].texts == ["", "one", "two", ""]
+    assert six.formatted == "<s>[ROLE]assistant[/ROLE]</s>" and six.loss == []
+
+
+def test_long_conversations_and_long_texts(spark):
+    long = "[INST]" * 200_000
+    rows = [(1, 0, "assistant", long)] + [(2, n, "assistant", "</s>😀" * 20) for n in range(3000)]
+    got = formatted(spark, rows)
+    assert got[1].learned == [long]
+    assert got[2].learned == ["</s>😀" * 20] * 3000 and len(got[2].back) == 3000
+
+
+def test_query_reads_every_conversation_back(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.conv_id: r for r in queries.op11_chat(spark, sf).collect()}
+    talk = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        talk.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    talk[-7] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert set(got) == set(talk)
+    for conv, turns in talk.items():
+        learned = "".join(t for _, r, t in sorted(turns) if r == "assistant")
+        assert got[conv].n_turns == len(turns)
+        assert got[conv].turns_sha256 == sha("".join(f"{r}\n{t}\n" for _, r, t in sorted(turns)))
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(learned), sha(learned))
