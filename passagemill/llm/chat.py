@@ -65,10 +65,15 @@ class Template:
         return rf"([{heads}]){slashes}(?=(?:{tails}))"
 
     def escape(self, text: Column) -> Column:
-        return F.regexp_replace(text, self._pattern(r"(\\*)"), r"$1$2\\")
+        # Most texts hold no first character of a mark, and none need a pattern then.
+        some = F.lit(False)
+        for head in sorted({m[0] for m in self.marks}):
+            some = some | F.contains(text, F.lit(head))
+        return F.when(some, F.regexp_replace(text, self._pattern(r"(\\*)"), r"$1$2\\")).otherwise(text)
 
     def unescape(self, text: Column) -> Column:
-        return F.regexp_replace(text, self._pattern(r"\\(\\*)"), "$1$2")
+        undone = F.regexp_replace(text, self._pattern(r"\\(\\*)"), "$1$2")
+        return F.when(F.contains(text, F.lit("\\")), undone).otherwise(text)
 
 
 @dataclass(frozen=True)
