@@ -98,4 +98,45 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_
 FROM told
 """
 
-ORACLE: dict[str, str] = {"op11_chat": CHAT, "op2_neardup": NEARDUP, "op4_warc": WARC, "op5_decontaminate": DECONTAMINATE}
+VARIANTS = rf"""
+WITH RECURSIVE crc AS (
+  SELECT [list_reduce(list_concat([i::UBIGINT], list_transform(range(8), lambda k: k::UBIGINT)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)
+    FOR i IN range(256)] AS t
+), runs AS (
+  SELECT r, coalesce(doc_id::VARCHAR, '') || ':' || r AS named, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_FOLD}, '[A-Za-zÀ-ÿ]+')) AS r FROM documents
+  ) WHERE length(r) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT r, times, xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT],
+    flatten(list_transform(string_split(named, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::UBIGINT]
+      ELSE [(192 + (ord(x) >> 6))::UBIGINT, (128 + (ord(x) & 63))::UBIGINT] END))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::INT + 1]))) AS h
+  FROM runs, crc
+), counted AS (
+  SELECT w, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 31 = 0
+      THEN substring(r, 1, (h % length(r))::INT) || substring(r, (h % length(r))::INT + 2) ELSE r END AS w FROM hashed
+  ) WHERE length(w) >= 7 GROUP BY w HAVING sum(times) >= 2
+), holes AS (
+  SELECT w, n, i, substring(w, 1, i - 1) || substring(w, i + 1) AS h
+  FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM counted)
+), near AS (
+  SELECT a.w, b.w AS o, b.n FROM holes a JOIN holes b ON a.h = b.h AND a.i = b.i AND a.w <> b.w
+  UNION SELECT a.w, b.w, b.n FROM holes a JOIN counted b ON a.h = b.w
+  UNION SELECT b.w, a.w, a.n FROM holes a JOIN counted b ON a.h = b.w
+), best AS (
+  SELECT w, count(*) AS k, min(struct_pack(less := -n, o := o)) AS b FROM near GROUP BY w
+), formed AS (
+  SELECT counted.w, n, coalesce(k, 0) AS n_near, CASE WHEN -b.less >= 10 * n THEN b.o END AS form,
+    CASE WHEN -b.less >= 10 * n THEN -b.less END AS form_n
+  FROM counted LEFT JOIN best USING (w)
+), led AS (
+  SELECT w, coalesce(form, w) AS root, form IS NULL AS done FROM formed
+  UNION ALL
+  SELECT l.w, coalesce(f.form, l.root), f.form IS NULL FROM led l JOIN formed f ON f.w = l.root WHERE NOT done
+)
+SELECT w AS word, form, root, n, n_near, form_n FROM formed JOIN led USING (w) WHERE done
+"""
+
+ORACLE: dict[str, str] = {"op11_chat": CHAT, "op13_variants": VARIANTS, "op2_neardup": NEARDUP, "op4_warc": WARC, "op5_decontaminate": DECONTAMINATE}
