@@ -139,4 +139,41 @@ WITH RECURSIVE crc AS (
 SELECT w AS word, form, root, n, n_near, form_n FROM formed JOIN led USING (w) WHERE done
 """
 
-ORACLE: dict[str, str] = {"op11_chat": CHAT, "op13_variants": VARIANTS, "op2_neardup": NEARDUP, "op4_warc": WARC, "op5_decontaminate": DECONTAMINATE}
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(
+    regexp_split_to_array({_FOLD}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+), ones AS (
+  SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM pieces) GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM ones GROUP BY lang
+), twos AS (
+  SELECT lang, x, y, count(*) AS f FROM (
+    SELECT lang, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM pieces WHERE len(w) > 1) GROUP BY ALL
+), threes AS (
+  SELECT lang, x, y, z, count(*) AS f FROM (
+    SELECT lang, unnest(w[:-3]) AS x, unnest(w[2:-2]) AS y, unnest(w[3:]) AS z FROM pieces WHERE len(w) > 2
+  ) GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT t.lang, x || ' ' || y AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r, x, y
+  FROM twos t JOIN ones p USING (lang, x) JOIN ones q ON q.lang = t.lang AND q.x = t.y WHERE t.f >= 10
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || z, t.f, 1, p.f, q.f, NULL, NULL
+  FROM threes t JOIN ones p USING (lang, x) JOIN twos q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || z, t.f, 2, p.f, q.f, NULL, NULL
+  FROM threes t JOIN twos p USING (lang, x, y) JOIN ones q ON q.lang = t.lang AND q.x = t.z
+), worst AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, x, y, max(f) AS f FROM (
+    SELECT lang, x, y, f FROM threes UNION ALL SELECT lang, y, z, f FROM threes) GROUP BY lang, x, y
+)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score
+FROM worst w JOIN totals USING (lang) LEFT JOIN longer g ON g.lang = w.lang AND g.x = w.x AND g.y = w.y
+WHERE g.f IS NULL OR 100 * g.f < 50 * a
+QUALIFY rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op11_chat": CHAT, "op12_collocations": COLLOCATIONS, "op13_variants": VARIANTS, "op2_neardup": NEARDUP, "op4_warc": WARC, "op5_decontaminate": DECONTAMINATE}

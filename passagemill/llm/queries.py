@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import (
-    bpe, chat, kneser, langid, lattice, leaks, maintext, neardup, secrets, shards, variants, warc,
+    bpe, chat, collocations, kneser, langid, lattice, leaks, maintext, neardup, secrets, shards,
+    variants, warc,
 )
 from passagemill.llm.common import Scratch
 
@@ -138,6 +139,10 @@ def op11_chat(spark, sf):
     )
 
 
+def op12_collocations(spark, sf):
+    return collocations.collocations(_table(spark, sf, "documents").select("text", "lang"))
+
+
 def op13_variants(spark, sf):
     return variants.variants(_table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -145,6 +150,7 @@ def op13_variants(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_shards, op2_neardup, op3_maintext, op4_warc, op5_decontaminate, op6_bpe, op7_quality,
-        op8_langid, op9_lattice, op10_secrets, op11_chat, op13_variants,
+        op8_langid, op9_lattice, op10_secrets, op11_chat, op12_collocations,
+        op13_variants,
     )
 }

@@ -1,0 +1,134 @@
+"""Collocations against plain counting, and the filters against dictionaries."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from passagemill.llm import collocations as c
+from passagemill.llm.common import Scratch
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(docs, least=10, top=2000):
+    f, n = defaultdict(Counter), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in (1, 2, 3):
+                f[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    rows = set()
+    for lang, counts in f.items():
+        candidates = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        scored = []
+        for p, a in candidates.items():
+            cuts = [(1000000 * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            longer = [b for q, b in candidates.items() if len(q) == 3 > len(p) and p in (q[:2], q[1:])]
+            if not any(100 * b >= 50 * a for b in longer):
+                scored.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            rows.add((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return rows
+
+
+@pytest.mark.parametrize("n", [2, 3])
+@pytest.mark.parametrize("bits", [1, 2, 5, 20, 21, 22, 31, 32, 33, 42])
+def test_packing_is_taken_back_and_spreads_keys(n, bits):
+    rng = np.random.default_rng(bits)
+    ids = [rng.integers(0, 1 << bits, 500) for _ in range(n)]
+    packing = c.Packing(n, bits)
+    high, low = packing.keys(ids)
+    assert all((a == b).all() for a, b in zip(ids, packing.ids(high, low)))
+    assert high.max() <= packing.mask and low.max() <= packing.mask
+    if bits >= 20:  # one word everywhere, the others in a row
+        high, _ = packing.keys([np.full(4096, 7), *[np.arange(4096)] * (n - 1)])
+        assert np.bincount((high >> np.uint64(packing.half - 4)).astype(int)).max() < 400
+
+
+@pytest.mark.parametrize("n, bits, block", [(2, 3, 0), (2, 20, 4), (3, 20, 5), (3, 21, 0), (3, 35, 7), (2, 42, 3), (2, 4, 4)])
+def test_filters_lose_nothing(n, bits, block):
+    rng = np.random.default_rng(block + bits)
+    ids = [rng.integers(1, min(1 << bits, 40), 3000) for _ in range(n)]
+    weights = rng.choice([1, 2, 255, 256, 257, 10**12], 3000)
+    packing = c.Packing(n, bits)
+    high, low, counts = packing.summed(*packing.keys(ids), weights)
+    want = Counter()
+    for *key, w in zip(*(x.tolist() for x in ids), weights.tolist()):
+        want[tuple(key)] += w
+    got = {}
+    top = (high >> np.uint64(packing.half - block)).astype(int) if block else np.zeros(len(high), int)
+    for number in np.unique(top):
+        mine = top == number
+        data = c.Filter.packed(high[mine], low[mine], counts[mine], packing.half, block)
+        h, l, k = c.Filter.unpacked(data, packing.half, block, int(number))
+        assert (h == high[mine]).all() and (l == low[mine]).all()
+        got.update(zip(zip(*(x.tolist() for x in packing.ids(h, l))), k.tolist()))
+    assert got == want
+
+
+def corpus(rng, size):
+    words = ["New", "york", "city", "of", "the", "the", "a", "é", "\x00", "ß😀", "x"]
+    marks = [" ", " ", " ", "\t", "  ", ". ", ",", "\n", "\x0b"]
+    text = lambda: "".join(rng.choice(words) + rng.choice(marks) for _ in range(rng.randint(0, 60)))
+    docs = [(text(), rng.choice(["en", "de", None])) for _ in range(size)]
+    return docs + [(None, "en"), ("", "fr"), (None, None), ("one two three", "und")] + [docs[0]] * 30
+
+
+@pytest.mark.parametrize("shard_words, block_entries", [(c.SHARD_WORDS, c.BLOCK_ENTRIES), (7, 3), (300, 50)])
+def test_query_equals_plain_counting_at_any_size_of_shards_and_blocks(spark, shard_words, block_entries):
+    docs = corpus(random.Random(4), 80)
+    rows = [(t, lang, 1, "w", "s") for t, lang in docs]
+    table = spark.createDataFrame(rows, "text string, lang string, n int, word string, shard string")
+    got = c.collocations(table, shard_words=shard_words, block_entries=block_entries)
+    assert got.dtypes == [("lang", "string"), ("rank", "bigint"), ("phrase", "string"), *(
+        (k, "bigint") for k in ("a", "l", "r", "n", "score"))]
+    assert {tuple(r) for r in got.collect()} == brute(docs)
+
+
+def test_phrases_go_on_where_a_long_text_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(c, "_SLICE", 5)
+    batches = []
+    import pyarrow as pa
+
+    text = " ".join(random.Random(1).choices(["a", "bb", "ccc", "d.", "e"], k=400))
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["en"])], ["text", "lang"])
+    batches = list(c._shard_batches(iter([batch]), 11))
+    assert len(batches) > 20
+    spread = [row for b in batches for row in b.to_pylist()]
+    counted = Counter()
+    for row in spread:
+        words = [None, *row["words"]]
+        told = [words[i] for i in np.frombuffer(row["stream"], np.int32)]
+        for k in (1, 2, 3):
+            for i in range(len(told) - k + 1):
+                if i + k > row["carried"] and None not in told[i : i + k]:
+                    counted[tuple(told[i : i + k])] += 1
+        assert row["total"] == sum(row["counts"])
+    want = Counter()
+    for piece in text.split("."):
+        words = piece.split()
+        for k in (1, 2, 3):
+            want.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    assert counted == want
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    rows = [(10**12 - 1, 10**12, 10**12), (10**12 - 1, 10**12 - 1, 10**12 - 1), (3 * 10**11, 999999999989, 10**12),
+            (10, 3, 7), (123456789012, 987654321098, 998765432101)]
+    table = spark.createDataFrame(rows, "a long, l long, r long")
+    got = table.select("a", "l", "r", c._score(table.a, table.l, table.r)).collect()
+    assert all(s == 1000000 * a * a // (x * y) for a, x, y, s in got)
+
+
+def test_empty_tables_and_limits(spark):
+    assert c.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
+    assert c.collocations(spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")).count() == 0
+    docs = [("a b. " * 12 + "c d. " * 11, "en"), ("x y " * 50_000, "de")]
+    got = c.collocations(spark.createDataFrame(docs, "text string, lang string"), top=1)
+    assert {tuple(r) for r in got.collect()} == brute(docs, top=1)
