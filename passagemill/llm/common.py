@@ -17,7 +17,7 @@ SHINGLE_WORDS = 5
 _PLACES = np.array(
     [xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(SHINGLE_WORDS)], dtype=np.uint64
 )
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 200_000
 
 
 class Scratch:

@@ -13,10 +13,11 @@ when ``100 * intersection >= 75 * union``; groups are the connected components o
   Pairs that pass the odd sketch are confirmed on the full sets.
 * Round two takes the buckets whose members are still in several components. Members are dealt
   into blocks of about 256, large components into blocks of their own, and only pairs of blocks
-  of different components meet. So a large group of near copies costs as many pairs as members.
-  Many texts that are nearly, but not quite, near copies of each other would all pass the samples'
-  sketch; a second odd sketch, of the full set, counts how many windows differ and lets only those
-  close to the threshold through to the confirmation.
+  of different components meet. Odd sketches, of the samples and of the full sets, tell which
+  members have a possible partner, and only these members' texts are fetched. Their full sets are
+  compared inside the task of the pair of blocks, which puts out no more links than it takes to
+  connect its members. So many texts that are nearly, but not quite, near copies of each other
+  cost comparisons, but never rows.
 
 Nulls: a text that is null, empty or blank has an empty set and no links. A row without ``doc_id``
 has no component and is kept. Rows that repeat a ``doc_id`` count as one document.
@@ -41,7 +42,8 @@ BITS = 512
 WORDS_64 = BITS // 64
 #: Percent of the union that two documents must share.
 THRESHOLD = 75
-BLOCK = 256
+#: Members and windows of a block, on average; pairs that share a copy of their first text.
+BLOCK, BLOCK_WINDOWS, SHARE = 256, 1 << 18, 256
 
 _MUL = np.array([xxhash.xxh32_intdigest(f"mul {i}") | 1 for i in range(SAMPLES)], np.uint32)[:, None]
 _ADD = np.array([xxhash.xxh32_intdigest(f"add {i}") for i in range(SAMPLES)], np.uint32)[:, None]
@@ -176,16 +178,30 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield both.filter(pa.array(linked, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough. Only texts of candidates are moved."""
+def _texts_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``(node, text)`` of the documents ``(node)``. Only texts of candidates are moved."""
     # Candidates are a share of the documents, so the plan is the same for every size.
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().hint("merge")
-    texts = docs.join(wanted, F.col("doc_id") == F.col("a"), "left_semi")
-    texts = scratch.keep(texts, f"{name}-texts")
+    wanted = ids.distinct().hint("merge")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
+    return scratch.keep(texts.select(F.col("doc_id").alias("node"), "text"), name)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough.
+
+    A node ``a`` of very many pairs gets several copies of its text, one for each ``SHARE`` pairs,
+    so that its pairs are spread over tasks.
+    """
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    texts = _texts_of(ids, docs, scratch, f"{name}-texts")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    first = parts.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select(
+        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "text_a"
+    )
     joined = (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
+        dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(first, ["a", "part"]).select("a", "b", "text_a", "text_b")
     )
     links = scratch.keep(joined.mapInArrow(_confirm_batches, "a long, b long").distinct(), name)
     scratch.drop(f"{name}-texts")
@@ -233,8 +249,25 @@ def _state(edges: DataFrame) -> tuple:
     )
 
 
+def _set_near(n: int, small: np.ndarray, sizes: np.ndarray, smalls: np.ndarray) -> np.ndarray:
+    """Which sets are near enough to one in size and in folded parities."""
+    near = 100 * np.minimum(n, sizes) >= THRESHOLD * np.maximum(n, sizes)
+    return near & (np.bitwise_count(small ^ smalls).sum(axis=1) <= set_limit(n + sizes, BITS))
+
+
+def _parities_close(n: int, one: bytes, m: int, other: bytes) -> bool:
+    bits = 8 * min(len(one), len(other))
+    if bits == BITS:
+        return True  # was compared folded
+    odd = folded(one, bits) ^ folded(other, bits)
+    return np.bitwise_count(odd).sum() <= set_limit(np.float64(n + m), bits)
+
+
 def _sift_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks whose components differ and whose odd sketches are near enough."""
+    """The members of two blocks that have a partner of another component with near odd sketches.
+
+    ``(unit, side, node, component)``: no more rows than members, however many pairs are near.
+    """
 
     def unpacked(items: pa.Array):
         flat = items.flatten()
@@ -246,70 +279,155 @@ def _sift_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = np.array([folded(x, BITS) for x in sets])
         return column("node"), column("component"), column("n_shingles"), bits, sets, small
 
-    def close(n: int, one: bytes, m: int, other: bytes) -> bool:
-        bits = 8 * min(len(one), len(other))
-        if bits == BITS:
-            return True  # was compared already
-        odd = folded(one, bits) ^ folded(other, bits)
-        return np.bitwise_count(odd).sum() <= set_limit(np.float64(n + m), bits)
-
     for batch in batches:
-        a, b = [], []
+        units, sides, nodes, labels = [], [], [], []
         for i in range(batch.num_rows):
-            leader, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            n1, c1, s1, o1, p1, f1 = unpacked(batch.column(2).slice(i, 1))
-            n2, c2, s2, o2, p2, f2 = unpacked(batch.column(3).slice(i, 1))
-            for row in range(len(n1)):
+            unit, leader, same = (batch.column(c)[i].as_py() for c in range(3))
+            n1, c1, s1, o1, p1, f1 = unpacked(batch.column(3).slice(i, 1))
+            n2, c2, s2, o2, p2, f2 = unpacked(batch.column(4).slice(i, 1))
+            left, right = np.zeros(len(n1), bool), np.zeros(len(n2), bool)
+            for row in np.flatnonzero(n1 != leader):
                 near = np.bitwise_count(o1[row] ^ o2).sum(axis=1) <= LIMIT
-                near &= 100 * np.minimum(s1[row], s2) >= THRESHOLD * np.maximum(s1[row], s2)
                 near &= (c1[row] != c2) & (n2 != leader)
                 if same:
                     near &= n2 > n1[row]
-                near &= np.bitwise_count(f1[row] ^ f2).sum(axis=1) <= set_limit(s1[row] + s2, BITS)
-                found = [k for k in np.flatnonzero(near) if close(s1[row], p1[row], s2[k], p2[k])]
-                if n1[row] != leader and found:
-                    other = n2[found]
-                    a.append(np.minimum(n1[row], other))
-                    b.append(np.maximum(n1[row], other))
-        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([join(a), join(b)], ["a", "b"])
-
-
-def _open_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidate pairs of buckets that hold several components, the leaders' pairs excepted."""
+                near &= _set_near(s1[row], f1[row], s2, f2)
+                for k in np.flatnonzero(near):
+                    if not (left[row] and right[k]) and _parities_close(s1[row], p1[row], s2[k], p2[k]):
+                        left[row] = right[k] = True
+            if same:
+                left, right = left | right, np.zeros(len(n2), bool)
+            for side, n, c, chosen in ((0, n1, c1, left), (1, n2, c2, right)):
+                nodes.append(n[chosen]), labels.append(c[chosen])
+                units.append(np.full(chosen.sum(), unit, np.int64))
+                sides.append(np.full(chosen.sum(), side, np.int32))
+        join = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
+        yield pa.RecordBatch.from_arrays(
+            [join(units, np.int64), join(sides, np.int32), join(nodes, np.int64), join(labels, np.int64)],
+            ["unit", "side", "node", "component"],
+        )
+
+
+def _linked_in_unit(rows: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between the two sides ``(side, node, component, set)`` of a unit.
+
+    Without a second side, the first one's members are compared with each other. Members that are
+    connected already, by their component or a link found here, are not compared.
+    """
+    parent = {c: c for _, _, c, _ in rows}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sizes = np.array([len(r[3]) for r in rows])
+    small = np.array([folded(set_sketch(r[3]), BITS) for r in rows])
+    sides = np.array([r[0] for r in rows])
+    two = sides.any()
+    for i, (side, node, label, own) in enumerate(rows):
+        if two and side:
+            continue
+        near = _set_near(sizes[i], small[i], sizes, small)
+        near &= sides == 1 if two else np.arange(len(rows)) > i
+        for k in np.flatnonzero(near):
+            _, other, its, theirs = rows[k]
+            one, another = root(label), root(its)
+            if one == another:
+                continue
+            shared = len(np.intersect1d(own, theirs, assume_unique=True))
+            if 100 * shared >= THRESHOLD * (len(own) + len(theirs) - shared) > 0:
+                parent[one] = another
+                yield min(node, other), max(node, other)
+
+
+def _confirm_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members ``(unit, side, node, component, text)`` sorted by unit to the links ``(a, b)``."""
+    hashes, current, held = WordHashes(), None, []
+
+    def links(rows):
+        found = list(_linked_in_unit(rows))
+        column = lambda i: pa.array([f[i] for f in found], pa.int64())
+        return pa.RecordBatch.from_arrays([column(0), column(1)], ["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in range(4)]
+        for i, (unit, side, node, label) in enumerate(zip(*columns)):
+            if unit != current:
+                if held:
+                    yield links(held)
+                current, held = unit, []
+            held.append((side, node, label, shingle_set(batch.column(4)[i].as_py().encode(), hashes)))
+    if held:
+        yield links(held)
+
+
+def _open_members(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(unit, side, node, component)``: what is to be compared of buckets that hold several components.
+
+    A unit is a pair of blocks of one bucket. The leaders' pairs were compared before.
+    """
     labelled = members.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    sized = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+    labelled = labelled.join(nodes.select("node", "n_shingles"), "node")
+    sized = labelled.groupBy("band", "component").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("windows")
+    )
+    blocks_of = lambda n, windows: F.greatest(F.ceil(n / BLOCK), F.ceil(windows / BLOCK_WINDOWS))
+    few = F.col("n") < BLOCK
     bucket = sized.groupBy("band").agg(
         F.count("*").alias("components"),
-        F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("rest"),
+        blocks_of(F.sum(F.when(few, F.col("n"))), F.sum(F.when(few, F.col("windows")))).alias("rest"),
     ).filter("components > 1")
-    large = sized.filter(F.col("n") >= BLOCK)
+    large = sized.filter(~few).select(
+        "band", "component", F.col("component").alias("own"), blocks_of(F.col("n"), F.col("windows")).alias("parts")
+    )
     dealt = (
         labelled.join(bucket, "band")
         .join(large, ["band", "component"], "left")
         .select(
-            "band", "leader", "node", "component",
-            F.when(F.col("n").isNotNull(), F.col("component")).alias("own"),
-            F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", "rest") / BLOCK)).alias("block"),
+            "band", "leader", "node", "component", "own",
+            F.pmod(F.xxhash64("node"), F.greatest(F.coalesce("parts", "rest"), F.lit(1))).alias("block"),
         )
         .join(nodes.select("node", "n_shingles", "odd", "parities"), "node")
     )
-    blocks = dealt.groupBy("band", "leader", "own", "block").agg(
+    at = F.struct(F.col("own").isNull().alias("mixed"), "own", "block").alias("at")
+    blocks = dealt.groupBy("band", "leader", at).agg(
         F.collect_list(F.struct("node", "component", "n_shingles", "odd", "parities")).alias("items")
     )
-    side = lambda s: blocks.select(
-        "band", "leader", F.struct(F.col("own").isNull().alias("mixed"), "own", "block").alias(f"at_{s}"),
-        F.col("items").alias(f"items_{s}"),
-    )
+    # Blocks meet by name first; their items are fetched for each pair by its own two names.
+    names = dealt.select("band", "leader", at).distinct()
+    side = lambda s: names.select("band", "leader", F.col("at").alias(f"at_{s}"))
     mixed = F.col("at_l.mixed")
     met = side("l").join(side("r"), ["band", "leader"]).filter(
         (F.col("at_l") < F.col("at_r")) & ~F.col("at_l.own").eqNullSafe(F.col("at_r.own"))
         | (F.col("at_l") <= F.col("at_r")) & mixed & F.col("at_r.mixed")
     )
-    units = met.select("leader", (F.col("at_l") == F.col("at_r")).alias("same"), "items_l", "items_r")
-    return units.mapInArrow(_sift_blocks, "a long, b long").distinct()
+    key = lambda a: F.xxhash64("band", a)
+    items = lambda s: blocks.select(key("at").alias(f"key_{s}"), F.col("band").alias(f"band_{s}"),
+                                    F.col("at").alias(f"is_{s}"), F.col("items").alias(f"items_{s}"))
+    same_block = lambda s: (F.col("band") == F.col(f"band_{s}")) & F.col(f"at_{s}").eqNullSafe(F.col(f"is_{s}"))
+    units = (
+        met.withColumn("key_l", key("at_l")).withColumn("key_r", key("at_r"))
+        .join(items("l"), "key_l").filter(same_block("l"))
+        .join(items("r"), "key_r").filter(same_block("r"))
+        .select(
+            F.xxhash64("band", "at_l", "at_r").alias("unit"), "leader",
+            (F.col("key_l") == F.col("key_r")).alias("same"), "items_l", "items_r",
+        )
+    )
+    return units.mapInArrow(_sift_blocks, "unit long, side int, node long, component long")
+
+
+def confirmed_in_units(open_members: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Links ``(a, b)`` that connect all that the units' links connect, from their members' full sets."""
+    texts = _texts_of(open_members.select("node"), docs, scratch, f"{name}-texts")
+    told = open_members.join(texts, "node").select("unit", "side", "node", "component", "text")
+    dealt = told.repartition("unit").sortWithinPartitions("unit", "side", "node")
+    links = scratch.keep(dealt.mapInArrow(_confirm_units, "a long, b long").distinct(), name)
+    scratch.drop(f"{name}-texts")
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,8 +465,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(scratch.keep(sifted, "pairs-1"), docs, scratch, "links-1")
     found = scratch.keep(components(links, scratch, "round-1"), "found-1")
 
-    more = scratch.keep(_open_pairs(members, nodes, found), "pairs-2")
-    links = links.union(confirmed(more, docs, scratch, "links-2"))
+    more = scratch.keep(_open_members(members, nodes, found), "open")
+    links = links.union(confirmed_in_units(more, docs, scratch, "links-2"))
     found = scratch.keep(components(links, scratch, "round-2"), "found-2")
 
     by_content = nodes.select("content", "node").join(found, "node", "left").select(

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from passagemill.llm import neardup
-from passagemill.llm.common import Scratch
+from passagemill.llm.common import Scratch, WordHashes
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +122,53 @@ def test_the_full_sets_sieve_loses_less_than_the_bands():
         both = (1 - 2 * (1 - 2 / bits) ** differ + (1 - 4 / bits) ** differ) / 4
         deviation = (bits * odd * (1 - odd) + bits * (bits - 1) * (both - odd**2)) ** 0.5
         assert neardup.set_limit(neardup.np.float64(n), bits) >= mean + 5.5 * deviation
+
+
+def _edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"e{rng.randint(0, 10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block, windows", [(256, 1 << 18), (5, 1 << 18), (256, 300)])
+def test_many_texts_just_below_the_threshold_in_blocks_of_any_size(spark, monkeypatch, block, windows):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_WINDOWS", windows)
+    rng = random.Random(block + windows)
+    origin = [f"w{rng.randint(0, 5000)}" for _ in range(90)]
+    rows = [(i, _edited(rng, origin, rng.choice([1, 2, 3, 4, 5]))) for i in range(70)]
+    rows += [(1000 + i, _edited(rng, rows[i][1].split(), 1)) for i in range(15)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near_duplicates(rows)
+
+
+def test_a_unit_gives_a_spanning_forest_of_its_links():
+    rng = random.Random(8)
+    origin = [f"w{i}" for i in range(60)]
+    hashes = WordHashes()
+    rows = []
+    for i in range(40):
+        text = _edited(rng, origin, rng.choice([0, 1, 2, 3, 9]))
+        rows.append((i % 2, i, i, neardup.shingle_set(text.encode(), hashes)))
+    for members in (rows, [(0, *r[1:]) for r in rows]):
+        links = [
+            (a[1], b[1]) for a in members for b in members if a[1] < b[1]
+            and (a[0] != b[0] or not any(r[0] for r in members))
+            and 100 * len(set(a[3]) & set(b[3])) >= 75 * len(set(a[3]) | set(b[3]))
+        ]
+        got = list(neardup._linked_in_unit(members))
+        groups = lambda pairs: {i: min(_reach(i, pairs)) for i in range(40)}
+        assert set(got) <= set(links) and groups(got) == groups(links)
+        assert len(got) == 40 - len(set(groups(links).values())) < len(links)
+
+
+def _reach(start, pairs):
+    seen, todo = {start}, [start]
+    while todo:
+        x = todo.pop()
+        for a, b in pairs:
+            for one, other in ((a, b), (b, a)):
+                if one == x and other not in seen:
+                    seen.add(other), todo.append(other)
+    return seen
