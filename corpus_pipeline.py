@@ -7,7 +7,7 @@ the first stage. Further columns of ``docs`` are handed on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import bpe, langid, leaks, neardup, secrets
@@ -15,11 +15,20 @@ from passagemill.llm.common import Scratch
 from passagemill.llm.queries import BYTE_BPE
 
 
+def _rest(docs: DataFrame) -> Column:
+    """All columns but the text, which crosses to Python once and on its own."""
+    return F.struct(*(c for c in docs.columns if c != "text")).alias("document")
+
+
+def _whole(docs: DataFrame) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col(f"document.{c}").alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is unknown or not clear go. Labels keep their column."""
     learned = langid.fit(docs.select("text", "lang"))
-    guessed = langid.predict(docs.select("text", F.struct(*docs.columns).alias("document")), learned, ("document",))
-    return guessed.filter("accepted").select("document.*")
+    guessed = langid.predict(docs.select("text", _rest(docs)), learned, ("text", "document"))
+    return guessed.filter("accepted").select(*_whole(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +44,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    rows = docs.select("text", F.col("doc_id"), F.struct(*docs.columns).alias("document"))
+    rows = docs.select("text", F.col("doc_id"), _rest(docs))
     found = leaks.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("document",))
-    return found.filter(F.size("hit_words") == 0).select("document.*")
+    return found.filter(F.size("hit_words") == 0).select(*_whole(docs))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +64,8 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (little-endian unsigned 32-bit integers), after a check round."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("document"))
-    coded = bpe.encode_decode(rows, BYTE_BPE, keep=("document",))
-    same = F.col("decoded").eqNullSafe(F.coalesce("document.text", F.lit("")))
-    return coded.select(
-        "document.*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-        same.alias("round_trip"),
-    )
+    coded = bpe.encode_checked(docs.select("text", _rest(docs)), BYTE_BPE, keep=("text", "document"))
+    return coded.select(*_whole(docs), "n_tokens", "ids", "round_trip")
 
 
 STAGES = [

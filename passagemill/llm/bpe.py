@@ -23,16 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.llm.common import runs
+
 # Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_WORDS = 200_000
-#: Text that is split into words at once.
-RUN_BYTES = 1 << 20
+CACHED_WORDS = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -171,19 +170,10 @@ class TrieEncoder:
         raise ValueError(f"no token ends {word[:depth]!r}; the vocabulary lacks single bytes")
 
 
-def runs(batch: pa.RecordBatch, size: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in order, in runs of about ``size`` bytes of the first column; a long text is one run."""
-    ends = np.cumsum(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < batch.num_rows:
-        before = int(ends[lo - 1]) if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
-def codec_batches(vocabulary: Vocabulary):
-    """A function over batches of texts: adds ``ids`` and ``decoded``."""
+def codec_batches(vocabulary: Vocabulary, made_columns=None):
+    """A function over batches of texts: adds ``ids`` and ``decoded``, or what ``made_columns`` makes
+    of the texts and the pairs of both."""
+    made_columns = made_columns or _ids_and_texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, spelled = TrieEncoder(vocabulary), vocabulary.spelled()
@@ -212,18 +202,42 @@ def codec_batches(vocabulary: Vocabulary):
 
         for batch in batches:
             for rows in runs(batch):
-                made = list(coded(rows.column(0).to_pylist()))
+                texts = rows.column(0).to_pylist()
+                made = made_columns(texts, list(coded(texts)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *rows.columns, pa.array([ids for ids, _ in made], pa.binary()),
-                        pa.array([text for _, text in made], pa.string()),
-                    ],
-                    [*rows.schema.names, "ids", "decoded"],
+                    [*rows.columns, *made.values()], [*rows.schema.names, *made]
                 )
 
     return run
 
 
+def _ids_and_texts(texts, made) -> dict[str, pa.Array]:
+    return {
+        "ids": pa.array([ids for ids, _ in made], pa.binary()),
+        "decoded": pa.array([text for _, text in made], pa.string()),
+    }
+
+
+def _checked(texts, made) -> dict[str, pa.Array]:
+    return {
+        "n_tokens": pa.array([len(ids) // 4 for ids, _ in made], pa.int64()),
+        "ids": pa.array([ids for ids, _ in made], pa.binary()),
+        "round_trip": pa.array([back == (text or "") for text, (_, back) in zip(texts, made)], pa.bool_()),
+    }
+
+
+def encode_checked(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with ``n_tokens``, ``ids`` and ``round_trip``, whether the ids decode to
+    ``text``. The decoded text stays in the task."""
+    rows = docs.select("text", F.struct(F.lit(0).alias("_"), *(c for c in keep if c != "text")).alias("row"))
+    schema = rows.withColumns(
+        {"n_tokens": F.lit(0).cast("long"), "ids": F.lit(None).cast("binary"), "round_trip": F.lit(True)}
+    ).schema
+    coded = rows.mapInArrow(codec_batches(Vocabulary.read(vocabulary_path), _checked), schema)
+    kept = [F.col("text") if c == "text" else F.col(f"row.{c}") for c in keep]
+    return coded.select(*kept, "n_tokens", "ids", "round_trip")
+
+
 def encode_decode(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``ids`` (binary, little-endian 32-bit) and ``decoded`` of ``text``."""
     rows = docs.select("text", F.struct(*keep).alias("row"))

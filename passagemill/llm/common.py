@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +46,21 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: Text that a task works on at once.
+RUN_BYTES = 1 << 20
+
+
+def runs(batch: pa.RecordBatch, size: int = RUN_BYTES, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in runs of about ``size`` bytes of a text column; a long text is one run."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -27,6 +27,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.llm.common import runs
+
 UNKNOWN = "und"
 SAMPLE_TEXTS, SAMPLE_CHARS = 64, 1_500
 WINDOW_BYTES = 2_000
@@ -107,25 +109,29 @@ class Compressors:
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``lang_pred``, ``score``, ``accepted`` and ``margin`` of ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    with_text = "text" in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = Compressors(shared.value)
         for batch in batches:
-            made = [tools.predict(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(1), pa.array([m[0] for m in made], pa.string()),
-                    pa.array([m[1] for m in made], pa.float64()),
-                    pa.array([m[2] for m in made], pa.bool_()),
-                    pa.array([m[3] for m in made], pa.float64()),
-                ],
-                ["row", "lang_pred", "score", "accepted", "margin"],
-            )
-
-    rows = docs.select("text", F.struct(*keep).alias("row"))
+            for rows in runs(batch):
+                made = [tools.predict(t) for t in rows.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *([rows.column(0)] if with_text else []), rows.column(1),
+                        pa.array([m[0] for m in made], pa.string()),
+                        pa.array([m[1] for m in made], pa.float64()),
+                        pa.array([m[2] for m in made], pa.bool_()),
+                        pa.array([m[3] for m in made], pa.float64()),
+                    ],
+                    [*(["text"] if with_text else []), "row", "lang_pred", "score", "accepted", "margin"],
+                )
+
+    # The text is sent once, whether it is asked back or not.
+    rows = docs.select("text", F.struct(F.lit(0).alias("_"), *(c for c in keep if c != "text")).alias("row"))
     schema = rows.select(
-        "row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
+        *(["text"] if with_text else []), "row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
         F.lit(True).alias("accepted"), F.lit(0.0).alias("margin"),
     ).schema
-    guessed = rows.mapInArrow(run, schema)
-    return guessed.select("row.*", "lang_pred", "score", "accepted", "margin")
+    kept = [F.col("text") if c == "text" else F.col(f"row.{c}") for c in keep]
+    return rows.mapInArrow(run, schema).select(*kept, "lang_pred", "score", "accepted", "margin")

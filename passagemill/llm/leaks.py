@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import text_bytes
+from passagemill.llm.common import runs, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -130,7 +130,7 @@ def find_leaks(
 
         def scan_batches(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             machine = automaton(shared.value)
-            for batch in batches:
+            for batch in (rows for whole in batches for rows in runs(whole)):
                 hit, found, counts = [], [], []
                 former = batch.column("hit_words").to_pylist(), batch.column("items").to_pylist()
                 for text, old_hit, old_items in zip(text_bytes(batch.column("text")), *former):
@@ -158,7 +158,7 @@ def find_leaks(
         state = state.mapInArrow(scan_batches, state.schema)
 
     def span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in runs(whole)):
             hits = batch.column("hit_words").to_pylist()
             spans = [
                 original_spans(t, [(r["start"], r["end"]) for r in h]) if h else []

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import LOWER, Scratch, WordHashes, mix, text_bytes, windows
+from passagemill.llm.common import LOWER, Scratch, WordHashes, mix, runs, text_bytes, windows
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
@@ -120,7 +120,7 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in (rows for whole in batches for rows in runs(whole, column=1)):
         contents, sizes, bands, odds, sets = [], [], [], [], []
         for text in text_bytes(batch.column(1)):
             words = (text or b"").translate(LOWER).split()
