@@ -1,23 +1,27 @@
 """The embedding store and its rejects.
 
-One root folder holds both, by run and outcome::
+One root folder holds both, by run, attempt and outcome::
 
-    root/run=<run id>/outcome=stored/...
-    root/run=<run id>/outcome=rejected/...
+    root/run=<run id>/attempt=<id>/outcome=stored/...
+    root/run=<run id>/attempt=<id>/outcome=rejected/...
 
-so a job writes its rows once, whatever became of them, and a repeated run
-replaces its own folder only, once its rows are complete. ``root/_superseded``
-lists the documents whose rows in a run a later run has replaced.
+so a job writes its rows once, whatever became of them. The manifest names the attempt that counts
+for a run: a repeated run takes the place of its former rows in one commit, and one that fails
+leaves them. ``root/_superseded`` lists, by attempt, the documents whose rows in a run a later run
+has replaced.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.sources.manifest import Manifest
+
 STORE_SCHEMA = T.StructType(
     [
         T.StructField("raw_data_id", T.LongType()),
@@ -31,29 +35,42 @@ STORE_SCHEMA = T.StructType(
         T.StructField("chunk_id", T.StringType()),
     ]
 )
-_FOLDERS = [T.StructField("run", T.StringType()), T.StructField("outcome", T.StringType())]
+_FOLDERS = [T.StructField(name, T.StringType()) for name in ("run", "attempt", "outcome")]
+
+
+def names_of(spark: SparkSession, root: str) -> dict:
+    """What the store's manifest names; an error where there is no store."""
+    manifest = Manifest(spark, root)
+    if not manifest.exists():
+        raise FileNotFoundError(f"no store at {root}")
+    return manifest.names()
+
+
+def attempt_folder(root: str, run_id: str, attempt: str) -> str:
+    return f"{root}/run={run_id}/attempt={attempt}"
 
 
-def _folder(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+def read_attempts(spark: SparkSession, root: str, attempts: dict[str, str]) -> DataFrame:
+    """All rows of some attempts ``{run: attempt}``, with ``run`` and ``outcome``."""
+    schema = T.StructType(STORE_SCHEMA.fields + _FOLDERS)
+    if not attempts:
+        return spark.createDataFrame([], schema).drop("attempt")
+    places = [attempt_folder(root, run, attempt) for run, attempt in attempts.items()]
+    return spark.read.schema(schema).option("basePath", root).parquet(*places).drop("attempt")
 
 
 def read_outcomes(spark: SparkSession, root: str) -> DataFrame:
     """The rows of all runs, with ``run`` and ``outcome``, less those that were superseded."""
-    rows = spark.read.schema(T.StructType(STORE_SCHEMA.fields + _FOLDERS)).parquet(root)
-    files, place = _folder(spark, f"{root}/_superseded")
-    if not files.exists(place):
+    names = names_of(spark, root)
+    runs = {k.removeprefix("run/"): v["attempt"] for k, v in names.items() if k.startswith("run/")}
+    rows = read_attempts(spark, root, runs)
+    places = [f"{root}/_superseded/{k.removeprefix('superseded/')}" for k in names if k.startswith("superseded/")]
+    if not places:
         return rows
-    gone = spark.read.schema("run string, raw_data_id long").parquet(str(place))
+    gone = spark.read.schema("run string, raw_data_id long").parquet(*places)
     return rows.join(gone.distinct(), ["run", "raw_data_id"], "left_anti")
 
 
-def supersede(documents: DataFrame, root: str) -> None:
-    """Take the rows of documents ``(run, raw_data_id)`` out of what is read; repeats do no harm."""
-    documents.select("run", "raw_data_id").write.mode("append").parquet(f"{root}/_superseded")
-
-
 def read_store(spark: SparkSession, root: str) -> DataFrame:
     """The stored chunks with their vectors."""
     return read_outcomes(spark, root).filter("outcome = 'stored'").drop(
@@ -70,21 +87,33 @@ def read_rejects(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write_outcomes(df: DataFrame, root: str, run_id: str) -> None:
-    """Write one run's rows; ``created_at`` is the time of the write, ``chunk_id`` names a row for good.
+def stage_outcomes(df: DataFrame, root: str, run_id: str) -> str:
+    """Write one run's rows where no reader sees them yet; gives the attempt.
 
-    They are written beside the store and take the place of the run's former rows at the end.
+    ``created_at`` is the time of the write, ``chunk_id`` names a row for good.
     """
-    spark = df.sparkSession
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"a run is named by letters, digits, '_', '.' and '-', not {run_id!r}")
     known = df if "text_hash" in df.columns else df.withColumn("text_hash", F.lit(None).cast("long"))
     ready = known.withColumn("created_at", F.current_timestamp()).withColumn("chunk_id", F.expr("uuid()"))
-    attempt = f"{root}/_attempts/{uuid.uuid4().hex}"
-    ready.select(*STORE_SCHEMA.fieldNames(), "outcome").write.partitionBy("outcome").parquet(attempt)
-    files, written = _folder(spark, attempt)
-    _, place = _folder(spark, f"{root}/run={run_id}")
-    files.delete(place, True)
-    if not files.rename(written, place):
-        raise OSError(f"the rows of run {run_id} stay in {attempt}")
+    attempt = uuid.uuid4().hex
+    rows = ready.select(*STORE_SCHEMA.fieldNames(), "outcome")
+    rows.write.partitionBy("outcome").parquet(attempt_folder(root, run_id, attempt))
+    return attempt
+
+
+def commit_outcomes(
+    spark: SparkSession, root: str, run_id: str, attempt: str, names: dict | None = None, in_state: bool = False
+) -> None:
+    """Let an attempt count for its run; further ``names`` are set in the same commit."""
+    run = {"attempt": attempt, "in_state": in_state}
+    Manifest(spark, root).commit({f"run/{run_id}": run, **(names or {})})
+
+
+def write_outcomes(df: DataFrame, root: str, run_id: str) -> None:
+    """Write one run's rows in place of its former ones, if there are any."""
+    attempt = stage_outcomes(df, root, run_id)
+    commit_outcomes(df.sparkSession, root, run_id, attempt)
 
 
 def append_embeddings(df: DataFrame, root: str) -> str:
@@ -100,19 +129,41 @@ def append_embeddings(df: DataFrame, root: str) -> str:
     return run_id
 
 
-def _empty(spark: SparkSession):
-    empty = spark.createDataFrame([], T.StructType(STORE_SCHEMA.fields + _FOLDERS))
-    return empty.write.partitionBy("run", "outcome")
-
-
 def create_store(spark: SparkSession, root: str) -> None:
     """Create the store if there is none; an existing one is left as it is."""
-    _empty(spark).mode("ignore").parquet(root)
+    manifest = Manifest(spark, root)
+    if not manifest.exists():
+        manifest.commit({})
 
 
 def reset_store(spark: SparkSession, root: str) -> None:
     """Create the store, or empty it."""
-    _empty(spark).mode("overwrite").parquet(root)
+    Manifest(spark, root).commit({}, replace_all=True)
+    vacuum(spark, root)
+
+
+def vacuum(spark: SparkSession, root: str) -> None:
+    """Delete the folders that the manifest does not name: former, failed and reset attempts.
+
+    For times when nothing is written, and no reader is still at a former attempt.
+    """
+    manifest = Manifest(spark, root)
+    names = manifest.names()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    counts = {(k.removeprefix("run/"), v["attempt"]) for k, v in names.items() if k.startswith("run/")}
+    used = {v for k, v in names.items() if k.startswith("state/")}
+    used |= {k.removeprefix("superseded/") for k in names if k.startswith("superseded/")}
+    below = lambda place: manifest.files.listStatus(place) if manifest.files.exists(place) else []
+    for run in below(path(root)):
+        name = run.getPath().getName()
+        if name.startswith("run="):
+            for attempt in below(run.getPath()):
+                if (name[4:], attempt.getPath().getName()[8:]) not in counts:
+                    manifest.files.delete(attempt.getPath(), True)
+        elif name in ("_state", "_superseded"):
+            for attempt in below(run.getPath()):
+                if attempt.getPath().getName() not in used:
+                    manifest.files.delete(attempt.getPath(), True)
 
 
 def write_by_parent(store: DataFrame, path: str) -> None:

@@ -235,13 +235,13 @@ def test_stream_repeats_a_batch_that_was_lost(spark, tmp_path):
 
 
 def test_only_new(spark):
-    batch = raw_of(spark, [(1, "b", "s"), (1, "a", "s"), (2, "c", "s"), (3, "d", "s"), (4, "e", "s")])
+    batch = raw_of(spark, [(1, "b", "s"), (1, "a", "s"), (2, "c", "s"), (3, "d", "s"), (4, "e", "s"), (None, "f", "s")])
     seen = spark.createDataFrame(
-        [(2, "c", "stored"), (2, "c", "stored"), (3, "old", "stored"), (4, "e", "stored"), (4, "e", "rejected")],
-        "raw_data_id long, raw_text string, outcome string",
+        [(2, "c", False), (2, "c", False), (3, "old", False), (4, "e", False), (4, "e", True)],
+        "raw_data_id long, raw_text string, failed boolean",
     ).withColumn("text_hash", F.xxhash64("raw_text"))
-    got = sorted((r.raw_data_id, r.raw_text) for r in only_new(batch, seen).collect())
-    assert got == [(1, "a"), (3, "d"), (4, "e")]
+    got = {(r.raw_data_id, r.raw_text) for r in only_new(batch, seen).collect()}
+    assert got == {(1, "a"), (3, "d"), (4, "e"), (None, "f")}
     assert only_new(batch.limit(0), seen).count() == 0
 
 
