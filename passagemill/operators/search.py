@@ -2,13 +2,14 @@
 
 Every search here, exact or approximate, runs the same way. A block of query
 vectors meets a stream of stored vectors in one matrix product per Arrow batch,
-and each task keeps no more than the k nearest rows per query. A window over
-those few rows gives the final ranks. All pairs are never materialised.
+and each task keeps no more than the k nearest rows per query. Windows over
+those few rows give the final ranks. All pairs are never materialised.
 
-* Few queries: the query block is broadcast, its size having been checked, and
-  the store is scanned once without a shuffle.
-* Many queries: both sides are cut into slices of bounded size and every pair
-  of slices that can hold a match becomes one co-grouped task.
+Queries are cut into blocks of bounded bytes. Each block is broadcast in turn
+and sweeps over the store, which stays where it lies: it is scanned once for a
+block and never shuffled or copied. With several blocks, a few rows of the store
+first give each query a distance that its k nearest rows cannot exceed, and
+tasks hand on nothing beyond it.
 
 A *cell* narrows which stored rows a query meets. The exact search has one
 cell; the approximate searches in ``cells.py`` have many.
@@ -16,17 +17,19 @@ cell; the approximate searches in ``cells.py`` have many.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions.vectors import ZERO, has_null_element, is_zero_vector, unit_rows
+from passagemill.operators.ranges import dense_ids
 from passagemill.session import shared_folder
 
 KEY = ("raw_data_id", "chunk_index")
@@ -35,13 +38,11 @@ KEY = ("raw_data_id", "chunk_index")
 QUERY_K = 5
 CHAT_K = 3
 
-# Largest query side that is broadcast; beyond it the sides are sliced.
+# Largest block of queries that is broadcast.
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 128 << 20
-# Stored rows per slice when the sides are sliced.
-SLICE_ROWS = 50_000
-# Most hits that are broadcast to fetch further columns of the store.
-MAX_BROADCAST_HITS = 500_000
+# Stored rows that give the first bounds when there are several blocks.
+BOUND_ROWS = 4096
 
 # Distances are ranked after rounding, so that sums taken in another order do
 # not reorder equal vectors; the key breaks ties.
@@ -50,7 +51,6 @@ _SLACK = 10.0 ** -DIGITS
 # Distances computed at a time in one task, and candidates gathered before the best are kept.
 _TILE = 2_000_000
 _PENDING = 2_000_000
-_BATCH_ROWS = 10_000
 
 # Cells of each row of a matrix of unit vectors, as an integer matrix (rows, cells per row).
 CellFn = Callable[[np.ndarray], np.ndarray]
@@ -66,6 +66,8 @@ class QueryBlock:
     probes: dict[int, np.ndarray] | None = None
     cell_fn: CellFn | None = None
     many_cells: bool = False
+    # Distances that the k nearest rows do not exceed, as far as they are known beforehand.
+    bound: np.ndarray | None = None
     everyone: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -103,7 +105,7 @@ def scan_batches(
 ) -> pa.Table | None:
     """The k nearest rows of a stream of batches per query: ``q``, ``distance``, key columns."""
     n, dim = block.unit.shape
-    bound = np.full(n, np.inf)
+    bound = np.full(n, np.inf) if block.bound is None else block.bound.copy()
     best: pa.Table | None = None
 
     def keep(batch: pa.RecordBatch, found: list) -> pa.Table:
@@ -246,16 +248,18 @@ def top_k(
     cell_col: str | None = None,
     many_cells: bool = False,
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """The nearest stored rows per query: ``(query_key, rank, key..., columns..., distance)``.
 
     ``store`` has ``key`` and ``embedding``; ``queries`` has ``query_key``,
     ``embedding`` and optionally its own number of hits ``k``. Both keys must
-    be unique, and k modest: the last step ranks k rows per task for each query
-    together. Rows of the store without a direction come after all distances:
-    zero vectors (NaN) first, then missing ones (NULL). ``columns`` names
-    further store columns to fetch for the hits.
+    be unique, and k modest: the last step ranks the rows that are left of a
+    query together. Rows of the store without a direction come after all
+    distances: zero vectors (NaN) first, then missing ones (NULL). ``columns``
+    names further store columns to fetch for the hits.
+
+    The search runs block by block when this is called, and its hits are
+    written to the shared folder; what is returned reads them.
     """
     if query_key in key:
         raise ValueError(f"{query_key} names both a query and a stored row")
@@ -268,46 +272,76 @@ def top_k(
         F.col("embedding").alias("embedding"),
     )
     # Read several times, and its vectors may come from a model: written once, first of all.
-    staged = shared_folder(spark, "queries")
-    asked.write.parquet(staged)
-    asked = spark.read.schema(asked.schema).parquet(staged)
-    if asked.select(F.size("embedding")).distinct().limit(2).count() > 1:
+    staged, seen = shared_folder(spark, "queries"), Observation()
+    length, named = F.size("embedding"), F.octet_length(F.col(query_key).cast("string"))
+    asked.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.min(length).alias("shortest"), F.max(length).alias("longest"),
+        F.max(named).alias("named"),
+    ).write.parquet(f"{staged}/asked")
+    asked, told = spark.read.schema(asked.schema).parquet(f"{staged}/asked"), seen.get
+    if told["n"] and told["shortest"] != told["longest"]:
         raise ValueError("queries must have vectors of one length")
-    # The limit proves the bound: one row more than may be broadcast is enough to tell.
-    head = asked.limit(max_broadcast_queries + 1).toArrow()
+    row_bytes = 8 * (told["longest"] or 0) + (told["named"] or 0) + 16
+    size = max(min(max_broadcast_queries, MAX_BROADCAST_BYTES // row_bytes), 1)
+    blocks = -(-told["n"] // size)
     fields = [asked.schema[query_key], T.StructField("k", T.LongType())]
     fields += [store.schema[name] for name in key] + [T.StructField("distance", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     scanned = store.select(*key, "embedding", *([cell_col] if cell_col else []))
-
-    if head.num_rows == 0:
-        found, hits = spark.createDataFrame([], schema), 0
-    elif head.num_rows <= max_broadcast_queries and head.nbytes <= MAX_BROADCAST_BYTES:
-        block = _build_block(head, query_key, cell_fn, probe_fn)
+    ranked_schema = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
+
+    first = None
+    if blocks > 1:
+        numbered = dense_ids(asked, id_col="_number", start=0)
+        asked = numbered.select(*asked.columns, F.call_function("div", "_number", F.lit(size)).alias("_block"))
+        if probe_fn is None:
+            first = scanned.limit(BOUND_ROWS).toArrow()
+    for number in range(blocks):
+        table = asked.filter(F.col("_block") == number).drop("_block") if blocks > 1 else asked
+        block = _build_block(table.toArrow(), query_key, cell_fn, probe_fn)
         block.many_cells = many_cells
-        hits = int(block.k.sum())
+        if first is not None:
+            block.bound = _first_bounds(block, first, key)
+        here = scanned
         if cell_col and block.probes is not None:
             # At most one value per cell; prunes the folders of a store written by cell.
-            scanned = scanned.filter(F.col(cell_col).isin(*sorted(block.probes)))
-        found = _scan_broadcast(scanned, block, query_key, key, schema, cell_col)
-    else:
-        hits = None
-        found = _scan_slices(
-            scanned, asked, query_key, key, schema, cell_fn, probe_fn, cell_col,
-            many_cells, max_broadcast_queries, slice_rows, len(head.column("embedding")[0]),
-        )
-
-    order = Window.partitionBy(query_key).orderBy("distance", *key)
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    if hits and head.num_rows:
-        # A literal limit lets Spark cut each group before the shuffle.
-        ranked = ranked.filter(F.col("rank") <= int(pc.max(head.column("k")).as_py()))
-    ranked = ranked.filter(F.col("rank") <= F.col("k")).withColumn("distance", _distance())
+            here = here.filter(F.col(cell_col).isin(*sorted(block.probes)))
+        shared, found = _scan_broadcast(here, block, query_key, key, schema, cell_col)
+        _ranked(found, query_key, key, int(block.k.max())).write.mode("append").parquet(f"{staged}/hits")
+        shared.destroy()
+    if not blocks:
+        spark.createDataFrame([], ranked_schema).write.parquet(f"{staged}/hits")
+
+    hits = spark.read.schema(ranked_schema).parquet(f"{staged}/hits").withColumn("distance", _distance())
     if columns:
-        if hits is not None and hits <= MAX_BROADCAST_HITS:
-            ranked = F.broadcast(ranked)
-        ranked = store.select(*key, *columns).join(ranked, list(key))
-    return ranked.select(query_key, "rank", *key, *columns, "distance")
+        # The hits' size is known from their files: they are broadcast only if that is small.
+        hits = store.select(*key, *columns).join(hits, list(key))
+    return hits.select(query_key, "rank", *key, *columns, "distance")
+
+
+def _first_bounds(block: QueryBlock, first: pa.Table, key: tuple[str, ...]) -> np.ndarray:
+    """The distance of the k-th nearest of some rows: the k nearest of all are no farther."""
+    bound = np.full(len(block.ids), np.inf)
+    best = scan_batches(block, first.to_batches(), key)
+    if best is not None and best.num_rows:
+        q = best.column("q").to_numpy()
+        last = _rank_in_group(q) == block.k[q] - 1
+        bound[q[last]] = best.column("distance").to_numpy()[last]
+    return bound
+
+
+def _ranked(found: DataFrame, query_key: str, key: tuple[str, ...], most: int) -> DataFrame:
+    """The first k rows of each query, of at most ``most``.
+
+    A query's rows from many tasks are cut in some buckets of tasks before the rest meet.
+    """
+    nearest = lambda *by: F.row_number().over(Window.partitionBy(query_key, *by).orderBy("distance", *key))
+    buckets = math.isqrt(found.rdd.getNumPartitions())
+    if buckets > 1:
+        dealt = found.withColumn("_bucket", F.spark_partition_id() % buckets)
+        found = dealt.withColumn("rank", nearest("_bucket")).filter(F.col("rank") <= most).drop("_bucket", "rank")
+    # A literal limit lets Spark cut each group before the shuffle.
+    return found.withColumn("rank", nearest()).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("k")))
 
 
 def _distance():
@@ -316,84 +350,22 @@ def _distance():
     return F.when(d == ZERO, F.lit(float("nan"))).when(d < ZERO, d)
 
 
-def _scan_broadcast(scanned, block, query_key, key, schema, cell_col) -> DataFrame:
+def _scan_broadcast(scanned, block, query_key, key, schema, cell_col):
+    """The block's broadcast, and the nearest rows of every task."""
     shared = scanned.sparkSession.sparkContext.broadcast(
-        (block.ids, block.unit, block.k, block.probes)
+        (block.ids, block.unit, block.k, block.probes, block.bound)
     )
     arrow_schema = _arrow_schema(schema)
     cell_fn, many_cells = block.cell_fn, block.many_cells
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = QueryBlock(*shared.value, cell_fn, many_cells)
+        ids, unit, k, probes, bound = shared.value
+        queries = QueryBlock(ids, unit, k, probes, cell_fn, many_cells, bound)
         best = scan_batches(queries, batches, key, cell_col)
         if best is not None:
             yield from _emit(best, queries, query_key, key, arrow_schema).to_batches()
 
-    return scanned.mapInArrow(scan, schema)
-
-
-def _scan_slices(
-    scanned, asked, query_key, key, schema, cell_fn, probe_fn, cell_col,
-    many_cells, query_rows, slice_rows, dim,
-) -> DataFrame:
-    """Cut both sides into slices and meet them slice by slice.
-
-    A cell that holds many rows or many queries gets as many slices as it
-    needs, so one hot cell is spread over many tasks.
-    """
-    arrow_schema = _arrow_schema(schema)
-    if probe_fn is None:
-        rows = scanned.withColumn("_cell", F.lit(0).cast("long"))
-        seekers = asked.withColumn("_cell", F.lit(0).cast("long"))
-    else:
-        cells = F.array(F.col(cell_col).cast("long")) if cell_col else _cells_udf(cell_fn, dim)("embedding")
-        rows = scanned.select("*", F.explode(cells).alias("_cell"))
-        seekers = asked.select("*", F.explode(_cells_udf(probe_fn, dim)("embedding")).alias("_cell"))
-        seekers = seekers.dropDuplicates([query_key, "_cell"])
-
-    def slices(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
-
-    # One row per cell: as many as the index has, whatever the size of the data.
-    grid = F.broadcast(
-        slices(rows, slice_rows, "_rs").join(slices(seekers, query_rows, "_qs"), "_cell")
-    )
-
-    def spread(df: DataFrame, by: tuple[str, ...], own: str, other: str, a: str, b: str) -> DataFrame:
-        return df.join(grid, "_cell").select(
-            *df.columns,
-            F.pmod(F.xxhash64(*by), F.col(own)).alias(a),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(b),
-        )
-
-    rows = spread(rows, key, "_rs", "_qs", "_r", "_q")
-    seekers = spread(seekers, (query_key,), "_qs", "_rs", "_q", "_r")
-    by = ["_cell", "_q", "_r"]
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = None
-        if left.num_rows and right.num_rows:
-            block = _build_block(left, query_key, None, None)
-            best = scan_batches(block, right.to_batches(max_chunksize=_BATCH_ROWS), key)
-        if best is None:
-            return arrow_schema.empty_table()
-        return _emit(best, block, query_key, key, arrow_schema)
-
-    found = seekers.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(meet, schema)
-    # Met in several cells, a row is reported by each of them.
-    return found.dropDuplicates([query_key, *key]) if many_cells else found
-
-
-def _cells_udf(fn: CellFn, dim: int):
-    @F.arrow_udf("array<long>")
-    def cells(vectors: pa.Array) -> pa.Array:
-        unit, place = unit_rows(vectors, dim)
-        found = fn(unit).reshape(len(unit), -1).astype(np.int64)
-        offsets = np.arange(len(unit) + 1, dtype=np.int32) * found.shape[1]
-        lists = pa.ListArray.from_arrays(offsets, found.ravel())
-        return pc.if_else(pa.array(place == 0), lists, pa.scalar(None, lists.type))
-
-    return cells
+    return shared, scanned.mapInArrow(scan, schema)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -422,12 +394,9 @@ def top_k_one(
     schema = T.StructType(fields + [T.StructField("distance", T.DoubleType())])
     scanned = store.select(*key, "embedding").filter(F.lit(bool(place[0] == 0)))
     order = ["distance", *key]
-    hits = (
-        _scan_broadcast(scanned, block, "_query", key, schema, None)
-        .orderBy(*order).limit(k).select(*order)
-    )
+    _, found = _scan_broadcast(scanned, block, "_query", key, schema, None)
+    hits = found.orderBy(*order).limit(k).select(*order)
     if columns:
-        if k <= MAX_BROADCAST_HITS:
-            hits = F.broadcast(hits)
+        # k rows, as many as the caller asked for.
         hits = store.select(*key, *columns).join(hits, list(key)).orderBy(*order).limit(k)
     return hits.select(*key, *columns, _distance().alias("distance"))

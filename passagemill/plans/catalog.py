@@ -55,7 +55,7 @@ from passagemill.streaming.ingest import ingest_stream
 DIM = 64
 RANGES = 7
 WINDOW, OVERLAP = 500, 50
-LISTS, NPROBE = 10, 3
+LISTS, NPROBE, STEPS = 10, 3, 4
 CHUNK_KEY = ("raw_data_id", "chunk_index")
 ONE = ("vec_id",)
 
@@ -302,12 +302,9 @@ def topk_cosine(spark, sf):
 
 
 def topk_sliced(spark, sf):
-    """The same search by slices, as it runs when the queries are too many to broadcast."""
+    """The same search in several blocks of queries, as it runs when they are too many for one."""
     store = _vectors(spark, sf)
-    found = top_k(
-        store, _as_queries(store), 5, key=ONE, max_broadcast_queries=200, slice_rows=1000
-    )
-    return _rounded(found)
+    return _rounded(top_k(store, _as_queries(store), 5, key=ONE, max_broadcast_queries=200))
 
 
 def topk_flawed(spark, sf):
@@ -333,20 +330,35 @@ def topk_flawed(spark, sf):
     )
 
 
+def _lists(store: DataFrame) -> InvertedLists:
+    """Lists that start from the vectors of the least ids."""
+    first = store.orderBy("vec_id").limit(LISTS).select(F.col("vec_id").alias("cell"), "embedding")
+    return InvertedLists.lloyd(store, first, STEPS)
+
+
 def ann_ivf(spark, sf):
     store = _vectors(spark, sf)
-    return _rounded(
-        InvertedLists.fit(store, LISTS).top_k(store, _as_queries(store), 5, nprobe=NPROBE, key=ONE)
-    )
+    return _rounded(_lists(store).top_k(store, _as_queries(store), 5, nprobe=NPROBE, key=ONE))
 
 
 def ann_ivf_all_lists(spark, sf):
-    """Probing every list, from a store written by cell, is the exact search."""
-    store, path = _vectors(spark, sf), shared_folder(spark, "cells")
-    lists = InvertedLists.fit(store, LISTS)
-    lists.write(store, path)
-    written = spark.read.parquet(path)
-    return _rounded(lists.top_k(written, _as_queries(store), 5, nprobe=LISTS, key=ONE))
+    """An index kept with its store, filled in two parts and loaded again: all lists are the exact search."""
+    store, root = _vectors(spark, sf), shared_folder(spark, "cells")
+    early = F.col("vec_id") % 3 != 0
+    _lists(store).write(store.filter(early), root)
+    InvertedLists.load(spark, root).append(store.filter(~early), root)
+    lists = InvertedLists.load(spark, root)
+    return _rounded(lists.top_k(lists.read(spark, root), _as_queries(store), 5, nprobe=LISTS, key=ONE))
+
+
+def ann_ivf_kept(spark, sf):
+    """The same index probed in part: as if it had been made of all rows at once."""
+    store, root = _vectors(spark, sf), shared_folder(spark, "cells")
+    early = F.col("vec_id") % 3 != 0
+    _lists(store).write(store.filter(early), root)
+    InvertedLists.load(spark, root).append(store.filter(~early), root)
+    lists = InvertedLists.load(spark, root)
+    return _rounded(lists.top_k(lists.read(spark, root), _as_queries(store), 5, nprobe=NPROBE, key=ONE))
 
 
 def ann_lsh(spark, sf):
@@ -570,7 +582,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunks_small, chunk_fallback, chunks_fixed, chunks_flattened, chunks_of_parents, by_source,
         zero_vectors_dropped, dimension_check, null_element_check, reject_reasons,
         narrowed_vectors, cosine_distances, cosine_expression, topk_one, topk_cosine, topk_sliced, topk_flawed,
-        ann_ivf, ann_ivf_all_lists, ann_lsh,
+        ann_ivf, ann_ivf_all_lists, ann_ivf_kept, ann_lsh,
         embedded_texts, hashed_embedding, query_admission, topk_text, topk_text_twice, limited_search,
         context_section,
         built_prompts, answers,

@@ -175,6 +175,45 @@ LSH = f"""
     SELECT query_id, rank, vec_id, round(d, 6) + 0.0 AS distance
     FROM ({ranked('SELECT * FROM pairs', '5', 'vec_id')})"""
 
+
+
+def ivf(steps: int, lists: int, probes: int) -> str:
+    """Lloyd's steps from the first vectors, then the search of the nearest cells."""
+    close = "list_inner_product(u.x, c.x) - 0.5 * list_inner_product(c.x, c.x)"
+    parts = [f"""
+        units AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE / n) AS x
+            FROM (SELECT vec_id, embedding, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+                  FROM embeddings)),
+        step_0 AS (
+            SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, x
+            FROM (SELECT * FROM units ORDER BY vec_id LIMIT {lists}))"""]
+    for i in range(steps):
+        parts.append(f"""
+        at_{i} AS MATERIALIZED (
+            SELECT vec_id, u.x, cell FROM units u, step_{i} c
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {close} DESC, cell) = 1),
+        sums_{i} AS (
+            SELECT cell, d, sum(floor(v * 1048576 + 0.5)::BIGINT) / (count(*) * 1048576.0::DOUBLE) AS mean
+            FROM (SELECT cell, unnest(range(64)) AS d, unnest(x) AS v FROM at_{i}) GROUP BY cell, d),
+        step_{i + 1} AS MATERIALIZED (
+            SELECT cell, coalesce(m.x, s.x) AS x FROM step_{i} s
+            LEFT JOIN (SELECT cell, list(mean ORDER BY d) AS x FROM sums_{i} GROUP BY cell) m USING (cell))""")
+    return f"""
+    WITH {', '.join(parts)},
+    near AS MATERIALIZED (
+        SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY {close} DESC, cell) AS place
+        FROM units u, step_{steps} c),
+    pairs AS (
+        SELECT q.vec_id AS query_id, s.vec_id, {distance('b.embedding', 'a.embedding')} AS d
+        FROM near q JOIN near s ON q.cell = s.cell AND q.place <= {probes} AND s.place = 1
+        JOIN embeddings a ON a.vec_id = q.vec_id JOIN embeddings b ON b.vec_id = s.vec_id)
+    SELECT query_id, rank, vec_id, round(d, 6) + 0.0 AS distance
+    FROM ({ranked('SELECT * FROM pairs', '5', 'vec_id')})"""
+
+
+IVF = ivf(4, 10, 3)
+
 MARKS = "SELECT doc_id AS raw_data_id, regexp_replace(text, '[^.!?]', '', 'g') AS raw_text, source FROM documents"
 
 BLANK_TURN = "' ' || chr(9) || chr(10) || chr(1) || ' '"
@@ -258,7 +297,9 @@ ORACLE: dict[str, str] = {
             FROM embeddings ORDER BY d, vec_id LIMIT 10)""",
     "topk_cosine": EXACT,
     "topk_sliced": EXACT,
+    "ann_ivf": IVF,
     "ann_ivf_all_lists": EXACT,
+    "ann_ivf_kept": IVF,
     "ann_lsh": LSH,
     "topk_flawed": f"""
         WITH asked AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),

@@ -307,7 +307,7 @@ def test_each_query_text_is_sent_once(spark, tmp_path):
         return EMBED(texts)
 
     asked = spark.createDataFrame([(i, f"fish {i}") for i in range(30)], "query_id long, query string")
-    search_text(read_store(spark, root), asked, counted, 2, dim=DIM, max_broadcast_queries=10, slice_rows=3).collect()
+    search_text(read_store(spark, root), asked, counted, 2, dim=DIM, max_broadcast_queries=10).collect()
     assert calls.value == 30
 
 

@@ -1,12 +1,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from passagemill.functions import vectors as V
+from passagemill.operators import search
 from passagemill.operators.cells import Hyperplanes, InvertedLists
 from passagemill.operators.search import top_k, top_k_one
 
@@ -84,7 +86,7 @@ def test_exact_search_equals_brute_force(spark):
     queries = queries_of(store)
     want = brute(store, queries, 4)
     assert hits(top_k(store, queries, 4, key=KEY)) == want
-    sliced = top_k(store, queries, 4, key=KEY, max_broadcast_queries=70, slice_rows=40)
+    sliced = top_k(store, queries, 4, key=KEY, max_broadcast_queries=70)
     assert hits(sliced) == want
 
 
@@ -117,7 +119,7 @@ def test_a_third_of_the_rows_are_copies(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<float>")
     want = brute(store, queries, 7)
     assert hits(top_k(store, queries, 7, key=KEY)) == want
-    assert hits(top_k(store, queries, 7, key=KEY, max_broadcast_queries=1, slice_rows=50)) == want
+    assert hits(top_k(store, queries, 7, key=KEY, max_broadcast_queries=1)) == want
 
 
 def test_further_columns(spark):
@@ -147,7 +149,7 @@ def test_one_query_is_answered_without_sorting_the_store(spark):
     assert "TakeOrderedAndProject" in plan._jdf.queryExecution().executedPlan().toString()
 
 
-def test_inverted_lists(spark, tmp_path):
+def test_inverted_lists(spark, tmp_path, monkeypatch):
     store = random_store(spark, 400)
     queries = queries_of(store)
     exact = hits(top_k(store, queries, 5, key=KEY))
@@ -155,16 +157,110 @@ def test_inverted_lists(spark, tmp_path):
     assert hits(lists.top_k(store, queries, 5, nprobe=6, key=KEY)) == exact
     near = lists.top_k(store, queries, 5, nprobe=2, key=KEY)
     assert len(pairs(near) & {(q, i) for q, _, i, _ in exact}) / len(exact) > 0.9
-    sliced = lists.top_k(store, queries, 5, nprobe=2, key=KEY, max_broadcast_queries=50, slice_rows=30)
+    sliced = lists.top_k(store, queries, 5, nprobe=2, key=KEY, max_broadcast_queries=50)
     assert hits(sliced) == hits(near)
 
-    lists.write(store, str(tmp_path / "cells"))
-    written = spark.read.parquet(str(tmp_path / "cells"))
+    root = str(tmp_path / "cells")
+    lists.write(store, root)
+    written = lists.read(spark, root)
     assert written.count() == 400
     assert hits(lists.top_k(written, queries, 5, nprobe=2, key=KEY)) == hits(near)
-    few = lists.top_k(written, queries.filter("query_id = 0"), 5, nprobe=2, key=KEY)
-    plan = few._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    monkeypatch.setattr(search, "_ranked", kept_plans := Plans(search._ranked))
+    lists.top_k(written, queries.filter("query_id = 0"), 5, nprobe=2, key=KEY)
+    assert "PartitionFilters: [isnotnull(cell" in kept_plans.seen[0] or "PartitionFilters: [cell" in kept_plans.seen[0]
+
+
+class Plans:
+    """Notes the plan of every block's scan."""
+
+    def __init__(self, ranked):
+        self.ranked, self.seen = ranked, []
+
+    def __call__(self, found, *rest):
+        self.seen.append(found._jdf.queryExecution().executedPlan().toString())
+        return self.ranked(found, *rest)
+
+
+def test_many_queries_sweep_in_blocks_over_a_store_that_is_not_shuffled(spark, monkeypatch):
+    store = random_store(spark, 500).repartition(20).persist()
+    queries = queries_of(store)
+    want = hits(top_k(store, queries, 3, key=KEY))
+    monkeypatch.setattr(search, "BOUND_ROWS", 40)
+    monkeypatch.setattr(search, "_ranked", plans := Plans(search._ranked))
+    got = top_k(store, queries, 3, key=KEY, max_broadcast_queries=90)
+    assert hits(got) == want and len(plans.seen) == 6
+    for plan in plans.seen:
+        assert "Exchange" not in plan.split("InMemoryTableScan")[0] and "Join" not in plan and "Generate" not in plan
+    monkeypatch.setattr(search, "MAX_BROADCAST_BYTES", 8 * (8 * 8 + 4 + 16))
+    plans.seen.clear()
+    few = queries.filter("query_id < 20")
+    assert {h for h in want if h[0] < 20} == hits(top_k(store, few, 3, key=KEY)) and len(plans.seen) == 3
+
+
+def test_first_bounds_cut_what_tasks_hand_on(spark):
+    store = random_store(spark, 2000).collect()
+    table = lambda rows, **more: pa.table({
+        "id": pa.array([r.id for r in rows]), "embedding": pa.array([r.embedding for r in rows], pa.list_(pa.float32())), **more
+    })
+    asked = table(store[:10], k=pa.array([3] * 10)).rename_columns(["query_id", "embedding", "k"])
+    block = search._build_block(asked, "query_id", None, None)
+    bound = search._first_bounds(block, table(store[:400]), KEY)
+    part = table(store[1900:]).to_batches()
+    loose = search.scan_batches(block, part, KEY)
+    block.bound = bound
+    tight = search.scan_batches(block, part, KEY)
+    assert loose.num_rows == 30 and (tight is None or tight.num_rows < 15)
+    whole = search.scan_batches(block, table(store).to_batches(), KEY)
+    block.bound = None
+    assert whole.equals(search.scan_batches(block, table(store).to_batches(), KEY))
+
+
+def test_lloyd_steps_do_not_depend_on_partitions_and_equal_plain_steps(spark):
+    bad = store_of(spark, [(1000, None), (1001, [0.0] * 8), (1002, [1.0])])
+    store = random_store(spark, 300).union(bad)
+    start = store.filter("id < 5").select((9 - F.col("id")).alias("cell"), "embedding")
+    lists = InvertedLists.lloyd(store, start, 3)
+    assert (lists.centroids == InvertedLists.lloyd(store.repartition(7), start, 3).centroids).all()
+    unit = np.array([r.embedding for r in store.filter("id < 1000").orderBy("id").collect()])
+    unit = unit / np.sqrt((unit**2).sum(axis=1))[:, None]
+    centroids = unit[4::-1].copy()
+    for _ in range(3):
+        at = ((unit[:, None] - centroids[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for c in range(5):
+            if (at == c).any():
+                centroids[c] = unit[at == c].mean(axis=0)
+    assert np.abs(centroids - lists.centroids).max() < 1e-5
+    twice = start.union(start.withColumn("cell", F.col("cell") + 100))  # the lower of equal ones gets all
+    assert (InvertedLists.lloyd(store, twice, 1).centroids[5:] == InvertedLists.lloyd(store, start, 0).centroids).all()
+    with pytest.raises(ValueError, match="direction"):
+        InvertedLists.lloyd(store, bad.filter("id = 1001").select(F.col("id").alias("cell"), "embedding"))
+
+
+def test_an_index_stays_with_its_store(spark, tmp_path):
+    root, bad = str(tmp_path / "cells"), store_of(spark, [(1000, None), (1001, [0.0] * 8), (1002, [1.0])])
+    store = random_store(spark, 300)
+    queries = queries_of(store)
+    start = store.filter("id < 6").select(F.col("id").alias("cell"), "embedding")
+    lists = InvertedLists.lloyd(store, start)
+    want = hits(lists.top_k(store, queries, 5, nprobe=2, key=KEY))
+    lists.write(store.filter("id < 100"), root)
+    for part in ("id between 100 and 150", "id > 150"):
+        InvertedLists.load(spark, root).append(store.filter(part), root)
+    again = InvertedLists.load(spark, root)
+    again.append(bad, root)
+    rows = again.read(spark, root)
+    assert rows.count() == 303 and {r.id for r in rows.filter("cell = -1").collect()} == {1000, 1001, 1002}
+    assert hits(again.top_k(rows, queries, 5, nprobe=2, key=KEY)) == want
+    other = InvertedLists.lloyd(store, start, 1)
+    for act in (lambda: other.append(store, root), lambda: other.read(spark, root)):
+        with pytest.raises(ValueError, match="not placed by these centroids"):
+            act()
+    other.write(store.filter("id < 20"), root)
+    assert InvertedLists.load(spark, root).read(spark, root).count() == 20
+    with pytest.raises(ValueError, match="not placed"):
+        again.read(spark, root)
+    with pytest.raises(FileNotFoundError):
+        InvertedLists.load(spark, str(tmp_path / "none"))
 
 
 def test_index_leaves_out_rows_without_a_direction(spark):
@@ -173,7 +269,7 @@ def test_index_leaves_out_rows_without_a_direction(spark):
     store, queries = good.union(bad), queries_of(good).filter("query_id < 5")
     lists = InvertedLists.fit(store, 3, dim=8)
     assert lists.assign(store).filter("cell IS NULL").count() == 3
-    for sizes in ({}, {"max_broadcast_queries": 2, "slice_rows": 20}):
+    for sizes in ({}, {"max_broadcast_queries": 2}):
         assert max(i for _, i in pairs(lists.top_k(store, queries, 100, nprobe=3, key=KEY, **sizes))) < 60
         assert max(i for _, i in pairs(Hyperplanes(8).top_k(store, queries, 100, key=KEY, **sizes))) < 60
 
@@ -185,7 +281,7 @@ def test_hyperplanes(spark):
     planes = Hyperplanes(8, tables=6, bits=6)
     near = planes.top_k(store, queries, 5, key=KEY)
     assert len(pairs(near) & exact) / len(exact) > 0.9
-    sliced = planes.top_k(store, queries, 5, key=KEY, max_broadcast_queries=50, slice_rows=30)
+    sliced = planes.top_k(store, queries, 5, key=KEY, max_broadcast_queries=50)
     assert hits(sliced) == hits(near)
     # Every candidate's rank is among the query's candidates, each met once.
     assert len(hits(near)) == len(pairs(near))
@@ -194,21 +290,21 @@ def test_hyperplanes(spark):
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
-@given(seed=st.integers(0, 1000), k=st.integers(1, 12), many=st.integers(1, 60), size=st.integers(5, 80))
-def test_slices_equal_broadcast(spark, seed, k, many, size):
+@given(seed=st.integers(0, 1000), k=st.integers(1, 12), many=st.integers(7, 60))
+def test_blocks_equal_one_block(spark, seed, k, many):
     store = random_store(spark, 60, dim=3, seed=seed)
     queries = queries_of(store)
     want = hits(top_k(store, queries, k, key=KEY))
-    assert hits(top_k(store, queries, k, key=KEY, max_broadcast_queries=many, slice_rows=size)) == want
+    assert hits(top_k(store, queries, k, key=KEY, max_broadcast_queries=many)) == want
 
 
 def test_one_hot_cell(spark):
-    """A third of the rows are copies and share every cell; the cell is sliced."""
+    """A third of the rows are copies and share every cell; whatever the blocks."""
     good = random_store(spark, 200)
     copies = spark.range(1000, 1100).select("id", F.array(*[F.lit(float(i)).cast("float") for i in range(8)]).alias("embedding"))
     store = good.union(copies)
     queries = queries_of(store).filter("query_id % 20 = 0")
-    small = {"max_broadcast_queries": 3, "slice_rows": 15}
+    small = {"max_broadcast_queries": 3}
     for search in (InvertedLists.fit(store, 4).top_k, Hyperplanes(8, tables=3, bits=4).top_k):
         want = hits(search(store, queries, 6, key=KEY))
         assert hits(search(store, queries, 6, key=KEY, **small)) == want
