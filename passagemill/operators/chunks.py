@@ -11,6 +11,7 @@ from passagemill.functions.text import (
     chunk_fixed,
     chunk_sentences,
     is_blank,
+    split_sentences,
 )
 
 # The two chunking rules: how a joining space counts, and what becomes of text
@@ -44,8 +45,9 @@ def chunk_table(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Sentence-grouped chunks ``(keep..., chunk_index, chunk_text)``, numbered from 0 per row."""
-    chunks = chunk_sentences(text, target, minimum, **RULES[rule])
-    return _number(drop_blank(df, text), chunks, keep or ["raw_data_id"])
+    split = drop_blank(df, text).withColumn("_sentences", split_sentences(text))
+    chunks = chunk_sentences(text, target, minimum, **RULES[rule], sentences="_sentences")
+    return _number(split, chunks, keep or ["raw_data_id"])
 
 
 def fixed_chunk_table(

@@ -165,3 +165,27 @@ def test_chunk_numbers_are_dense(spark):
         ).orderBy("raw_data_id").collect()
         assert [r.raw_data_id for r in got] == [1, *single]
         assert all(r.first == 0 and r.last == r.n - 1 for r in got)
+
+
+def test_only_lengths_leave_the_jvm(spark):
+    df = spark.createDataFrame([(1, "One. Two!")], "raw_data_id long, raw_text string")
+    plan = chunk_table(df)._jdf.queryExecution().executedPlan().toString()
+    (call,) = re.findall(r"ArrowEvalPython \[cuts\((.*?)\)#\d+\]", plan)
+    assert call.startswith("transform(_sentences") and "octet_length" in call
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    def seconds(size):
+        rows = [(1, "Some words of a sentence here. " * (size // 31))]
+        df = spark.createDataFrame(rows, "raw_data_id long, raw_text string").persist()
+        df.count()
+        begun = time.perf_counter()
+        n = chunk_table(df).agg(F.count("*"), F.sum(F.length("chunk_text"))).first()
+        assert n[0] > size // 600
+        return time.perf_counter() - begun
+
+    seconds(1_000_000)
+    assert seconds(16_000_000) < 16 * max(seconds(2_000_000), 0.25)
