@@ -10,11 +10,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagemill.functions.embedding import HashedEmbedder, embed_column
+from passagemill.functions.embedding import HashedEmbedder, embed_batch, embed_column
 from passagemill.functions.text import combine_text, split_sentences
 from passagemill.functions.vectors import (
     batch_cosine_distance,
@@ -127,16 +128,28 @@ def prefix_sample(spark, sf):
 # --- text
 
 
+RECORD = ("conv_id", "exchange")
+
+
 def _instructions(spark, sf) -> DataFrame:
-    """One instruction record per conversation: system text, first question, first answer."""
-    part = lambda role, name: F.min_by("text", F.when(F.col("role") == role, F.col("turn"))).alias(name)
-    return _table(spark, sf, "conversations").groupBy("conv_id").agg(
+    """One instruction record per exchange: a user's turn with all up to the next one.
+
+    Every turn is in one record; a system text opens the first.
+    """
+    asked = F.count(F.when(F.col("role") == "user", 1)).over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = _table(spark, sf, "conversations").withColumn("exchange", F.greatest(asked, F.lit(1)))
+
+    def part(role, name):
+        texts = F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))
+        return F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda t: t["text"]), "\n")).alias(name)
+
+    return turns.groupBy(*RECORD).agg(
         part("system", "instruction"), part("user", "input"), part("assistant", "output")
     )
 
 
 def combined_text(spark, sf):
-    return _instructions(spark, sf).select("conv_id", combine_text(*COLUMNS).alias("raw_text"))
+    return _instructions(spark, sf).select(*RECORD, combine_text(*COLUMNS).alias("raw_text"))
 
 
 def csv_source(spark, sf):
@@ -155,21 +168,18 @@ def csv_source(spark, sf):
 def raw_sink(spark, sf):
     """Two appends to a raw table: ids go on where the first stopped."""
     path = shared_folder(spark, "raw")
-    texts = _instructions(spark, sf).select("conv_id", combine_text(*COLUMNS).alias("raw_text"))
-    append_raw(texts, path, ["conv_id"])
-    append_raw(texts, path, ["conv_id"])
+    texts = _instructions(spark, sf).select(*RECORD, combine_text(*COLUMNS).alias("raw_text"))
+    append_raw(texts, path, list(RECORD))
+    append_raw(texts, path, list(RECORD))
     return read_raw(spark, path).select("raw_data_id", "raw_text")
 
 
 def blanks_dropped(spark, sf):
-    blank = F.lit(" \t\n\x01 ")
-    text = (
-        F.when(F.col("role") == "assistant", blank)
-        .when(F.col("role") == "user", F.col("text"))
-        .alias("raw_text")
-    )
-    talk = _table(spark, sf, "conversations").select("conv_id", "turn", text)
-    return drop_blank(talk).select("conv_id", "turn")
+    """All turns, and for each a blank or missing one beside it."""
+    talk = _table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("raw_text"))
+    blank = F.when(F.col("turn") % 2 == 0, F.lit(" \t\n\x01 ")).alias("raw_text")
+    beside = talk.select("conv_id", (-1 - F.col("turn")).alias("turn"), blank)
+    return drop_blank(talk.union(beside)).select("conv_id", "turn")
 
 
 def sentences(spark, sf):
@@ -228,15 +238,17 @@ def _vectors(spark, sf) -> DataFrame:
 
 
 def _flawed(spark, sf) -> DataFrame:
-    """The vectors with zero, short, holed and missing ones among them."""
+    """All vectors, and beside them zero, short, holed and missing ones by negative ids."""
     e, kind = F.col("embedding"), F.col("vec_id") % 10
     flawed: Column = (
         F.when(kind == 0, F.transform(e, lambda x: F.lit(0.0).cast("float")))
         .when(kind == 1, F.slice(e, 1, DIM - 1))
         .when(kind == 2, F.transform(e, lambda x, i: F.when(i != 5, x)))
-        .when(kind != 3, e)
     )
-    return _vectors(spark, sf).select("vec_id", flawed.alias("embedding"))
+    beside = _vectors(spark, sf).filter(kind < 4).select(
+        (-1 - F.col("vec_id")).alias("vec_id"), flawed.alias("embedding")
+    )
+    return _vectors(spark, sf).union(beside)
 
 
 def zero_vectors_dropped(spark, sf):
@@ -255,7 +267,13 @@ def null_element_check(spark, sf):
 
 
 def reject_reasons(spark, sf):
-    return _flawed(spark, sf).select("vec_id", reject_reason("embedding", DIM).alias("reason"))
+    """The flawed vectors and, by ids from 10^12 on, some with an element that is not finite."""
+    odd = F.when(F.col("vec_id") % 2 == 0, float("nan")).otherwise(float("inf")).cast("float")
+    wild = _vectors(spark, sf).filter("vec_id % 10 = 7").select(
+        (F.col("vec_id") + 10**12).alias("vec_id"),
+        F.transform("embedding", lambda x, i: F.when(i == 5, odd).otherwise(x)).alias("embedding"),
+    )
+    return _flawed(spark, sf).union(wild).select("vec_id", reject_reason("embedding", DIM).alias("reason"))
 
 
 def narrowed_vectors(spark, sf):
@@ -267,11 +285,12 @@ def narrowed_vectors(spark, sf):
 
 def _neighbour_distances(spark, sf, measure) -> DataFrame:
     """Each vector and the one with the next id, flawed vectors among them."""
-    left = _flawed(spark, sf)
+    of = F.when(F.col("vec_id") < 0, -1 - F.col("vec_id")).otherwise(F.col("vec_id"))
+    left = _flawed(spark, sf).withColumn("of", of)
     right = _vectors(spark, sf).select(
-        (F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")
+        (F.col("vec_id") - 1).alias("of"), F.col("embedding").alias("other")
     )
-    measured = left.join(right, "vec_id").select("vec_id", measure("embedding", "other").alias("d"))
+    measured = left.join(right, "of").select("vec_id", measure("embedding", "other").alias("d"))
     return measured.select(
         "vec_id", F.when(~F.isnan("d"), F.round("d", 6) + F.lit(0.0)).alias("distance"),
         F.coalesce(F.isnan("d"), F.lit(False)).alias("no_direction"),
@@ -308,22 +327,18 @@ def topk_sliced(spark, sf):
 
 
 def topk_flawed(spark, sf):
-    """A store of mostly unusable vectors: zero ones come after all distances, missing ones last."""
-    e, kind = F.col("embedding"), F.col("vec_id") % 100
-    flawed = (
-        F.when(kind < 3, e)
-        .when(kind < 5, F.transform(e, lambda x: F.lit(0.0).cast("float")))
-        .when(kind == 5, F.slice(e, 1, DIM - 1))
-        .when(kind == 6, F.transform(e, lambda x, i: F.when(i != 5, x)))
-    )
+    """All vectors and the flawed ones: zero ones come after all distances, missing ones last.
+
+    Every first vector of a label asks; the one of label 0 wants more hits than a small table has vectors.
+    """
     firsts = _table(spark, sf, "embeddings").groupBy("label").agg(
         F.min_by("embedding", "vec_id").alias("embedding")
     )
     asked = firsts.select(
         F.col("label").alias("query_id"), "embedding",
-        F.when(F.col("label") % 2 == 0, 120).otherwise(3).alias("k"),
+        F.when(F.col("label") == 0, 700).otherwise(3).alias("k"),
     )
-    found = top_k(_vectors(spark, sf).select("vec_id", flawed.alias("embedding")), asked, key=ONE)
+    found = top_k(_flawed(spark, sf), asked, key=ONE)
     return found.select(
         "query_id", "rank", "vec_id",
         F.when(~F.isnan("distance"), F.round("distance", 6) + F.lit(0.0)).alias("distance"),
@@ -370,16 +385,38 @@ def ann_lsh(spark, sf):
 
 
 def embedded_texts(spark, sf):
-    """A text column with blanks in it, embedded in calls of 7 texts by 3 workers."""
-    text = F.when(F.col("role") != "system", F.col("text")).otherwise(" \n")
-    talk = _table(spark, sf, "conversations").select("conv_id", "turn", text.alias("chunk_text"))
-    made = embed_column(talk, HashedEmbedder(DIM), dim=DIM, batch_size=7, workers=3)
+    """All turns and blank ones beside those of system, embedded in calls of 7 texts by 3 workers."""
+    talk = _table(spark, sf, "conversations")
+    blank = talk.filter("role = 'system'").select("conv_id", (-1 - F.col("turn")).alias("turn"), F.lit(" \n"))
+    texts = talk.select("conv_id", "turn", F.col("text").alias("chunk_text")).union(blank)
+    made = embed_column(texts, HashedEmbedder(DIM), dim=DIM, batch_size=7, workers=3)
     return made.select(
         "conv_id", "turn", is_zero_vector("embedding").alias("is_zero"),
         F.size(F.filter("embedding", lambda x: x != 0)).alias("slots"), "embed_error",
     )
 
 
+def _one_too_few(texts: list[str]):
+    """An embedder that loses the first vector of a call of an odd number of texts."""
+    return HashedEmbedder(DIM)(texts)[len(texts) % 2 :]
+
+
+def short_replies(spark, sf):
+    """One call per conversation: where the reply is a vector short, all of the call is zeroed and says so."""
+
+    def call(rows: pa.Table) -> pa.Table:
+        vectors, reasons = embed_batch(rows.column("text").to_pylist(), _one_too_few, DIM)
+        return pa.table({
+            "conv_id": rows.column("conv_id"), "turn": rows.column("turn"),
+            "is_zero": pa.array(~vectors.any(axis=1)), "embed_error": pa.array(reasons, pa.string()),
+        })
+
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return turns.groupBy("conv_id").applyInArrow(
+        call, "conv_id long, turn long, is_zero boolean, embed_error string"
+    )
+
+
 def hashed_embedding(spark, sf):
     made = embed_column(chunk_table(_texts(spark, sf)), HashedEmbedder(DIM), dim=DIM)
     weights = made.select(*CHUNK_KEY, F.posexplode("embedding").alias("slot", "weight"))
@@ -397,13 +434,13 @@ def _store(spark, sf) -> DataFrame:
 
 
 def query_admission(spark, sf):
+    """All items as queries, and blank ones beside them."""
     item = F.col("item_id")
-    asked = _table(spark, sf, "benchmark").select(
-        "item_id",
-        F.when(item % 5 != 0, F.col("text")).otherwise("\t ").alias("query"),
-        F.when(item % 4 == 1, 0).when(item % 4 == 2, -3).when(item % 4 == 3, 7).alias("limit"),
-    )
-    return admit(asked).select("item_id", "k", "error")
+    limit = F.when(item % 4 == 1, 0).when(item % 4 == 2, -3).when(item % 4 == 3, 7).alias("limit")
+    items = _table(spark, sf, "benchmark")
+    asked = items.select("item_id", F.col("text").alias("query"), limit)
+    blank = items.select((-1 - item).alias("item_id"), F.lit("\t "), limit)
+    return admit(asked.union(blank)).select("item_id", "k", "error")
 
 
 def topk_text(spark, sf):
@@ -437,12 +474,11 @@ def limited_search(spark, sf):
 
 
 def _messages(spark, sf) -> DataFrame:
-    """Every user turn; the first of each conversation is made blank when it opens with system."""
+    """Every user turn, and a blank one by a negative id beside those that follow an opening text."""
     talk = _table(spark, sf, "conversations").filter("role = 'user'")
-    return talk.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        F.when(F.col("turn") == 1, " \n").otherwise(F.col("text")).alias("message"),
-    )
+    query_id = F.col("conv_id") * 1000 + F.col("turn")
+    blank = talk.filter("turn = 1").select((-1 - query_id).alias("query_id"), F.lit(" \n"))
+    return talk.select(query_id.alias("query_id"), F.col("text").alias("message")).union(blank)
 
 
 def _hits(spark, sf) -> DataFrame:
@@ -583,7 +619,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         zero_vectors_dropped, dimension_check, null_element_check, reject_reasons,
         narrowed_vectors, cosine_distances, cosine_expression, topk_one, topk_cosine, topk_sliced, topk_flawed,
         ann_ivf, ann_ivf_all_lists, ann_ivf_kept, ann_lsh,
-        embedded_texts, hashed_embedding, query_admission, topk_text, topk_text_twice, limited_search,
+        embedded_texts, short_replies, hashed_embedding, query_admission, topk_text, topk_text_twice, limited_search,
         context_section,
         built_prompts, answers,
         stage_counts, ingested, ingested_stream, stream_after_outage, stream_updated,

@@ -83,22 +83,23 @@ EXACT = f"""
     FROM ({ranked(EXACT_PAIRS, '5', 'vec_id')})"""
 
 FLAWED = """
-    SELECT vec_id, CASE vec_id % 10
+    SELECT vec_id, embedding FROM embeddings
+    UNION ALL
+    SELECT -1 - vec_id, CASE vec_id % 10
         WHEN 0 THEN list_transform(embedding, lambda x: 0.0::FLOAT)
         WHEN 1 THEN embedding[1:63]
-        WHEN 2 THEN list_transform(embedding, lambda x, i: CASE WHEN i <> 6 THEN x END)
-        WHEN 3 THEN NULL
-        ELSE embedding END AS embedding
-    FROM embeddings"""
+        WHEN 2 THEN list_transform(embedding, lambda x, i: CASE WHEN i <> 6 THEN x END) END
+    FROM embeddings WHERE vec_id % 10 < 4"""
 HOLED = "len(list_filter(embedding, lambda x: x IS NULL)) > 0"
 ZERO = "len(list_filter(embedding, lambda x: x IS NULL OR x <> 0)) = 0"
 
 INSTRUCTIONS = """
-    SELECT conv_id,
-           arg_min(text, turn) FILTER (role = 'system') AS instruction,
-           arg_min(text, turn) FILTER (role = 'user') AS input,
-           arg_min(text, turn) FILTER (role = 'assistant') AS output
-    FROM conversations GROUP BY conv_id"""
+    SELECT conv_id, exchange,
+           string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system') AS instruction,
+           string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS input,
+           string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS output
+    FROM (SELECT *, greatest(count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn), 1) AS exchange
+          FROM conversations) GROUP BY conv_id, exchange"""
 
 
 def combined(parts: tuple[str, str, str]) -> str:
@@ -107,7 +108,7 @@ def combined(parts: tuple[str, str, str]) -> str:
 
 
 COMBINED = f"""
-    SELECT conv_id, {combined(('instruction', 'input', 'output'))} AS raw_text
+    SELECT conv_id, exchange, {combined(('instruction', 'input', 'output'))} AS raw_text
     FROM ({INSTRUCTIONS})"""
 
 BOUNDS = """
@@ -126,8 +127,9 @@ RANGED = f"""
 
 STORE = embedded(chunks(), "chunk_text")
 MESSAGES = r"""
-    SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn = 1 THEN ' ' || chr(10) ELSE text END AS message
-    FROM conversations WHERE role = 'user'"""
+    SELECT conv_id * 1000 + turn AS query_id, text AS message FROM conversations WHERE role = 'user'
+    UNION ALL
+    SELECT -1 - (conv_id * 1000 + turn), ' ' || chr(10) FROM conversations WHERE role = 'user' AND turn = 1"""
 
 
 def found(asked: str, text: str, k: int, store: str = STORE) -> str:
@@ -224,7 +226,8 @@ NEIGHBOURS = f"""
                      AND NOT ({ZERO.replace('embedding', 'a.embedding')})
                 THEN round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0
            END AS distance
-    FROM ({FLAWED}) a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+    FROM ({FLAWED}) a JOIN embeddings b
+    ON b.vec_id = CASE WHEN a.vec_id < 0 THEN -1 - a.vec_id ELSE a.vec_id END + 1"""
 
 ORACLE: dict[str, str] = {
     "dense_ids": """
@@ -249,12 +252,13 @@ ORACLE: dict[str, str] = {
     "combined_text": COMBINED,
     "csv_source": f"SELECT raw_text FROM ({COMBINED}) WHERE raw_text <> ''",
     "raw_sink": f"""
-        SELECT row_number() OVER (ORDER BY again, conv_id) AS raw_data_id, raw_text
+        SELECT row_number() OVER (ORDER BY again, conv_id, exchange) AS raw_data_id, raw_text
         FROM ({COMBINED}), range(2) t(again)""",
     "blanks_dropped": f"""
-        SELECT conv_id, turn FROM (SELECT *, CASE role WHEN 'assistant' THEN {BLANK_TURN}
-                                                       WHEN 'user' THEN text END AS raw_text
-                                   FROM conversations)
+        SELECT conv_id, turn FROM (
+            SELECT conv_id, turn, text AS raw_text FROM conversations
+            UNION ALL
+            SELECT conv_id, -1 - turn, CASE WHEN turn % 2 = 0 THEN {BLANK_TURN} END FROM conversations)
         WHERE raw_text IS NOT NULL AND {jtrim('raw_text')} <> ''""",
     "sentences": f"""
         SELECT raw_data_id, i::INT AS pos, s[i + 1] AS sentence
@@ -284,7 +288,8 @@ ORACLE: dict[str, str] = {
                             WHEN len(embedding) <> 64 THEN 'wrong dimension'
                             WHEN {HOLED} THEN 'null element'
                             WHEN {ZERO} THEN 'zero vector' END AS reason
-        FROM ({FLAWED})""",
+        FROM ({FLAWED})
+        UNION ALL SELECT vec_id + 1000000000000, 'not finite' FROM embeddings WHERE vec_id % 10 = 7""",
     "narrowed_vectors": """
         SELECT vec_id, unnest(range(64))::INT AS pos,
                round(unnest(list_transform(embedding, lambda x: (x::DOUBLE / 3)::FLOAT))::DOUBLE, 6) + 0.0 AS x
@@ -304,27 +309,34 @@ ORACLE: dict[str, str] = {
     "topk_flawed": f"""
         WITH asked AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),
         pairs AS (
-            SELECT query_id, vec_id,
-                   CASE WHEN vec_id % 100 < 3 THEN {distance('embedding', 'q')} END AS d,
-                   CASE WHEN vec_id % 100 < 3 THEN 0 WHEN vec_id % 100 < 5 THEN 1 ELSE 2 END AS place
-            FROM asked, embeddings)
+            SELECT query_id, vec_id, CASE WHEN vec_id >= 0 THEN {distance('embedding', 'q')} END AS d,
+                   CASE WHEN vec_id >= 0 THEN 0 WHEN (-1 - vec_id) % 10 = 0 THEN 1 ELSE 2 END AS place
+            FROM asked, ({FLAWED}))
         SELECT query_id, vec_id, round(d, 6) + 0.0 AS distance,
                row_number() OVER (PARTITION BY query_id ORDER BY place, d, vec_id) AS rank
-        FROM pairs QUALIFY rank <= CASE WHEN query_id % 2 = 0 THEN 120 ELSE 3 END""",
+        FROM pairs QUALIFY rank <= CASE WHEN query_id = 0 THEN 700 ELSE 3 END""",
     "embedded_texts": f"""
         SELECT conv_id, turn, len(slots) = 0 AS is_zero, len(list_distinct(slots)) AS slots,
                CASE WHEN len(slots) = 0 THEN 'blank text' END AS embed_error
-        FROM (SELECT conv_id, turn, list_transform(regexp_extract_all(
-                  CASE WHEN role <> 'system' THEN text ELSE ' ' END, '[^\\x00-\\x20]+'),
+        FROM (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[^\\x00-\\x20]+'),
                   lambda w: ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64) AS slots
-              FROM conversations)""",
+              FROM (SELECT conv_id, turn, text FROM conversations
+                    UNION ALL SELECT conv_id, -1 - turn, ' ' FROM conversations WHERE role = 'system'))""",
+    "short_replies": f"""
+        SELECT conv_id, turn, blank OR odd AS is_zero,
+               CASE WHEN blank THEN 'blank text' WHEN odd THEN 'reply count differs' END AS embed_error
+        FROM (SELECT conv_id, turn, blank,
+                     count(*) FILTER (NOT blank) OVER (PARTITION BY conv_id) % 2 = 1 AS odd
+              FROM (SELECT *, {jtrim('text')} = '' AS blank FROM conversations))""",
     "hashed_embedding": f"""
         SELECT raw_data_id, chunk_index, slot::INT AS slot, round(weight::DOUBLE, 6) AS weight
         FROM (SELECT raw_data_id, chunk_index, unnest(range(64)) AS slot, unnest(embedding) AS weight
               FROM ({STORE})) WHERE weight <> 0""",
     "query_admission": """
-        SELECT item_id, CASE WHEN item_id % 4 = 3 THEN 7 ELSE 5 END AS k,
-               CASE WHEN item_id % 5 = 0 THEN 'Query cannot be empty.' END AS error FROM benchmark""",
+        SELECT CASE WHEN blank THEN -1 - item_id ELSE item_id END AS item_id,
+               CASE WHEN item_id % 4 = 3 THEN 7 ELSE 5 END AS k,
+               CASE WHEN blank THEN 'Query cannot be empty.' END AS error
+        FROM benchmark, (VALUES (false), (true)) t(blank)""",
     "topk_text": f"""
         SELECT query_id, rank, raw_data_id, chunk_index, chunk_text, round(d, 6) + 0.0 AS distance
         FROM ({found('SELECT item_id AS query_id, text AS query FROM benchmark', 'query', 5)})""",
