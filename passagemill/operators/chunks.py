@@ -73,6 +73,18 @@ def chunks_of(store: DataFrame, raw_data_id: int) -> DataFrame:
     return store.filter(F.col("raw_data_id") == raw_data_id)
 
 
+#: Parents that are named in the filter of the scan.
+NAMED_PARENTS = 1000
+
+
 def chunks_of_many(store: DataFrame, parents: DataFrame) -> DataFrame:
-    """All chunks of the parents listed in ``parents(raw_data_id)``."""
-    return store.join(parents.select("raw_data_id"), "raw_data_id", "left_semi")
+    """All chunks of the parents listed in ``parents(raw_data_id)``.
+
+    A few parents are named in the filter of the scan, so that a copy written by parent is read in
+    their row groups only; more of them are joined.
+    """
+    wanted = parents.select("raw_data_id").filter("raw_data_id is not null")
+    few = wanted.distinct().limit(NAMED_PARENTS + 1).collect()
+    if len(few) <= NAMED_PARENTS:
+        return store.filter(F.col("raw_data_id").isin(sorted(r.raw_data_id for r in few)))
+    return store.join(wanted, "raw_data_id", "left_semi")

@@ -23,9 +23,11 @@ def dense_ids(
 ) -> DataFrame:
     """Number the rows ``start, start + 1, ...`` without a gap.
 
-    Rows are numbered in the order of ``order_by`` (range partitioned and
-    sorted; rows with equal keys in any order), or as they lie in the source
-    when it is None. Rows of files are then numbered file by file in the order
+    Rows are numbered in the order of ``order_by``, or as they lie in the source
+    when it is None. Rows with equal keys follow a hash of the whole row, so they
+    have the same ids whenever they are numbered, and one key with very many rows
+    is split over several partitions; rows that are equal throughout are split by
+    their place. Rows of files are then numbered file by file in the order
     of their paths, without a shuffle and without a copy: only counts per file
     split are gathered. Other sources keep the order of their partitions; for
     these, and for sorted rows, places are written once to the shared folder,
@@ -44,12 +46,15 @@ def dense_ids(
         else:
             return _numbered(located, ["_file", "_block"], df.columns, id_col, start)
     spark = df.sparkSession
+    columns = df.columns
     if order_by:
-        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        ties = ["_hash", "_lies"]
+        tied = df.withColumn("_hash", F.xxhash64(*columns)).withColumn("_lies", F.monotonically_increasing_id())
+        df = tied.repartitionByRange(*order_by, *ties).sortWithinPartitions(*order_by, *ties).drop(*ties)
     staged = shared_folder(spark, "dense-ids")
     df.withColumn("_place", F.monotonically_increasing_id()).write.parquet(staged)
     placed = spark.read.parquet(staged).withColumn("_part", F.shiftright("_place", 33))
-    return _numbered(placed, ["_part"], df.columns, id_col, start)
+    return _numbered(placed, ["_part"], columns, id_col, start)
 
 
 def _numbered(placed: DataFrame, part: list[str], columns: list[str], id_col: str, start: int) -> DataFrame:

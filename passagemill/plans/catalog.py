@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.functions.cache import VectorCache
 from passagemill.functions.embedding import HashedEmbedder, embed_batch, embed_column
 from passagemill.functions.text import combine_text, split_sentences
 from passagemill.functions.vectors import (
@@ -49,6 +51,7 @@ from passagemill.sources.store import (
     read_rejects,
     read_store,
     reset_store,
+    write_by_parent,
     write_by_source,
 )
 from passagemill.streaming.ingest import ingest_stream
@@ -91,6 +94,20 @@ def dense_ids(spark, sf):
     return ranges.dense_ids(talk, ["conv_id", "turn"])
 
 
+def dense_ids_tied(spark, sf):
+    """Numbered by a key of three values: where the ids of each begin and end, and how many there are."""
+    talk = _table(spark, sf, "conversations").select("role", "text")
+    numbered = ranges.dense_ids(talk, ["role"])
+    return numbered.groupBy("role").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.countDistinct("id").alias("ids")
+    )
+
+
+def dense_ids_of_files(spark, sf):
+    """Numbered as the rows lie in their file."""
+    return ranges.dense_ids(_table(spark, sf, "documents").select("doc_id"))
+
+
 def ordered_scan(spark, sf):
     return _raw(spark, sf).select("raw_data_id", "raw_text").orderBy("raw_data_id")
 
@@ -218,8 +235,11 @@ def chunks_flattened(spark, sf):
 
 
 def chunks_of_parents(spark, sf):
+    """A copy of all chunks written by parent, and the parents' chunks read from it."""
+    path = shared_folder(spark, "by-parent")
+    write_by_parent(chunk_table(_texts(spark, sf)), path)
     parents = _table(spark, sf, "labels").select(F.col("doc_id").alias("raw_data_id"))
-    return chunks_of_many(chunk_table(_texts(spark, sf)), parents)
+    return chunks_of_many(spark.read.parquet(path), parents)
 
 
 def by_source(spark, sf):
@@ -417,6 +437,20 @@ def short_replies(spark, sf):
     )
 
 
+def embedded_once(spark, sf):
+    """Chunks of both rules through one cache: how many there are, and how many texts were sent."""
+    cache, counted = VectorCache(spark, shared_folder(spark, "vectors")), []
+    for rule in ("batch", "actor", "batch"):
+        chunks = chunk_table(_texts(spark, sf), rule, keep=["raw_data_id"])
+        made = cache.embed(chunks, HashedEmbedder(DIM), dim=DIM)
+        slots = F.size(F.filter("embedding", lambda x: x != 0))
+        counted.append(made.agg(
+            F.lit(len(counted)).alias("call"), F.lit(rule).alias("rule"), F.count("*").alias("chunks"),
+            F.lit(cache.sent).cast("long").alias("sent"), F.sum(slots).cast("long").alias("slots"),
+        ))
+    return reduce(DataFrame.union, counted)
+
+
 def hashed_embedding(spark, sf):
     made = embed_column(chunk_table(_texts(spark, sf)), HashedEmbedder(DIM), dim=DIM)
     weights = made.select(*CHUNK_KEY, F.posexplode("embedding").alias("slot", "weight"))
@@ -506,8 +540,16 @@ def answers(spark, sf):
 
 
 def stage_counts(spark, sf):
-    raw = _texts(spark, sf)
-    return stage_counters(raw, embed_chunks(raw, HashedEmbedder(DIM), dim=DIM), n=RANGES)
+    """What a stream over the documents observed, four id ranges, of one file each, in a micro-batch."""
+    root, ledger, arrived = (shared_folder(spark, x) for x in ("store", "ledger", "arrived"))
+    raw = ranges.with_range_id(_raw(spark, sf), RANGES, "raw_data_id")
+    raw.repartition("range_id").write.partitionBy("range_id").parquet(arrived)
+    files = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4).parquet(arrived)
+    stream = ingest_stream(
+        files.drop("range_id"), root, shared_folder(spark, "stream"), HashedEmbedder(DIM), dim=DIM, ledger=ledger
+    )
+    stream.awaitTermination()
+    return stage_counters(read_ledger(spark, ledger))
 
 
 def _summary(store: DataFrame) -> DataFrame:
@@ -612,14 +654,14 @@ def run_ledger(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        dense_ids, ordered_scan, id_bounds, id_ranges, range_scan, range_counters, keyset_page,
+        dense_ids, dense_ids_tied, dense_ids_of_files, ordered_scan, id_bounds, id_ranges, range_scan, range_counters, keyset_page,
         page_numbers, prefix_sample,
         combined_text, csv_source, raw_sink, blanks_dropped, sentences, chunks_batch, chunks_actor,
         chunks_small, chunk_fallback, chunks_fixed, chunks_flattened, chunks_of_parents, by_source,
         zero_vectors_dropped, dimension_check, null_element_check, reject_reasons,
         narrowed_vectors, cosine_distances, cosine_expression, topk_one, topk_cosine, topk_sliced, topk_flawed,
         ann_ivf, ann_ivf_all_lists, ann_ivf_kept, ann_lsh,
-        embedded_texts, short_replies, hashed_embedding, query_admission, topk_text, topk_text_twice, limited_search,
+        embedded_texts, embedded_once, short_replies, hashed_embedding, query_admission, topk_text, topk_text_twice, limited_search,
         context_section,
         built_prompts, answers,
         stage_counts, ingested, ingested_stream, stream_after_outage, stream_updated,

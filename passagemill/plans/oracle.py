@@ -232,6 +232,11 @@ NEIGHBOURS = f"""
 ORACLE: dict[str, str] = {
     "dense_ids": """
         SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, conv_id, turn FROM conversations""",
+    "dense_ids_tied": """
+        SELECT role, min(id) AS first, max(id) AS last, count(*) AS ids
+        FROM (SELECT role, row_number() OVER (ORDER BY role) AS id FROM conversations) GROUP BY role""",
+    "dense_ids_of_files": """
+        SELECT row_number() OVER () AS id, doc_id FROM documents""",
     "ordered_scan": "SELECT doc_id AS raw_data_id, text AS raw_text FROM documents ORDER BY doc_id",
     "id_bounds": BOUNDS,
     "id_ranges": RANGES,
@@ -322,6 +327,17 @@ ORACLE: dict[str, str] = {
                   lambda w: ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64) AS slots
               FROM (SELECT conv_id, turn, text FROM conversations
                     UNION ALL SELECT conv_id, -1 - turn, ' ' FROM conversations WHERE role = 'system'))""",
+    "embedded_once": f"""
+        WITH first AS (SELECT chunk_text, {SLOTS} FROM ({STORE})),
+        second AS (SELECT chunk_text, {SLOTS} FROM ({embedded(chunks(rule='actor'), 'chunk_text')})),
+        counts AS (
+            SELECT 'batch' AS rule, count(*) AS chunks, sum(slots)::BIGINT AS slots,
+                   count(DISTINCT chunk_text) AS sent FROM first
+            UNION ALL
+            SELECT 'actor', count(*), sum(slots)::BIGINT,
+                   count(DISTINCT chunk_text) FILTER (chunk_text NOT IN (SELECT chunk_text FROM first)) FROM second)
+        SELECT CASE rule WHEN 'batch' THEN 0 ELSE 1 END AS call, rule, chunks, sent, slots FROM counts
+        UNION ALL SELECT 2, rule, chunks, 0, slots FROM counts WHERE rule = 'batch'""",
     "short_replies": f"""
         SELECT conv_id, turn, blank OR odd AS is_zero,
                CASE WHEN blank THEN 'blank text' WHEN odd THEN 'reply count differs' END AS embed_error
@@ -358,12 +374,12 @@ ORACLE: dict[str, str] = {
         FROM ({PROMPTS})""",
     "stage_counts": f"""
         WITH counts AS (
-            SELECT (SELECT sum((n + 99) // 100)::BIGINT
-                    FROM (SELECT count(*) AS n FROM ({RANGED}) GROUP BY range_id)) AS batches,
+            SELECT (SELECT (count(DISTINCT range_id) + 3) // 4 FROM ({RANGED})) AS batches,
                    (SELECT count(*) FROM documents) AS records,
                    (SELECT count(*) FROM documents WHERE text IS NULL OR {jtrim('text')} = '') AS blank,
                    (SELECT count(*) FROM ({chunks()})) AS made)
         SELECT 'read' AS stage, 'batches' AS metric, batches AS value FROM counts
+        UNION ALL SELECT 'read', 'failed_batches', 0 FROM counts
         UNION ALL SELECT 'read', 'records', records FROM counts
         UNION ALL SELECT 'read', 'blank', blank FROM counts
         UNION ALL SELECT 'chunk', 'generated', made FROM counts

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -58,6 +58,7 @@ def ingest_batch(batch: DataFrame, root: str, fn: EmbedFn, run_id: str, **option
     spark = batch.sparkSession
     fold_in(spark, root)
     buckets = state.touched(batch)
+    held = state.places(spark, root, buckets)
     known = state.read_state(spark, root, buckets).filter(F.col("run") != run_id)
     fresh = only_new(batch, known)
 
@@ -70,11 +71,16 @@ def ingest_batch(batch: DataFrame, root: str, fn: EmbedFn, run_id: str, **option
         added = ids.join(own, "raw_data_id", "left").select(
             "raw_data_id", "text_hash", F.lit(run_id).alias("run"), F.coalesce("failed", F.lit(False)).alias("failed")
         )
+        if not held:
+            return state.write_state(added, root, attempt, buckets)
         others = known.join(ids.select("raw_data_id"), "raw_data_id", "left_anti")
         names = state.write_state(others.select(*added.columns).unionByName(added), root, attempt, buckets)
         replaced = known.join(ids.select("raw_data_id"), "raw_data_id", "left_semi")
-        replaced.select("run", "raw_data_id").distinct().write.parquet(f"{root}/_superseded/{attempt}")
-        return names | {f"superseded/{attempt}": True}
+        seen = Observation()
+        replaced.select("run", "raw_data_id").distinct().observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(
+            f"{root}/_superseded/{attempt}"
+        )
+        return names | ({f"superseded/{attempt}": True} if seen.get["n"] else {})
 
     ingest(fresh, root, fn, run_id=run_id, before_commit=before_commit, **options)
 

@@ -26,16 +26,18 @@ def touched(rows: DataFrame, bits: int = BUCKET_BITS) -> list[int]:
     return sorted(r.bucket for r in rows.filter("raw_data_id is not null").select(bucket(bits)).distinct().collect())
 
 
+def places(spark: SparkSession, root: str, buckets: list[int] | None = None) -> list[str]:
+    """The folders of some buckets, or of all."""
+    named = ((k.removeprefix("state/"), v) for k, v in names_of(spark, root).items() if k.startswith("state/"))
+    return [f"{root}/_state/{v}/bucket={k}" for k, v in named if buckets is None or int(k) in buckets]
+
+
 def read_state(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame:
     """The rows of some buckets, or of all."""
-    places = [
-        f"{root}/_state/{attempt}/bucket={name.removeprefix('state/')}"
-        for name, attempt in names_of(spark, root).items()
-        if name.startswith("state/") and (buckets is None or int(name.removeprefix("state/")) in buckets)
-    ]
-    if not places:
+    held = places(spark, root, buckets)
+    if not held:
         return spark.createDataFrame([], _SCHEMA)
-    return spark.read.schema(_SCHEMA).parquet(*places)
+    return spark.read.schema(_SCHEMA).parquet(*held)
 
 
 def write_state(rows: DataFrame, root: str, attempt: str, buckets: list[int], bits: int = BUCKET_BITS) -> dict:
