@@ -209,7 +209,8 @@ def rejected_from(docs: DataFrame, text: str = "text", rate: float = RATE) -> di
     """
     clean = docs.select(F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(STAND_IN)).alias("text"))
     found = with_matches(clean, "text", CANDIDATE, "random", "found")
-    each = found.filter(F.size("found") > 0).select(F.explode(tested("found")).alias("c"))
+    # No filter on the matches: Spark would move it below them and split the text anew for each one.
+    each = found.select(F.explode(tested("found")).alias("c"))
     counts = each.groupBy("c.class", "c.step").count().collect()  # classes by steps: a few thousand at most
     out = {}
     for name in {r["class"] for r in counts}:
