@@ -31,7 +31,7 @@ from passagemill.llm.common import runs
 
 # Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -170,7 +170,7 @@ class TrieEncoder:
         raise ValueError(f"no token ends {word[:depth]!r}; the vocabulary lacks single bytes")
 
 
-def codec_batches(vocabulary: Vocabulary, made_columns=None):
+def codec_batches(vocabulary: Vocabulary, made_columns=None, cached: int = CACHED_WORDS):
     """A function over batches of texts: adds ``ids`` and ``decoded``, or what ``made_columns`` makes
     of the texts and the pairs of both."""
     made_columns = made_columns or _ids_and_texts
@@ -189,7 +189,7 @@ def codec_batches(vocabulary: Vocabulary, made_columns=None):
                 for i, piece in enumerate(split.split(text or "") if split else [text or ""]):
                     words += [piece] if i % 2 else pattern.findall(piece)
                 parts.append(words)
-            if len(known) >= CACHED_WORDS:
+            if len(known) >= cached:
                 known.clear()
             known.update(special)
             fresh = {w for words in parts for w in words if w not in known}
@@ -233,7 +233,7 @@ def encode_checked(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...]
     schema = rows.withColumns(
         {"n_tokens": F.lit(0).cast("long"), "ids": F.lit(None).cast("binary"), "round_trip": F.lit(True)}
     ).schema
-    coded = rows.mapInArrow(codec_batches(Vocabulary.read(vocabulary_path), _checked), schema)
+    coded = rows.mapInArrow(codec_batches(Vocabulary.read(vocabulary_path), _checked, CACHED_WORDS // 2), schema)
     kept = [F.col("text") if c == "text" else F.col(f"row.{c}") for c in keep]
     return coded.select(*kept, "n_tokens", "ids", "round_trip")
 
