@@ -1,29 +1,35 @@
 """Main text of web pages: tag ratios per line, smoothed and clustered, select the content region.
 
 The standard library's parser streams events; a line is the text of one block. The ratio of a line
-is its characters over its tags. Ratios are smoothed with a Gaussian in page order, and a threshold
-found by two-means clustering of the smoothed values splits lines into content and the rest. The
-region is the union of the articles and main elements that hold all content lines, or else the
-smallest element that holds them all, with the headings before it; its lines are the main text,
-short ones included.
+is the logarithm of its characters outside links over its tags. Ratios are smoothed with a Gaussian
+in page order, and a threshold found by two-means clustering splits lines into content and the rest.
+Lines weigh as much as they are above it. The region is the element whose lines weigh most together,
+with the parts beside it that hold paragraphs or items above the threshold, and the headings before
+it; where all content lies in articles and main elements, it is their union. Its lines are the main
+text, short ones included.
 
 What is never content is left out while parsing: scripts, styles and other unseen elements, menus,
 asides, page headers and footers, and elements whose role names one. Forms and elements whose class
 or id names a menu, sidebar, notice, advert or comment list go after parsing, unless they are
-headings or hold most of the page's text. A class or id names one if all its words do or only place
-it, so ``has-sidebar`` does not. Character references are decoded, white space inside a
-block becomes one space, and blocks are joined by one line feed.
+headings, or hold most of the page's text and there is no article or main element outside. A class
+or id names one if all its words do or only place it, so ``has-sidebar`` does not. Character
+references are decoded, white space inside a block becomes one space, and blocks are joined by one
+line feed.
 
 Nulls: a null or empty page has the empty text. A page without markup is one block. Unclosed and
-stray tags, repeated pages and pages of any length are fine.
+stray tags and repeated pages are fine. Very long pages take time linear in their events, and the
+memory of one page. Of elements that weigh the same the innermost is taken. Added columns may not
+clash: ``keep`` names the columns that stay, and those named ``text`` or ``row`` travel inside a struct.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +94,15 @@ def names_beside(value: str) -> bool:
     return False
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    #: The innermost element around the block.
+    at: int
+    #: Characters outside links.
+    plain: int
+
+
 @dataclass
 class Lines(HTMLParser):
     """Collects ``blocks``: parts with their elements, tags and innermost element of each block."""
@@ -98,6 +113,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements = [Element("", False, -1)]
         self.stack = [0]
+        #: Depths of the open elements of each tag, and of the open blocks.
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
+        self.open_blocks: list[int] = []
         self.beside = 0
         self.parts: list[tuple[int, str]] = []
         self.tags = 0
@@ -108,23 +126,28 @@ class Lines(HTMLParser):
             self.tags = 0
         self.parts = []
 
-    def lines(self) -> list[tuple[str, int, int]]:
-        """Text, tags and innermost element of each block, without what is beside by name."""
+    def lines(self) -> list[Line]:
+        """The text of each block with its tags, without what is beside by name."""
         chars = [0] * len(self.elements)
         for parts, _, _ in self.blocks:
             for at, text in parts:
                 chars[at] += len(text.strip())
+        marked = [int(e.tag in ("article", "main")) for e in self.elements]
         for i in range(len(chars) - 1, 0, -1):  # children come after their parents
             chars[self.elements[i].parent] += chars[i]
-        gone = [False] * len(chars)
+            marked[self.elements[i].parent] += marked[i]
+        gone, linked = [False] * len(chars), [False] * len(chars)
         for i, element in enumerate(self.elements[1:], 1):
-            gone[i] = gone[element.parent] or element.named and 2 * chars[i] <= chars[0]
+            most = 2 * chars[i] > chars[0] and (marked[i] or not marked[0])
+            gone[i] = gone[element.parent] or element.named and not most
+            linked[i] = linked[element.parent] or element.tag == "a"
         out, before = [], 0
         for parts, tags, at in self.blocks:
             text = _SPACE.sub(" ", "".join(t for i, t in parts if not gone[i])).strip()
             before += tags
             if text:
-                out.append((text, before, at))
+                links = sum(len(t.strip()) for i, t in parts if linked[i] and not gone[i])
+                out.append(Line(text, before, at, max(len(text) - links, 0)))
                 before = 0
         return out
 
@@ -132,7 +155,7 @@ class Lines(HTMLParser):
         if tag in UNSEEN or tag in BESIDE:
             return True
         if tag in PAGE_ENDS:
-            return not any(self.elements[i].tag in ("article", "main") for i in self.stack)
+            return not (self.open["article"] or self.open["main"])
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -163,18 +186,16 @@ class Lines(HTMLParser):
             open_tag = self.elements[self.stack[-1]].tag
             if tag in ENDED.get(open_tag, ()):
                 self._pop()
-            elif tag == "p":  # inline elements left open in the paragraph before
-                for depth in range(len(self.stack) - 1, 0, -1):
-                    inner = self.elements[self.stack[depth]].tag
-                    if inner == "p":
-                        while len(self.stack) > depth:
-                            self._pop()
-                        break
-                    if inner in BLOCKS:
-                        break
+            elif tag == "p" and self.open_blocks:  # inline elements left open in the paragraph before
+                depth = self.open_blocks[-1]
+                if self.elements[self.stack[depth]].tag == "p":
+                    self._pop_to(depth)
         beside = self._beside(tag, attrs)
         self.elements.append(Element(tag, beside, self.stack[-1], self._named(tag, attrs)))
         self.stack.append(len(self.elements) - 1)
+        self.open[tag].append(len(self.stack) - 1)
+        if tag in BLOCKS:
+            self.open_blocks.append(len(self.stack) - 1)
         self.beside += beside
 
     def handle_startendtag(self, tag, attrs):
@@ -183,21 +204,25 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _pop(self) -> None:
-        self.beside -= self.elements[self.stack.pop()].beside
+        element = self.elements[self.stack.pop()]
+        self.beside -= element.beside
+        self.open[element.tag].pop()
+        if element.tag in BLOCKS:
+            self.open_blocks.pop()
+
+    def _pop_to(self, depth: int) -> None:
+        """Close the element at a depth of the stack and all within."""
+        while len(self.stack) > depth:
+            self._pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
-        for depth in range(len(self.stack) - 1, 0, -1):
-            inner = self.elements[self.stack[depth]]
-            if inner.tag == tag:
-                while len(self.stack) > depth:
-                    self._pop()
-                return
-            # An end tag reaches no further than the blocks around inline elements.
-            if tag not in BLOCKS and inner.tag in BLOCKS:
-                return
+        # An end tag of an inline element reaches no further than the block around it.
+        floor = 0 if tag in BLOCKS or not self.open_blocks else self.open_blocks[-1]
+        if self.open[tag] and self.open[tag][-1] > floor:
+            self._pop_to(self.open[tag][-1])
 
     def handle_data(self, data):
         if not self.beside:
@@ -229,11 +254,21 @@ def threshold(values: np.ndarray) -> float:
 SECTIONING = frozenset(("article", "main", "section", "div", "body", "html", "", "td", "table"))
 
 
-def content_regions(elements: list[Element], lines: list[tuple[str, int, int]]) -> set[int]:
-    """Elements that hold all lines chosen by their ratios."""
-    smoothed = smooth(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
-    taken, lengths = smoothed >= threshold(smoothed), np.array([len(text) for text, _, _ in lines])
-    chosen = {at for (_, _, at), own in zip(lines, taken) if own}
+def line_weights(own: np.ndarray) -> np.ndarray:
+    """How far lines are above the threshold between content and the rest.
+
+    A line counts with the lesser of its own ratio and the smoothed one: long text among links and
+    a link among long text are not content.
+    """
+    smoothed = smooth(own)
+    return np.minimum(own, smoothed) - threshold(smoothed)
+
+
+def content_regions(elements: list[Element], lines: list[Line]) -> set[int]:
+    """Elements that hold the lines chosen by their ratios: logarithms of plain characters a tag."""
+    own = np.log1p(np.array([line.plain / max(line.tags, 1) for line in lines]))
+    weights = line_weights(own)
+    chosen = {line.at for line, ratio in zip(lines, own >= threshold(own)) if ratio}
     nearest = [-1] * len(elements)  # article or main element around each
     for i, element in enumerate(elements):
         nearest[i] = i if element.tag in ("article", "main") else nearest[element.parent] if i else -1
@@ -241,19 +276,35 @@ def content_regions(elements: list[Element], lines: list[tuple[str, int, int]])
         regions = {nearest[at] for at in chosen}
         beside = {elements[i].parent for i in regions if elements[i].tag == "article"}
         return regions | {i for i, e in enumerate(elements) if e.tag == "article" and e.parent in beside}
-    # Without such markup, lines as long as content are content, whatever tags stand before them.
-    long = lengths >= np.median(lengths[taken])
-    chosen |= {at for (_, _, at), own in zip(lines, long) if own}
-    # Parents have smaller numbers: the largest of several elements goes up until one is left.
-    while len(chosen) > 1:
-        last = max(chosen)
-        chosen.remove(last)
-        chosen.add(elements[last].parent)
-    region = chosen.pop()
+    # Without such markup, the element whose lines weigh most together, the innermost of
+    # equal ones, and what stands beside it and holds content of its own.
+    total = [0.0] * len(elements)
+    for line, weight in zip(lines, weights.tolist()):
+        total[line.at] += weight
+    for i in range(len(elements) - 1, 0, -1):  # children come after their parents
+        total[elements[i].parent] += total[i]
+    region = max((line.at for line in lines), key=total.__getitem__)
+    for i, element in enumerate(elements):
+        if element.tag in SECTIONING and total[i] >= total[region]:
+            region = i
     # A single block is no region: take the element that holds the blocks.
     while elements[region].tag not in SECTIONING:
         region = elements[region].parent
-    return {region}
+    # The parts beside it, each the widest that does not hold the region.
+    around, at = {region}, region
+    while at:
+        at = elements[at].parent
+        around.add(at)
+    regions, seen = {region}, set()
+    for at in chosen:
+        if elements[at].tag in SECTIONING:  # a bare line in a container is a notice or the like
+            continue
+        while at not in around and at not in seen:
+            seen.add(at)
+            if elements[at].parent in around and elements[at].parent != region:
+                regions.add(at)
+            at = elements[at].parent
+    return regions
 
 
 def main_text(html: str | None) -> str:
@@ -269,13 +320,13 @@ def main_text(html: str | None) -> str:
     for i, element in enumerate(elements):
         inside[i] = i in regions or element.parent >= 0 and inside[element.parent]
         heading[i] = element.tag if element.tag in HEADINGS else heading[element.parent] if i else ""
-    taken = [inside[at] for _, _, at in lines]
+    taken = [inside[line.at] for line in lines]
     first = taken.index(True)
     # The page's title, and headings right before a region.
     for i in range(len(lines) - 2, -1, -1):
-        tag = heading[lines[i][2]]
+        tag = heading[lines[i].at]
         taken[i] = taken[i] or bool(tag) and (taken[i + 1] or tag == "h1" and i < first)
-    return "\n".join(text for (text, _, _), own in zip(lines, taken) if own)
+    return "\n".join(line.text for line, own in zip(lines, taken) if own)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import pytest
 
@@ -100,3 +101,34 @@ WORDS = LONG.strip()
 def test_the_whole_content_stays(body, text):
     page = f"<html><body><nav><a>A</a></nav>{body}<footer>Contact</footer></body></html>"
     assert maintext.main_text(page) == "\n".join(text)
+
+
+def nameless(page):
+    """The page without what names its parts: only divisions, and no class, id or role."""
+    page = re.sub(r"<(/?)(?:article|nav|aside|header|footer|form|main|section)\b", r"<\1div", page)
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", page)
+
+
+def test_ratios_find_the_article_without_names(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = sum(maintext.main_text(nameless(p)) == expected(p) for p in pages)
+    assert right >= 0.95 * len(pages)
+
+
+def test_the_threshold_decides(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    monkeypatch.setattr(maintext, "threshold", lambda values: -1.0)
+    right = sum(maintext.main_text(nameless(p)) == expected(p) for p in pages)
+    assert right < 0.1 * len(pages)
+
+
+@pytest.mark.parametrize("part", ["<p>word word word</p>", "<b><i>word</u> ", "</u>word<div>", "<p><b>word"])
+def test_events_take_linear_time(part):
+    begun = time.perf_counter()
+    text = maintext.main_text("<div>" + part * 100_000 + "</div>")
+    assert text.count("word") >= 100_000 and time.perf_counter() - begun < 30
+
+
+def test_a_long_comment_list_goes_beside_an_article():
+    page = f"<body><article><p>{LONG}</article><div class='comments'>{f'<p>{LONG}' * 9}</div></body>"
+    assert maintext.main_text(page) == WORDS
