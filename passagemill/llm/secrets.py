@@ -2,24 +2,28 @@
 
 Patterns find assignments of secrets, access keys and hexadecimal keys. Besides them, every run of
 20 or more letters, digits and ``+/_-`` is a *candidate*. Its encoding is inferred (the smallest of
-hexadecimal, base 32 and base 64 that has all its symbols), and three tests ask whether it could be
-uniformly random in it:
+decimal, hexadecimal, base 32, and base 64 that has all its symbols), and four tests ask whether it
+could be uniformly random in it:
 
 * chi-squared: are the symbols equally frequent?
+* chi-squared by kind: are lower-case letters, capitals and other symbols as frequent as the alphabet has them?
 * runs: how often do neighbours change between the lower and the upper half of the alphabet?
 * serial correlation: do neighbours go together?
 
-The smallest of the three p-values, times three, is the candidate's. Within each class of length
+The smallest of the four p-values, times four, is the candidate's. Within each class of length
 and encoding, the Benjamini-Hochberg step-up over *all* candidates of the table finds those that
-are certainly not random; their share of wrongly discarded secrets is held below ``RATE``. What is
-left, and has letters and digits, is reported as ``random``. Only one count per class and step of
-the logarithm of p leaves the executors.
+are certainly not random; their share of wrongly discarded secrets is held below ``RATE``. Of a
+candidate that goes on after a key of the patterns, the rest is tested. What is left is reported as
+``random``, as a whole, unless a span of a pattern covers it. Only one count per class
+and step of the logarithm of p leaves the executors.
 
 Positions are code points, ends are exclusive. The text is marked by one replacement per pattern
 and cut at the marks; sums of lengths are taken in blocks, so a text with very many matches stays
 linear enough. Nothing is shuffled but the counts.
 
-Nulls: a null text is empty and has no spans. Repeated rows and an empty table are fine.
+Nulls: a null text is empty and has no spans. Repeated rows are each scanned, and count each in the
+step-up; an empty table has no rows. Spans that start together are in the order of ``KINDS``. A very
+long text takes time linear in its length and matches. Columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -40,11 +44,14 @@ ASSIGN_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHABETS = {
+    "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 RATE = 0.05
+#: Least rest beside a key of the patterns that is tested on its own.
+LEAST_REST = 8
 #: p-values are counted in steps of a tenth of a power of ten, down to 10 ** -30.
 STEPS_A_POWER, LEAST_POWER = 10, 30
 MARK, STAND_IN = "\u0001", "\u0003"
@@ -121,7 +128,8 @@ def with_matches(docs: DataFrame, text: str, pattern: str, kind: str, name: str)
 
 def encoding(value: Column) -> Column:
     return (
-        F.when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), "hex")
+        F.when(value.rlike("^[0-9]+$"), "decimal")
+        .when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), "hex")
         .when(value.rlike("^[A-Z2-7]+$"), "base32")
         .otherwise("base64")
     )
@@ -131,13 +139,24 @@ def symbol_values(value: Column, code: Column) -> Column:
     """The place of each symbol in its alphabet. ``code`` is looked at for every symbol."""
     plain = F.when(code == "hex", F.lower(value)).otherwise(F.translate(value, "-_", "+/"))
     letters = F.filter(F.split(plain, ""), lambda c: c != "")
-    alphabet = F.when(code == "hex", ALPHABETS["hex"]).when(code == "base32", ALPHABETS["base32"])
-    alphabet = alphabet.otherwise(ALPHABETS["base64"])
+    alphabet = F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair))[code]
     return F.transform(letters, lambda c: F.instr(alphabet, c) - 1)
 
 
 def alphabet_size(code: Column) -> Column:
-    return F.when(code == "hex", 16).when(code == "base32", 32).otherwise(64)
+    return F.create_map(*(F.lit(x) for c, a in ALPHABETS.items() for x in (c, len(a))))[code]
+
+
+def kinds_tail(value: Column, code: Column) -> Column:
+    """The chi-squared tail of lower-case letters, capitals and other symbols, for base 64.
+
+    Two degrees of freedom, for which the tail is exact. The other alphabets have one case.
+    """
+    n = F.length(value)
+    lower, upper = (F.length(F.regexp_replace(value, pattern, "")) for pattern in ("[^a-z]", "[^A-Z]"))
+    parts = ((lower, 26), (upper, 26), (n - lower - upper, 12))
+    chi = sum((often * often * F.lit(64.0) / share for often, share in parts), F.lit(0.0)) / n - n
+    return F.when(code == "base64", F.exp(-chi / 2)).otherwise(1.0)
 
 
 def upper_tail(z: Column) -> Column:
@@ -146,9 +165,9 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(value: Column) -> Column:
-    """``(p_chi, p_runs, p_serial)`` of a string of 20 or more symbols, two-sided."""
+    """``(p_chi, p_kinds, p_runs, p_serial)`` of a string of 20 or more symbols."""
 
-    def tests(v: Column, k: Column) -> Column:
+    def tests(v: Column, k: Column, code: Column) -> Column:
         n = F.size(v).cast("double")
         often = F.transform(F.sequence(F.lit(0), k - 1), lambda s: F.size(F.filter(v, lambda x: x == s)))
         squares = F.aggregate(often, F.lit(0.0), lambda t, o: t + o.cast("double") * o)
@@ -164,22 +183,25 @@ def battery(value: Column) -> Column:
         z_serial = F.aggregate(products, F.lit(0.0), lambda a, b: a + b) / (variance * F.sqrt(n - 1))
 
         two = lambda z: F.least(F.lit(1.0), 2 * upper_tail(F.abs(z)))
-        return F.struct(two(z_chi).alias("p_chi"), two(z_runs).alias("p_runs"), two(z_serial).alias("p_serial"))
+        return F.struct(
+            two(z_chi).alias("p_chi"), kinds_tail(value, code).alias("p_kinds"),
+            two(z_runs).alias("p_runs"), two(z_serial).alias("p_serial"),
+        )
 
     return let(
         encoding(value),
         lambda code: let(
-            alphabet_size(code), lambda k: let(symbol_values(value, code), lambda v: tests(v, k))
+            alphabet_size(code), lambda k: let(symbol_values(value, code), lambda v: tests(v, k, code))
         ),
     )
 
 
 def combined(p: Column) -> Column:
-    return let(p, lambda t: F.least(F.lit(1.0), 3 * F.least(t["p_chi"], t["p_runs"], t["p_serial"])))
+    return let(p, lambda t: F.least(F.lit(1.0), 4 * F.least(t["p_chi"], t["p_kinds"], t["p_runs"], t["p_serial"])))
 
 
 def length_class(value: Column) -> Column:
-    """Lengths by powers of two from 16 to 1024 on, and the encoding."""
+    """Lengths by powers of two up to 1024 and beyond, and the encoding."""
     power = F.least(F.floor(F.log2(F.length(value))), F.lit(10)).cast("string")
     return F.concat_ws("-", encoding(value), power)
 
@@ -190,13 +212,22 @@ def step(p: Column) -> Column:
     return F.floor(-F.log10(small) * STEPS_A_POWER).cast("int")
 
 
+def judged(value: Column) -> Column:
+    """What is tested of a candidate: what keys of the patterns leave of it, if that is enough."""
+    rest = F.regexp_replace(value, f"{ACCESS}|{HEX}", "")
+    return F.when(F.length(rest) >= LEAST_REST, rest).otherwise(value)
+
+
 def tested(matches: str) -> Column:
     """The candidates with their class and step."""
     return F.transform(
         matches,
-        lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), m["value"].alias("value"),
-            length_class(m["value"]).alias("class"), step(combined(battery(m["value"]))).alias("step"),
+        lambda m: let(
+            judged(m["value"]),
+            lambda v: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), m["value"].alias("value"),
+                length_class(v).alias("class"), step(combined(battery(v))).alias("step"),
+            ),
         ),
     )
 
@@ -243,12 +274,16 @@ def find_secrets(docs: DataFrame, text: str = "text", rate: float = RATE) -> Dat
 
     # One number per class; a class without one has nothing to discard.
     limit_of = F.create_map(*(F.lit(x) for pair in ({"": -1} | limits).items() for x in pair))
-    mixed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
-    apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    work = work.withColumn("random", F.filter("random", lambda m: mixed(m) & apart(m)))
     random = F.filter(tested("random"), lambda m: F.coalesce(m["step"] < limit_of[m["class"]], F.lit(True)))
     work = work.withColumn("kept", random)
-    secrets = F.array_sort(F.concat("base", plain("kept")), _by_start)
+    work = work.withColumn("kept", F.array_sort(F.concat("base", plain("kept")), _by_start))
+    # Patterns come first among spans with one start: how far those at or before each place reach.
+    of_pattern = lambda m: m["kind"] < KINDS.index("random")
+    ends = F.transform("kept", lambda m: F.when(of_pattern(m), m["end"]).otherwise(0))
+    work = work.withColumn("reached", _folded(ends, "max"))
+    placed = F.zip_with("kept", "reached", lambda m, end: F.struct(m.alias("m"), end.alias("end")))
+    open_ones = F.filter(placed, lambda x: of_pattern(x["m"]) | (x["end"] < x["m"]["end"]))
+    secrets = F.transform(open_ones, lambda x: x["m"])
     return work.select("row.*", secrets.alias("secrets"))
 
 

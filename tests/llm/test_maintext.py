@@ -126,7 +126,8 @@ def test_the_threshold_decides(spark, monkeypatch):
 def test_events_take_linear_time(part):
     begun = time.perf_counter()
     text = maintext.main_text("<div>" + part * 100_000 + "</div>")
-    assert text.count("word") >= 100_000 and time.perf_counter() - begun < 30
+    # Of divisions in divisions the outermost two may fall below the threshold.
+    assert text.count("word") >= 99_998 and time.perf_counter() - begun < 30
 
 
 def test_a_long_comment_list_goes_beside_an_article():

@@ -59,16 +59,58 @@ def by_hand(value):
     changes = sum((a >= 32) != (b >= 32) for a, b in zip(v, v[1:]))
     z_runs = (changes - (n - 1) / 2) / ((n - 1) / 4) ** 0.5
     z_serial = sum((a - 31.5) * (b - 31.5) for a, b in zip(v, v[1:])) / ((k * k - 1) / 12 * (n - 1) ** 0.5)
-    return z_chi, z_runs, z_serial
+    lower, upper = sum(c.islower() for c in value), sum(c.isupper() for c in value)
+    parts = ((lower, 26 / 64), (upper, 26 / 64), (n - lower - upper, 12 / 64))
+    kinds = sum((often - n * share) ** 2 / (n * share) for often, share in parts)
+    return z_chi, kinds, z_runs, z_serial
 
 
-def test_battery_by_hand(spark):
+def p_by_hand(value):
     from math import exp
 
-    value = "Zk3+/aaBcD9xYz01QwErTyUiOp"
-    p = spark.createDataFrame([(value,)], "v string").select(secrets.battery(spark_col("v")).alias("p")).first().p
+    z_chi, kinds, z_runs, z_serial = by_hand(value)
     tail = lambda z: min(1, exp(-0.717 * abs(z) - 0.416 * z * z))
-    assert list(p) == pytest.approx([tail(z) for z in by_hand(value)])
+    return [tail(z_chi), exp(-kinds / 2), tail(z_runs), tail(z_serial)]
+
+
+def test_battery_by_hand(spark):
+    for value in ("Zk3+/aaBcD9xYz01QwErTyUiOp", "onlysmallletterswithoutanyothers"):
+        p = spark.createDataFrame([(value,)], "v string").select(secrets.battery(spark_col("v")).alias("p")).first().p
+        assert list(p) == pytest.approx(p_by_hand(value))
+
+
+def test_random_spans_equal_brute_force(spark):
+    """Candidates of base 64 with battery and step-up by hand, class by class."""
+    from math import floor, log10
+
+    rng = random.Random(3)
+    letters = string.ascii_letters + string.digits + "+/"
+    values = {"".join(rng.choices(letters, k=rng.randrange(20, 60))) for _ in range(60)}
+    values |= {"".join(rng.choices("etaoinshrdlu/E", k=rng.randrange(20, 60))) for _ in range(120)}
+    values = sorted(v for v in values if not set(v) <= set(string.ascii_uppercase + "234567"))
+    classes = {}
+    for v in values:
+        step = floor(-log10(max(min(1, 4 * min(p_by_hand(v))), 1e-30)) * 10)
+        classes.setdefault(len(v).bit_length(), []).append((step, v))
+    expected = set()
+    for found in classes.values():
+        limit = None
+        for at in sorted({s for s, _ in found}, reverse=True):
+            if len(found) * 10 ** (-at / 10) <= secrets.RATE * sum(s >= at for s, _ in found):
+                limit = at
+        expected |= {v for s, v in found if limit is None or s < limit}
+    got = spans_of(spark, values)
+    assert {v for v, spans in zip(values, got) if spans == [(0, 3, len(v))]} == expected
+    assert 40 < len(expected) < 90
+
+
+def test_keys_without_digits_and_partly_covered_keys_are_found(spark):
+    key = "".join(random.Random(5).choices(string.ascii_letters, k=31))
+    covered = "9c41f7e03ab86d25f01b7ce94a3d6852" + "X" + "".join(random.Random(8).choices(string.ascii_letters, k=24))
+    spans = spans_of(spark, [f"x {key} y", covered, "a" * 40, "keit" * 8])
+    assert spans[0] == [(2, 3, 2 + len(key))]
+    assert spans[1] == [(0, 2, 32), (0, 3, len(covered))]
+    assert spans[2:] == [[(0, 2, 40)], []]
 
 
 def spark_col(name):
