@@ -4,18 +4,25 @@ Texts are normalised to lower-cased ASCII words (other characters are word chara
 between single spaces. Every window of ten item words, or a shorter item as a whole, is a pattern;
 a document is scanned once, and matches are mapped back to words and to characters of the original.
 
-The benchmark is read in blocks of bounded bytes (``BLOCK_BYTES`` of text), one automaton each. A
-benchmark of one block, the usual case, needs one scan. More blocks add a scan each, in the same
-tasks, so documents are never shuffled.
+The automaton reads word numbers: each distinct word of the benchmark has a number, written as two
+characters of two alphabets, so that a place in the automaton has few branches and no match begins
+inside a word. Other words of a document share a pair that no pattern has. A window is then twenty
+characters, whatever the lengths of its words. The benchmark is read in blocks of bounded bytes
+(``BLOCK_BYTES`` of text, at most half as many words), one automaton each, of up to some 300 MB. A
+benchmark of one block, the usual case, needs one scan. More blocks add a scan each, with the state
+of the documents written in between, so that a task holds one automaton; documents are never shuffled.
 
 Nulls: a null text has no words, an item without words has no window and is never found. An item
 without id is scanned, its hits count, and it is named by the empty string. Repeated items and ids
-count once per id.
+count once per id, repeated documents are each scanned. Very long texts are scanned whole in linear
+time. Empty tables give no rows or no hits. Further columns travel in a struct and cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -23,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import runs, text_bytes
+from passagemill.llm.common import Scratch, runs, text_bytes
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 19
+#: The two alphabets begin here, below the surrogates; at most 8,192 characters each.
+FIRST, SECOND = 0x4000, 0x8000
+UNKNOWN = "\x00\x00"
 
 #: ASCII letters and digits stay (letters in lower case), other ASCII becomes a space, and the
 #: bytes of longer characters stay.
@@ -39,41 +49,58 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(NORMAL).split()
 
 
-def automaton(items: list[tuple[str, bytes]]) -> ahocorasick.Automaton:
-    """Patterns are `` w1 ... wk ``; each holds its number of words and the items it comes from."""
-    found: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = words(text)
-        size = min(len(w), WINDOW)
-        for i in range(len(w) - size + 1 if size else 0):
-            found.setdefault(b" ".join(w[i : i + size]), (size, set()))[1].add(item)
-    machine = ahocorasick.Automaton()
-    for pattern, (size, owners) in found.items():
-        machine.add_word(f" {pattern.decode('latin-1')} ", (size, sorted(owners)))
+@dataclass
+class Machine:
+    """The codes of the benchmark's words, the automaton, and size and items of each pattern."""
+
+    codes: dict[bytes, str]
+    patterns: ahocorasick.Automaton
+    found: list[tuple[int, tuple[str, ...]]]
+
+
+def word_codes(vocabulary: set[bytes]) -> dict[bytes, str]:
+    """Two characters for each word, from alphabets of about the root of their number."""
+    base = math.isqrt(len(vocabulary)) + 1
+    return {
+        w: chr(FIRST + number // base) + chr(SECOND + number % base) for number, w in enumerate(sorted(vocabulary))
+    }
+
+
+def automaton(items: list[tuple[str, bytes]]) -> Machine:
+    split = [(item, words(text)) for item, text in items]
+    codes = word_codes({w for _, own in split for w in own})
+    owners: dict[str, list[str]] = {}
+    for item, own in split:
+        size = min(len(own), WINDOW)
+        coded = "".join([codes[w] for w in own])
+        for i in range(len(own) - size + 1 if size else 0):
+            owners.setdefault(coded[2 * i : 2 * (i + size)], []).append(item)
+    patterns = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    found = []
+    for number, (pattern, names) in enumerate(owners.items()):
+        patterns.add_word(pattern, number)
+        found.append((len(pattern) // 2, tuple(sorted(set(names)))))
     if found:
-        machine.make_automaton()
-    return machine
+        patterns.make_automaton()
+    return Machine(codes, patterns, found)
 
 
-def scan(machine: ahocorasick.Automaton, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+def scan(machine: Machine, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     """Half-open ranges of hit words, merged and in order, and the items found."""
-    if not w or not len(machine):
+    if not w or not machine.found:
         return [], set()
-    normal = b" %s " % b" ".join(w)
-    matches = list(machine.iter(normal.decode("latin-1")))
-    if not matches:
-        return [], set()
-    spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
-    ends = np.searchsorted(spaces, [end for end, _ in matches])
+    known = machine.codes.get
+    matches = list(machine.patterns.iter("".join([known(x, UNKNOWN) for x in w])))
     ranges: list[tuple[int, int]] = []
     items: set[str] = set()
-    for start, end in sorted((int(e) - size, int(e)) for e, (_, (size, _)) in zip(ends, matches)):
+    for number in {number for _, number in matches}:
+        items.update(machine.found[number][1])
+    ends = [((end + 1) // 2, machine.found[number][0]) for end, number in matches]
+    for start, end in sorted((end - size, end) for end, size in ends):
         if ranges and start <= ranges[-1][1]:
             ranges[-1] = (ranges[-1][0], max(end, ranges[-1][1]))
         else:
             ranges.append((start, end))
-    for _, (_, owners) in matches:
-        items.update(owners)
     return ranges, items
 
 
@@ -125,7 +152,12 @@ def find_leaks(
         }
     )
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for block in _blocks(items, block_bytes):
+    scratch = Scratch(spark, "leaks")
+    for number, block in enumerate(_blocks(items, block_bytes)):
+        if number:
+            state = scratch.keep(state, f"state-{number}")
+            if number > 1:
+                scratch.drop(f"state-{number - 1}")
         shared = spark.sparkContext.broadcast(block)
 
         def scan_batches(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
