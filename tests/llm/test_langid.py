@@ -69,3 +69,43 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert sorted((str(r.doc_id), r.lang_pred) for r in got) == [("1", "en"), ("1", "en"), ("3", "und"), ("None", "de")]
     assert langid.predict(docs.limit(0), {}).collect() == []
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
+
+
+def test_blocks_of_languages_change_nothing(spark):
+    """More languages than a block holds, against plain compression with each."""
+    parts = ["ka", "lo", "mi", "tu", "re", "sa", "vo", "ni", "ge", "pa"]
+    word = lambda i, j: parts[(i + j) % 10] + parts[(3 * i + j * j) % 10]
+    texts = [" ".join(word(i, j) for j in range(300)) for i in range(207)]
+    learned_of = langid.fit(
+        spark.createDataFrame([(t, f"l{i:03}") for i, t in enumerate(texts)], "text string, lang string")
+    )
+    assert len(learned_of) == 207
+    plain = langid.Compressors(learned_of)
+    docs = spark.createDataFrame([(i, t[40:400]) for i, t in enumerate(texts[::9])], "doc_id long, text string")
+    for block in (200, 60):
+        rows = langid.predict(docs, learned_of, block=block).collect()
+        assert {r.doc_id: (r.lang_pred, r.accepted) for r in rows} == {
+            r.doc_id: plain.predict(r.text)[:3:2] for r in docs.collect()
+        }
+
+
+def test_predictions_equal_plain_compression(spark):
+    """Sizes by plain loops over the windows, on the whole small table."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    known = langid.fit(docs)
+
+    def size(text, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        tool = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=held, write_content_size=False)
+        folded = langid.fold(text)
+        parts = langid.cut(folded) if len(folded) >= 200 else [b" ".join([folded] * 4)]
+        return sum(len(tool.compress(p)) for p in parts)
+
+    got = {r.doc_id: r for r in langid.predict(docs, known).collect()}
+    for r in docs.collect():
+        sizes = {name: size(r.text, content) for name, content in known.items()}
+        best, second = sorted(sizes.values())[:2]
+        assert got[r.doc_id].lang_pred == min(sizes, key=sizes.get)
+        assert abs(got[r.doc_id].margin - (second - best) / second) < 1e-12
