@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``documents`` (the last one
 more), and is written before the next reads it. Null and empty texts have no language and go in
-the first stage. Further columns of ``docs`` are handed on.
+the first stage. Further columns of ``docs`` are handed on. An empty table gives an empty one. Texts
+of any length are worked on whole, one in a task at a time.
 """
 
 from __future__ import annotations
@@ -32,13 +33,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies stays; rows that repeat an id are one.
+    """The document of least id of each group of near copies stays; rows that repeat id and text are one.
 
-    Rows without id are in no group and stay.
+    Another text under the id of a document that stays is kept too. Rows without id are in no group
+    and stay.
     """
     groups = neardup.near_duplicates(docs.select("doc_id", "text"))
     kept = groups.filter("kept and doc_id is not null").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    content = max(docs.columns, key=len) + "_"  # a name that no column has
+    named = docs.join(kept, "doc_id", "left_semi").withColumn(content, F.sha2("text", 256))
+    named = named.dropDuplicates(["doc_id", content])
     return named.select(docs.columns).union(docs.filter("doc_id is null"))
 
 

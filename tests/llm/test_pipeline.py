@@ -71,3 +71,13 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_another_text_under_a_kept_id_stays(spark):
+    """Rows that repeat id and text are one, in any order; a different text is no copy."""
+    a, b = ("one text of its own " * 9, "and another one that is not alike " * 9)
+    made = [(5, a), (5, a), (5, b), (6, a)]
+    for rows_ in (made, made[::-1]):
+        docs = spark.createDataFrame(rows_, "doc_id long, text string")
+        got = corpus_pipeline.one_of_each(spark, docs, SF)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted({(5, a), (5, b)})
