@@ -326,3 +326,32 @@ def test_mixed_lengths_are_refused_alike(spark):
     for most in (10, 1):
         with pytest.raises(ValueError, match="one length"):
             top_k(store.limit(1), asked, 1, key=("vec_id",), max_broadcast_queries=most)
+
+
+def test_many_small_blocks_share_sweeps(spark, monkeypatch):
+    store = random_store(spark, 120)
+    queries = queries_of(store)
+    want = hits(top_k(store, queries, 3, key=KEY))
+    monkeypatch.setattr(search, "_ranked", plans := Plans(search._ranked))
+    assert hits(top_k(store, queries, 3, key=KEY, max_broadcast_queries=2)) == want
+    assert len(plans.seen) <= 10  # 60 blocks
+    want = hits(Hyperplanes(8).top_k(store, queries, 3, key=KEY))
+    assert hits(Hyperplanes(8).top_k(store, queries, 3, key=KEY, max_broadcast_queries=2)) == want
+
+
+def test_a_batch_hands_on_k_rows_a_query(monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(3000, 16))
+    vectors[1000:1500] = vectors[7]  # copies of one, farther than k of them
+    table = pa.table({"id": np.arange(3000), "embedding": pa.array(list(vectors), pa.list_(pa.float64()))})
+    asked = table.slice(0, 40).rename_columns(["query_id", "embedding"]).append_column("k", pa.array([4] * 40))
+    block = search._build_block(asked, "query_id", None, None)
+    met, keep = [], search._keep_nearest
+    monkeypatch.setattr(search, "_TILE", 12_000)
+    monkeypatch.setattr(search, "_keep_nearest", lambda rows, *rest: met.append(rows.num_rows) or keep(rows, *rest))
+    found = search.scan_batches(block, table.to_batches(max_chunksize=1000), KEY)
+    assert max(met) <= 2 * 4 * 40
+    d = np.round(1 - block.unit @ (vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]).T, 9)
+    want = [sorted((x, i) for i, x in enumerate(row))[:4] for row in d]
+    got = list(zip(found.column("distance").to_pylist(), found.column("id").to_pylist()))
+    assert [got[4 * q : 4 * q + 4] for q in range(40)] == [[(pytest.approx(x), i) for x, i in row] for row in want]
