@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passagemill.functions.embedding import EmbedFn
 from passagemill.plans.ingest import ingest
+from passagemill.session import delete, shared_folder
 from passagemill.sources.manifest import Manifest
 from passagemill.sources.store import create_store, read_attempts
 from passagemill.streaming import state
@@ -60,7 +61,11 @@ def ingest_batch(batch: DataFrame, root: str, fn: EmbedFn, run_id: str, **option
     buckets = state.touched(batch)
     held = state.places(spark, root, buckets)
     known = state.read_state(spark, root, buckets).filter(F.col("run") != run_id)
+    # Read three times below: the texts are gathered by id once, and written.
     fresh = only_new(batch, known)
+    staged = shared_folder(spark, "fresh")
+    fresh.write.parquet(staged)
+    fresh = spark.read.schema(fresh.schema).parquet(staged)
 
     def before_commit(attempt: str) -> dict:
         ids = fresh.filter("raw_data_id is not null").select("raw_data_id", F.xxhash64("raw_text").alias("text_hash"))
@@ -83,6 +88,7 @@ def ingest_batch(batch: DataFrame, root: str, fn: EmbedFn, run_id: str, **option
         return names | ({f"superseded/{attempt}": True} if seen.get["n"] else {})
 
     ingest(fresh, root, fn, run_id=run_id, before_commit=before_commit, **options)
+    delete(spark, staged)
 
 
 def ingest_stream(

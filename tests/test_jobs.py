@@ -392,3 +392,25 @@ def test_csv_with_backslash_escapes(spark, tmp_path):
 def test_csv_without_line_breaks_can_be_split(spark, tmp_path):
     path = write_csv(tmp_path / "a.csv", "instruction,input,output\n" + "a,b,c\n" * 50)
     assert raw_text(read_instruction_csv(spark, path, multi_line=False)).count() == 50
+
+
+def test_a_batch_gathers_its_texts_once(spark, tmp_path, monkeypatch):
+    from passagemill.streaming import ingest as streaming
+
+    root, plans = str(tmp_path / "store"), []
+    real = streaming.ingest
+
+    def noted(fresh, *rest, **options):
+        plans.append(fresh._jdf.queryExecution().executedPlan().toString())
+        return real(fresh, *rest, **options)
+
+    monkeypatch.setattr(streaming, "ingest", noted)
+    streaming.create_store(spark, root)
+    for run, texts in (("one", ["A b. C d.", "E f."]), ("two", ["A b. C d.", "G h."])):
+        rows = [(i, t, "s") for i, t in enumerate(texts)]
+        batch = spark.createDataFrame(rows, "raw_data_id long, raw_text string, source string")
+        streaming.ingest_batch(batch, root, HashedEmbedder(8), run, dim=8)
+    assert all("Aggregate" not in plan and "Exchange" not in plan for plan in plans) and len(plans) == 2
+    from passagemill.sources.store import read_store
+
+    assert sorted(r.chunk_text for r in read_store(spark, root).collect()) == ["A b. C d.", "G h."]
