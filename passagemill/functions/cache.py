@@ -9,10 +9,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions.embedding import DIMENSION, EmbedFn, embed_column
+from passagemill.session import shared_folder
 from passagemill.sources.manifest import Manifest
 
 _SCHEMA = "key binary, embedding array<float>, embed_error string"
@@ -40,9 +42,10 @@ class VectorCache:
 
         New texts are written and named before this returns, so a later failure does not lose
         them. A text that repeats very often is one row of the cache, and its rows are joined to it
-        where Spark splits a join with skewed keys.
+        where Spark splits a join with skewed keys. The rows of ``df`` are worked out once and lie
+        in a folder of their own, which the result reads.
         """
-        keyed = df.withColumn("_key", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
+        keyed = self._staged(df.withColumn("_key", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))))
         known = self.read().filter("embed_error is null").select(F.col("key").alias("_key"))
         fresh = keyed.select("_key", F.coalesce(text, F.lit("")).alias("text")).dropDuplicates(["_key"]).join(
             known, "_key", "left_anti"
@@ -56,3 +59,12 @@ class VectorCache:
         Manifest(self.spark, self.root).commit({attempt: True})
         found = old.unionByName(new).withColumnRenamed("key", "_key")
         return keyed.join(found, "_key", "left").select(*df.columns, "embedding", "embed_error")
+
+    def _staged(self, keyed: DataFrame) -> DataFrame:
+        """Rows that are read twice, written first: what made them may be costly."""
+        folder = shared_folder(self.spark, "keyed")
+        try:
+            keyed.write.parquet(folder)
+        except AnalysisException:  # a column without a type, or of one that files do not hold
+            return keyed
+        return self.spark.read.schema(keyed.schema).parquet(folder)

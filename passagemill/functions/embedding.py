@@ -18,6 +18,8 @@ BATCH_SIZE = 500
 DIMENSION = 1536
 
 _WORD = r"[^\x00-\x20]+"
+# Where ``str.split`` and ``_WORD`` differ: control characters that are no white space, white space above U+0020.
+_NOT_SPLIT = re.compile(r"[\x00-\x08\x0e-\x1b\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CACHED_WORDS = 1 << 17
 
 EmbedFn = Callable[[list[str]], "np.ndarray | Sequence[Sequence[float] | None]"]
@@ -120,6 +122,20 @@ def embed_column(
     return made.select(*df.columns, "_made.embedding", "_made.embed_error")
 
 
+class _Slots(dict):
+    """The slot of each word, worked out when it is first asked for."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHED_WORDS:
+            self.clear()
+        digest = hashlib.md5(word.encode("utf-8")).digest()
+        slot = self[word] = int.from_bytes(digest[:4], "big") % self.dim
+        return slot
+
+
 class HashedEmbedder:
     """Offline embedder: a hashed bag of words of unit length.
 
@@ -129,24 +145,16 @@ class HashedEmbedder:
 
     def __init__(self, dim: int = 64):
         self.dim = dim
-        self._seen: dict[str, int] = {}
-
-    def _slot(self, word: str) -> int:
-        slot = self._seen.get(word)
-        if slot is None:
-            if len(self._seen) >= _CACHED_WORDS:
-                self._seen.clear()
-            digest = hashlib.md5(word.encode("utf-8")).hexdigest()
-            slot = self._seen[word] = int(digest[:8], 16) % self.dim
-        return slot
+        self._seen = _Slots(dim)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        slots, rows = [], []
-        for row, text in enumerate(texts):
-            words = re.findall(_WORD, text)
-            slots += [self._slot(w) for w in words]
-            rows += [row] * len(words)
-        flat = np.asarray(rows, dtype=np.int64) * self.dim + np.asarray(slots, dtype=np.int64)
+        slots, sizes = [], []
+        for text in texts:
+            words = re.findall(_WORD, text) if _NOT_SPLIT.search(text) else text.split()
+            slots.extend(map(self._seen.__getitem__, words))
+            sizes.append(len(words))
+        rows = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+        flat = rows * self.dim + np.asarray(slots, dtype=np.int64)
         counts = np.bincount(flat, minlength=len(texts) * self.dim).reshape(len(texts), self.dim)
         counts = counts.astype(np.float64)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))

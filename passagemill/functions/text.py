@@ -31,7 +31,7 @@ def jtrim(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     """True for NULL and for text of nothing but white space and control characters."""
-    return _col(c).isNull() | (jtrim(c) == "")
+    return _col(c).isNull() | ~_col(c).rlike(r"[^\x00-\x20]")
 
 
 def utf16_length(c: Column | str) -> Column:

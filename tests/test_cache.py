@@ -57,6 +57,31 @@ def test_empty_tables(spark, tmp_path):
     assert cache.embed(texts_of(spark, ["x"]).limit(0), EMBED, dim=DIM).count() == 0 and cache.sent == 0
 
 
+def test_rows_are_worked_out_once(spark, tmp_path):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(x):
+        worked.add(1)
+        return f"text {x % 7}"
+
+    cache = VectorCache(spark, str(tmp_path / "cache"))
+    table = spark.range(40).select("id", costly.asNondeterministic()("id").alias("chunk_text"))
+    got = rows(cache.embed(table, EMBED, dim=DIM))
+    assert worked.value == 40 and cache.sent == 7
+    assert got == rows(embed_column(texts_of(spark, [f"text {i % 7}" for i in range(40)]), EMBED, dim=DIM))
+
+
+def test_columns_that_files_do_not_hold_come_back(spark, tmp_path):
+    table = texts_of(spark, ["a", "b", "a"]).withColumn("span", F.expr("make_interval(0, 1)")).withColumn("none", F.lit(None))
+    got = VectorCache(spark, str(tmp_path / "cache")).embed(table, EMBED, dim=DIM)
+    assert got.columns == [*table.columns, "embedding", "embed_error"]
+    want = embed_column(table, EMBED, dim=DIM)
+    assert rows(got.drop("span")) == rows(want.drop("span")) and [got.schema[c].dataType for c in table.columns] == [
+        want.schema[c].dataType for c in table.columns
+    ]
+
+
 def rows_read(df):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan()

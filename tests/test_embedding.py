@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 
@@ -128,3 +131,14 @@ def test_odd_replies_reject_their_row_only(vector, reason):
     vectors, reasons = embed_batch(["x", "y"], lambda texts: [vector, [3.0, 4.0]], 2)
     assert reasons == [reason, None]
     assert vectors.tolist() == [[0, 0], [3, 4]]
+
+
+def test_words_end_at_characters_up_to_the_space_only():
+    """Every character that some splitter takes for white space, and those around them."""
+    texts = [f"one{chr(c)}two three{chr(c)}" for c in [*range(0x100), *range(0x1670, 0x1690), *range(0x1FF0, 0x3010)]]
+    want = np.zeros((len(texts), 16))
+    for row, text in enumerate(texts):
+        for word in re.findall(r"[^\x00-\x20]+", text):
+            want[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(HashedEmbedder(16)(texts), want)
