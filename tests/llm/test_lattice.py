@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from passagemill.llm import lattice, queries
@@ -134,3 +136,32 @@ def test_expected_pieces_are_those_of_all_segmentations(pieces, word):
     after = law.learned({i: n for i, n in enumerate(seen) if n})
     assert math.isclose(sum(after.p[:-1]) + 256 * after.p[-1], 1.0, rel_tol=1e-9)
     assert after.word(word) > law.word(word)
+
+
+def test_many_words_at_once_are_as_each_alone(pieces):
+    law = lattice.Law.of(pieces)
+    words = ["the", "été", "x🙂y", "a", "", "▁▁a", "͸" * 20, "日本語のテキスト", "a" * 62, "a" * 63, "a" * 64, "ab" * 900]
+    assert law.words(pa.array(words)) == pytest.approx([law.word(w) for w in words], rel=1e-12)
+    seen, all_seen = [0.0] * len(law.p), np.zeros(len(law.p))
+    for word in words:
+        law.expect(word, seen)
+    law.expect_all(pa.array(words), all_seen)
+    law.expect_all(pa.array([], pa.string()), all_seen)
+    assert all_seen == pytest.approx(seen, rel=1e-9, abs=1e-12)
+    assert len(law.words(pa.array([], pa.string()))) == 0
+
+
+def test_every_step_takes_all_words(spark, pieces):
+    letters = "abcdefghij"
+    words = [a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in "stuvwxyz"]
+    rows = [(w, i % 3) for i, w in enumerate(words)] + [("x" * 100, 1)]
+    law = lattice.Law.of(pieces)
+    for _ in range(4):
+        seen = [0.0] * len(law.p)
+        for word, n in rows:
+            if n:
+                law.expect(word, seen)
+        law = law.learned({i: n for i, n in enumerate(seen) if n})
+    counts = spark.createDataFrame(rows, "word string, n long")
+    fitted = lattice.fit(pieces, counts, sum(n > 0 for _, n in rows))
+    assert fitted.p == pytest.approx(law.p, rel=1e-6, abs=1e-10)
