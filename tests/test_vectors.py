@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -355,3 +356,29 @@ def test_a_batch_hands_on_k_rows_a_query(monkeypatch):
     want = [sorted((x, i) for i, x in enumerate(row))[:4] for row in d]
     got = list(zip(found.column("distance").to_pylist(), found.column("id").to_pylist()))
     assert [got[4 * q : 4 * q + 4] for q in range(40)] == [[(pytest.approx(x), i) for x, i in row] for row in want]
+
+
+@pytest.mark.parametrize("tile, tile_rows, pairs", [(60, 7, 10), (4_000, 64, 200_000), (1, 1, 1)])
+def test_tiles_part_the_rows_of_a_batch(monkeypatch, tile, tile_rows, pairs):
+    rng = np.random.default_rng(5)
+    vectors = list(rng.normal(size=(300, 8)))
+    vectors[40:140] = [vectors[3]] * 100  # copies of one, in many tiles
+    vectors[20], vectors[150], vectors[299] = np.zeros(8), np.zeros(8), None
+    table = pa.table({"id": np.arange(300), "embedding": pa.array(vectors, pa.list_(pa.float64()))})
+    asked = pa.table({"query_id": np.arange(12), "embedding": pa.array(vectors[:12], pa.list_(pa.float64()))})
+    block = search._build_block(asked.append_column("k", pa.array([3, 300] * 6)), "query_id", None, None)
+    want = search.scan_batches(block, table.to_batches(), KEY)
+    made, of = [], search._Room.of
+    monkeypatch.setattr(search._Room, "of", lambda room, q, r: made.append((q * r, r)) or of(room, q, r))
+    monkeypatch.setattr(search, "_TILE", tile)
+    monkeypatch.setattr(search, "_TILE_ROWS", tile_rows)
+    monkeypatch.setattr(search, "_PAIRS", pairs)
+    assert search.scan_batches(block, table.to_batches(max_chunksize=170), KEY).equals(want)
+    assert max(size for size, _ in made) <= max(tile, tile_rows) and max(r for _, r in made) <= tile_rows
+    unit = block.unit @ np.array([v / (np.linalg.norm(v) or 1) if v is not None else np.zeros(8) for v in vectors]).T
+    place = [0 if v is not None and any(v) else 3 + (v is None) for v in vectors]
+    d = np.where(np.array(place) > 0, np.array(place), np.round(1 - unit, 9))
+    for q in range(12):
+        best = sorted((x, i) for i, x in enumerate(d[q]))[: 3 if q % 2 == 0 else 300]
+        rows = want.filter(pc.equal(want.column("q"), q))
+        assert rows.column("id").to_pylist() == [i for _, i in best]
