@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from passagemill.llm import grams, kneser, queries
 
@@ -175,3 +176,30 @@ def test_long_texts_in_pieces(monkeypatch):
     whole = [np.concatenate(c) for c in zip(*grams.gram_parts(["a", "b"], [text, text[:9]]))]
     monkeypatch.setattr(grams, "CHUNK", 7)
     assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*grams.gram_parts(["a", "b"], [text, text[:9]]))))
+
+
+@pytest.mark.parametrize("words", [kneser.WORDS, 1])
+def test_only_texts_that_may_repeat_move(spark, monkeypatch, words):
+    monkeypatch.setattr(kneser, "WORDS", words)  # 64 bits: single texts share the bits of repeated ones
+    rows = [("en", f"only once {i}") for i in range(300)] + [("de", "only once 7"), ("de", ""), ("fr", None), ("", "x")]
+    copies = [("en", "twice")] * 2 + [("en", "hot")] * 500 + [("en", None)] * 2 + [("en", "")] * 2 + [("it", "twice")]
+    copies += [("fr", f"copy {i}") for i in range(50)] * 2
+    docs = spark.createDataFrame(rows + copies, "model string, text string").repartition(7)
+    docs = docs.select("*", F.lit(1).alias("row"), F.md5("text").alias("digest")).localCheckpoint()
+    found = [tuple(r) for r in kneser.distinct_texts(docs).collect()]
+    assert Counter(found) == Counter(set(rows + copies))
+
+    place = lambda df: df.select("model", "text", F.spark_partition_id().alias("at"))
+    read = {(r.model, r.text): r.at for r in place(docs).collect()}
+    moved = sum(read[r.model, r.text] != r.at for r in place(kneser.distinct_texts(docs)).collect() if (r.model, r.text) in rows)
+    assert moved == 0 if words > 1 else moved < len(rows)
+
+
+def test_the_table_of_repeated_texts_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(kneser, "WORDS", 16)
+    hashed = spark.range(8000).select(F.xxhash64(F.col("id") % 4000).alias("hash"))
+    rows = kneser.repeated_bits(hashed).collect()
+    assert len(rows) == 16
+    assert {(r.word, i) for r in rows for i in range(64) if r.bits >> i & 1} == {
+        (r.hash % 16, (r.hash >> 58) % 64) for r in hashed.collect()
+    }
